@@ -65,7 +65,7 @@ def null_if_nan(c: Column) -> Column:
 def text_to_number(c: Column) -> Column:
     """T3 for text: numeric-looking text → double, anything else → null."""
     s = F.trim(c.cast("string"))
-    return F.when(s.rlike(NUMERIC_TEXT), F.try_cast(s, "double"))
+    return F.when(s.rlike(NUMERIC_TEXT), s.try_cast("double"))
 
 
 def to_number(df: DataFrame, name: str) -> Column:
@@ -111,7 +111,7 @@ def safe_number(c: Column, digits: int = 6) -> Column:
 
 def lenient_number(c: Column) -> Column:
     """Bad or null → null."""
-    return F.try_cast(c.cast("string"), "double")
+    return c.cast("string").try_cast("double")
 
 
 def null_tokens_to_null(c: Column, tokens=NA_TOKENS) -> Column:

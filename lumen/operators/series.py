@@ -186,7 +186,8 @@ def trend_label() -> Column:
 
 
 # ---------------------------------------------------------------------------- F14, F15
-def forecast(indicators: DataFrame, keys: list[str] | None = None, horizon: int = 5) -> DataFrame:
+def forecast(indicators: DataFrame, keys: list[str] | None = None, horizon: int = 5,
+             digits: int | None = 6) -> DataFrame:
     """OLS of price on position, ``horizon`` steps ahead; step = median date gap.
 
     Series with fewer than 6 points get no forecast rows.
@@ -211,11 +212,17 @@ def forecast(indicators: DataFrame, keys: list[str] | None = None, horizon: int
         *keys,
         F.col("step").cast("int").alias("step"),
         F.to_date(F.timestamp_micros(future_us)).alias("date"),
-        F.round(F.col("intercept") + F.col("slope") * (F.col("n") + F.col("step") - 1), 6).alias("predicted_price"),
+        _maybe_round(F.col("intercept") + F.col("slope") * (F.col("n") + F.col("step") - 1), digits)
+        .alias("predicted_price"),
     )
 
 
-def forecast_reliability(metrics: DataFrame, forecasts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def _maybe_round(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.bround(c, digits)
+
+
+def forecast_reliability(metrics: DataFrame, forecasts: DataFrame, keys: list[str] | None = None,
+                         digits: int | None = 6) -> DataFrame:
     """level from the largest relative gap between forecast and latest price.
 
     Both inputs hold one row (metrics) or ``horizon`` rows (forecasts) per key.
@@ -225,7 +232,7 @@ def forecast_reliability(metrics: DataFrame, forecasts: DataFrame, keys: list[st
     if not keys:
         metrics = metrics.withColumn("__series", F.lit(1))
         forecasts = forecasts.withColumn("__series", F.lit(1))
-    latest = metrics.select(*on, F.round("latest_price", 6).alias("latest"), "row_count_used")
+    latest = metrics.select(*on, _maybe_round(F.col("latest_price"), digits).alias("latest"), "row_count_used")
     dev = (
         forecasts.join(latest.select(*on, "latest"), on=on, how="inner")
         .groupBy(*on)
@@ -243,6 +250,97 @@ def forecast_reliability(metrics: DataFrame, forecasts: DataFrame, keys: list[st
     return full.select(
         *keys, "row_count_used",
         level.alias("level"), reason.alias("reason"),
-        F.when(~bad, F.round("max_dev", 6)).alias("max_deviation_ratio"),
+        F.when(~bad, _maybe_round(F.col("max_dev"), digits)).alias("max_deviation_ratio"),
         ((F.col("row_count_used") > 3650) & (level != "low")).alias("long_history_note"),
     )
+
+
+# ---------------------------------------------------------------------------- F19
+def chart_series(indicators: DataFrame, forecasts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """long table (keys..., chart, date, series, value) behind the four charts."""
+    keys = list(keys or [])
+    spec = [
+        ("price_moving_average", "price", F.col("price")),
+        ("price_moving_average", "ma_short", F.col("ma_short")),
+        ("price_moving_average", "ma_long", F.col("ma_long")),
+        ("return_volatility", "return_pct", F.col("return") * 100),
+        ("return_volatility", "volatility_pct", F.col("volatility") * 100),
+        ("rsi_macd", "rsi", F.col("rsi")),
+        ("rsi_macd", "macd", F.col("macd")),
+        ("rsi_macd", "macd_signal", F.col("macd_signal")),
+        ("rsi_macd", "macd_histogram", F.col("macd_histogram")),
+        ("time_series_forecast", "history", F.col("price")),
+    ]
+    long = indicators.select(
+        *keys, "date",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("chart"), F.lit(n).alias("series"),
+                                     v.cast("double").alias("value")) for c, n, v in spec])).alias("p"),
+    ).select(*keys, "p.chart", "date", "p.series", "p.value").where(F.col("value").isNotNull())
+    fc = forecasts.select(*keys, F.lit("time_series_forecast").alias("chart"), "date",
+                          F.lit("forecast").alias("series"), F.col("predicted_price").alias("value"))
+    return long.unionByName(fc)
+
+
+# ---------------------------------------------------------------------------- F1, F2, F20
+def _has_any(name: str, hints) -> bool:
+    low = name.lower()
+    return any(h in low for h in hints)
+
+
+def detect_date_columns(df: DataFrame) -> DataFrame:
+    """F1 (+F20 name/type score): one aggregate over all candidate columns.
+
+    Output per candidate: column, position, valid_ratio, has_hint, is_datetime, score,
+    ui_score (F20), rank (1 = chosen; ties → first column).
+    """
+    cands = []
+    for pos, f in enumerate(df.schema.fields):
+        hint = _has_any(f.name, DATE_NAME_HINTS)
+        is_dt = isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        if isinstance(f.dataType, T.NumericType) and not hint and not is_dt:
+            continue
+        cands.append((pos, f.name, hint, is_dt))
+    if not cands:
+        raise ValueError("no date column candidate")
+    aggs = [F.count(F.lit(1)).alias("__n")] + [
+        F.count(to_timestamp_any(df, name)).alias(f"__v{pos}") for pos, name, _, _ in cands]
+    row = df.agg(*aggs)
+    structs = [F.struct(F.lit(name).alias("column"), F.lit(pos).alias("position"),
+                        F.try_divide(F.col(f"__v{pos}"), F.col("__n")).alias("valid_ratio"),
+                        F.lit(hint).alias("has_hint"), F.lit(is_dt).alias("is_datetime"),
+                        F.lit((5 if hint else 0) + (4 if is_dt else 0)
+                              + (1 if ("created" in name.lower() or "updated" in name.lower()) else 0))
+                        .alias("ui_score"))
+               for pos, name, hint, is_dt in cands]
+    out = row.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    out = out.where((F.col("valid_ratio") >= 0.5) | F.col("has_hint"))
+    out = out.withColumn("score", F.col("valid_ratio") * 4 + F.when(F.col("has_hint"), 3).otherwise(0)
+                         + F.when(F.col("is_datetime"), 2).otherwise(0))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "position")))
+
+
+def detect_price_columns(df: DataFrame, date_col: str) -> DataFrame:
+    """F2 (+F20): candidates with >= 6 numeric values; score, ui_score and rank."""
+    cands = [(pos, f.name) for pos, f in enumerate(df.schema.fields) if f.name != date_col]
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for pos, name in cands:
+        v = to_number(df, name)
+        aggs += [F.count(v).alias(f"__c{pos}"), F.stddev_samp(v).alias(f"__s{pos}")]
+    row = df.agg(*aggs)
+    structs = []
+    for pos, name in cands:
+        hint = _has_any(name, PRICE_NAME_HINTS)
+        vol = _has_any(name, VOLUME_HINTS)
+        numeric = isinstance(df.schema[name].dataType, T.NumericType)
+        ui = max((1 + (5 if hint else 0) - (3 if vol else 0)) if numeric else 0, 0)
+        structs.append(F.struct(
+            F.lit(name).alias("column"), F.lit(pos).alias("position"),
+            F.col(f"__c{pos}").cast("bigint").alias("valid_count"),
+            F.try_divide(F.col(f"__c{pos}"), F.col("__n")).alias("valid_ratio"),
+            F.coalesce(F.col(f"__s{pos}"), F.lit(0.0)).alias("std"),
+            F.lit(hint).alias("has_hint"), F.lit(vol).alias("has_volume"), F.lit(ui).alias("ui_score")))
+    out = row.select(F.explode(F.array(*structs)).alias("c")).select("c.*").where(F.col("valid_count") >= 6)
+    out = out.withColumn(
+        "score", F.col("valid_ratio") * 3 + F.least(F.col("std"), F.lit(1000.0)) / 1000
+        + F.when(F.col("has_hint"), 5).otherwise(0) - F.when(F.col("has_volume"), 3).otherwise(0))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "position")))
