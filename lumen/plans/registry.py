@@ -29,4 +29,5 @@ def load_all() -> None:
     # importing the modules fills the registry
     from lumen.plans import (  # noqa: F401
         q_finance,
+        q_profile,
     )
