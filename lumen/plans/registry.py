@@ -30,4 +30,5 @@ def load_all() -> None:
     from lumen.plans import (  # noqa: F401
         q_finance,
         q_profile,
+        q_combine,
     )
