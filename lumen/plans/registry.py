@@ -31,4 +31,5 @@ def load_all() -> None:
         q_finance,
         q_profile,
         q_combine,
+        q_model,
     )
