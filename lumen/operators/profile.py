@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumen.functions.casts import is_numeric_type, logical_type, type_family
+from lumen.functions.casts import is_numeric_type, logical_type, type_family  # noqa: F401
 from lumen.functions.quantiles import exact_quantiles, sorted_gaps
 
 _FLOAT_TYPES = (T.FloatType, T.DoubleType)

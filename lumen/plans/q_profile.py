@@ -20,6 +20,9 @@ SCHEMAS = {
                  ("c_mktsegment", "s")],
     "events": [("event_id", "i"), ("ts", "t"), ("user_id", "i"), ("event_type", "s"), ("value", "f"),
                ("props", "s")],
+    "part": [("p_partkey", "i"), ("p_name", "s"), ("p_brand", "s"), ("p_type", "s"), ("p_size", "i"),
+             ("p_retailprice", "f")],
+    "supplier": [("s_suppkey", "i"), ("s_name", "s"), ("s_nationkey", "i"), ("s_acctbal", "f")],
     "orders": [("o_orderkey", "i"), ("o_custkey", "i"), ("o_orderstatus", "s"), ("o_totalprice", "f"),
                ("o_orderdate", "t"), ("o_orderpriority", "s")],
 }
@@ -184,12 +187,19 @@ def _quality_parts(spark, sf_dir):
     return prof, flags, summ
 
 
-_FLAGS_SQL = """,
+def flags_sql(tbl: str) -> str:
+    """CTEs ``outl``, ``flags``, ``summ``, ``scored``, ``issues`` on top of ``src`` / ``prof``."""
+    cols = SCHEMAS[tbl]
+    numeric_union = " UNION ALL ".join(
+        f"SELECT {i} AS position, CAST({n} AS DOUBLE) AS v FROM src" for i, (n, k) in enumerate(cols) if k in "if")
+    leak = " OR ".join(f"contains(lower(trim(p.\"column\")), '{w}')" for w in Q.LEAKAGE_KEYWORDS)
+    group_all = ", ".join(n for n, _ in cols)
+    issue_sum = ("(constant_columns + high_cardinality_columns + outlier_columns + imbalanced_columns"
+                 " + leakage_columns + CASE WHEN duplicate_rows > 0 THEN 1 ELSE 0 END"
+                 " + CASE WHEN missing_total > 0 THEN 1 ELSE 0 END)")
+    return f""",
 outl AS (
-  SELECT p.position FROM prof p JOIN (
-    SELECT position, v FROM (""" + " UNION ALL ".join(
-    f"SELECT {i} AS position, CAST({n} AS DOUBLE) AS v FROM src" for i, (n, k) in enumerate(SCHEMAS["lineitem"]) if k in "if"
-) + """)) x ON x.position = p.position
+  SELECT p.position FROM prof p JOIN ({numeric_union}) x ON x.position = p.position
   WHERE p.is_numeric AND v IS NOT NULL
   GROUP BY p.position, p.p25, p.p75, p.non_null
   HAVING p.non_null >= 4 AND p.p75 - p.p25 <> 0
@@ -199,11 +209,11 @@ flags AS (
   SELECT p.position, p."column",
     (p.non_null = 0 OR p."distinct" <= 1) AS is_constant,
     (p.non_null > 0 AND p."distinct" / greatest(p.non_null, 1) >= 0.9 AND p.non_null >= 10) AS is_high_cardinality,
-    (p.non_null > 0 AND (lower(trim(p."column")) = 'id' OR lower(trim(p."column")) LIKE '%\\_id' ESCAPE '\\'
+    (p.non_null > 0 AND (lower(trim(p."column")) = 'id' OR suffix(lower(trim(p."column")), '_id')
                          OR p."distinct" / greatest(p.non_null, 1) >= 0.98)) AS is_id_like,
     (p.non_null > 0 AND p."distinct" <= least(20, greatest(2, floor(p.row_count / 2))) AND p."distinct" >= 2
        AND p.top_count / p.non_null >= 0.8) AS is_imbalanced,
-    (""" + " OR ".join(f"contains(lower(trim(p.\"column\")), '{w}')" for w in Q.LEAKAGE_KEYWORDS) + """) AS is_leakage,
+    ({leak}) AS is_leakage,
     (o.position IS NOT NULL) AS has_outliers
   FROM prof p LEFT JOIN outl o ON o.position = p.position
 ),
@@ -218,16 +228,31 @@ summ AS (
     (SELECT max(row_count) FROM prof)::BIGINT AS row_count,
     (SELECT count(*) FROM prof)::BIGINT AS column_count,
     (SELECT sum(missing) FROM prof)::BIGINT AS missing_total,
-    (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM src GROUP BY """ + ", ".join(n for n, _ in SCHEMAS["lineitem"]) + """))::BIGINT AS duplicate_rows
+    (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM src GROUP BY {group_all}))::BIGINT AS duplicate_rows
   FROM flags
 ),
 scored AS (
-  SELECT *, (constant_columns + high_cardinality_columns + outlier_columns + imbalanced_columns + leakage_columns
-             + CASE WHEN duplicate_rows > 0 THEN 1 ELSE 0 END + CASE WHEN missing_total > 0 THEN 1 ELSE 0 END)::BIGINT AS issue_count
+  SELECT *, {issue_sum}::BIGINT AS issue_count,
+    greatest(0, 100 - least(35, round_even(missing_total / greatest(row_count * column_count, 1) * 100, 0))
+              - least(20, round_even(duplicate_rows / greatest(row_count, 1) * 100, 0))
+              - least(30, {issue_sum} * 3))::INTEGER AS quality_score
   FROM summ
+),
+issues AS (
+  SELECT 2 AS ord, 'warning' AS severity, 'missing_values' AS code FROM scored WHERE missing_total > 0
+  UNION ALL SELECT 3, 'warning', 'duplicate_rows' FROM scored WHERE duplicate_rows > 0
+  UNION ALL SELECT 4, 'info', 'constant_columns' FROM scored WHERE constant_columns > 0
+  UNION ALL SELECT 5, 'info', 'high_cardinality' FROM scored WHERE high_cardinality_columns > 0
+  UNION ALL SELECT 6, 'warning', 'outliers' FROM scored WHERE outlier_columns > 0
+  UNION ALL SELECT 7, 'warning', 'class_imbalance' FROM scored WHERE imbalanced_columns > 0
+  UNION ALL SELECT 8, 'danger', 'target_leakage' FROM scored WHERE leakage_columns > 0
 )"""
 
 
+_FLAGS_SQL = flags_sql("lineitem")
+
+
+
 @register("quality_flags", sql="WITH " + profile_sql("lineitem", _holes_sql()) + _FLAGS_SQL + """
 SELECT position, "column", is_constant, is_high_cardinality, is_id_like, is_imbalanced, is_leakage, has_outliers FROM flags""")
 def q_quality_flags(spark, sf_dir):
@@ -239,10 +264,7 @@ def q_quality_flags(spark, sf_dir):
 
 @register("quality_score", sql="WITH " + profile_sql("lineitem", _holes_sql()) + _FLAGS_SQL + """
 SELECT constant_columns, high_cardinality_columns, id_like_columns, outlier_columns, imbalanced_columns,
-  leakage_columns, row_count, column_count, missing_total, duplicate_rows, issue_count,
-  greatest(0, 100 - least(35, round_even(missing_total / greatest(row_count * column_count, 1) * 100, 0))
-              - least(20, round_even(duplicate_rows / greatest(row_count, 1) * 100, 0))
-              - least(30, issue_count * 3))::INTEGER AS quality_score,
+  leakage_columns, row_count, column_count, missing_total, duplicate_rows, issue_count, quality_score,
   false AS is_profiled_sample
 FROM scored""")
 def q_quality_score(spark, sf_dir):
@@ -251,14 +273,7 @@ def q_quality_score(spark, sf_dir):
 
 
 @register("quality_issues", sql="WITH " + profile_sql("lineitem", _holes_sql()) + _FLAGS_SQL + """
-SELECT * FROM (
-  SELECT 2 AS ord, 'warning' AS severity, 'missing_values' AS code FROM scored WHERE missing_total > 0
-  UNION ALL SELECT 3, 'warning', 'duplicate_rows' FROM scored WHERE duplicate_rows > 0
-  UNION ALL SELECT 4, 'info', 'constant_columns' FROM scored WHERE constant_columns > 0
-  UNION ALL SELECT 5, 'info', 'high_cardinality' FROM scored WHERE high_cardinality_columns > 0
-  UNION ALL SELECT 6, 'warning', 'outliers' FROM scored WHERE outlier_columns > 0
-  UNION ALL SELECT 7, 'warning', 'class_imbalance' FROM scored WHERE imbalanced_columns > 0
-  UNION ALL SELECT 8, 'danger', 'target_leakage' FROM scored WHERE leakage_columns > 0)""")
+SELECT * FROM issues""")
 def q_quality_issues(spark, sf_dir):
     """Issue list of lineitem (with holes), fixed order and severity."""
     return Q.quality_issues(_quality_parts(spark, sf_dir)[2])

@@ -32,4 +32,5 @@ def load_all() -> None:
         q_profile,
         q_combine,
         q_model,
+        q_rules,
     )
