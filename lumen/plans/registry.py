@@ -33,4 +33,5 @@ def load_all() -> None:
         q_combine,
         q_model,
         q_rules,
+        q_runlog,
     )
