@@ -34,4 +34,5 @@ def load_all() -> None:
         q_model,
         q_rules,
         q_runlog,
+        q_sources,
     )
