@@ -35,4 +35,5 @@ def load_all() -> None:
         q_rules,
         q_runlog,
         q_sources,
+        q_streaming,
     )
