@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 # A group whose histogram has at most this many distinct values is small enough for
 # Spark's own exact ``percentile`` (its buffer holds one entry per distinct value).
-SMALL_GROUP_DISTINCT = 200_000
+SMALL_GROUP_DISTINCT = 1_000_000
 # Above this many groups the per-group size check itself is not collected to the driver.
 MAX_CHECKED_GROUPS = 10_000
 
@@ -93,66 +93,64 @@ def exact_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col:
     """Linear-interpolated quantiles per key: output ``(keys..., prob, value)``.
 
     ``hist`` rows are ``(keys..., value, count)``; null values are ignored.  Groups with
-    at most ``small_limit`` distinct values (checked first) use ``percentile`` with the
-    count as frequency; larger groups use the range-bucketed rank search.
+    at most ``small_limit`` distinct values (checked first) get their ranks from one
+    sorted running count per group; larger groups are cut into range buckets first.
     """
     hist = hist.where(F.col(value_col).isNotNull())
     split = split_by_size(hist, keys, small_limit)
-    if split is not None:
-        small, large = split
-        parts = []
-        if small:
-            sub = hist if not large else hist.where(_key_filter(keys, small))
-            pct = sub.groupBy(*keys).agg(F.percentile(
-                F.col(value_col).cast("double"), F.array(*[F.lit(float(p)) for p in probs]),
-                F.col(count_col).cast("bigint")).alias("__q"))
-            parts.append(pct.select(*keys, F.posexplode("__q").alias("__i", "value")).select(
-                *keys, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1).alias("prob"),
-                "value"))
-        if large:
-            parts.append(_bucketed_quantiles(hist.where(_key_filter(keys, large)), keys, value_col,
-                                             count_col, probs, buckets))
-        if not parts:
-            return hist.select(*keys, F.lit(None).cast("double").alias("prob"),
-                               F.lit(None).cast("double").alias("value")).limit(0)
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        return out
-    return _bucketed_quantiles(hist, keys, value_col, count_col, probs, buckets)
+    if split is None:
+        return _bucketed_quantiles(hist, keys, value_col, count_col, probs, buckets)
+    small, large = split
+    parts = []
+    if small:
+        sub = hist if not large else hist.where(_key_filter(keys, small))
+        by_key = Window.partitionBy(*keys)
+        running = by_key.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = sub.select(*keys, value_col, count_col,
+                            F.sum(count_col).over(by_key).alias("__n"),
+                            F.coalesce(F.sum(count_col).over(running), F.lit(0)).alias("__start"))
+        parts.append(_pick_ranks(ranked, keys, value_col, count_col, probs))
+    if large:
+        parts.append(_bucketed_quantiles(hist.where(_key_filter(keys, large)), keys, value_col,
+                                         count_col, probs, buckets))
+    if not parts:
+        return hist.select(*keys, F.lit(None).cast("double").alias("prob"),
+                           F.lit(None).cast("double").alias("value")).limit(0)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+def _pick_ranks(ranked: DataFrame, keys: list[str], value_col: str, count_col: str,
+                probs: list[float]) -> DataFrame:
+    """From rows carrying ``__start`` (rank of the value's first copy) and ``__n`` (group
+    size), one aggregate picks the values at ranks floor((n-1)p) and the next one."""
+    aggs = []
+    start, end = F.col("__start"), F.col("__start") + F.col(count_col)
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("__n") - 1)
+        aggs += [F.max(F.when((start <= lo) & (lo < end), F.col(value_col))).alias(f"__lo{i}"),
+                 F.max(F.when((start <= hi) & (hi < end), F.col(value_col))).alias(f"__hi{i}"),
+                 F.max(h - lo).alias(f"__f{i}")]
+    picked = ranked.groupBy(*keys).agg(*aggs)
+    rows = [F.struct(F.lit(float(p)).alias("prob"),
+                     (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias("value"))
+            for i, p in enumerate(probs)]
+    return picked.select(*keys, F.explode(F.array(*rows)).alias("__q")).select(*keys, "__q.prob", "__q.value")
 
 
 def _bucketed_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
                         probs: list[float], buckets: int) -> DataFrame:
     ranked, offsets = ranked_histogram(hist, keys, value_col, count_col, buckets)
-    n_per_key = offsets.select(*keys, "__n").distinct()
-    wanted = n_per_key.select(
-        *keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "__n")
-    h = (F.col("__n") - 1) * F.col("prob")
-    wanted = wanted.select(
-        *keys, "prob",
-        F.floor(h).alias("__lo"),
-        F.least(F.floor(h) + 1, F.col("__n") - 1).alias("__hi"),
-        (h - F.floor(h)).alias("__frac"),
-    )
-    ranks = wanted.select(*keys, F.explode(F.array(F.col("__lo"), F.col("__hi"))).alias("__r")).distinct()
-    # which bucket holds each wanted rank (small x small), then an equi-join on the bucket
-    rb = ranks.join(offsets, on=keys).where(
-        (F.col("__r") >= F.col("__off")) & (F.col("__r") < F.col("__off") + F.col("__bt"))
-    ).select(*keys, "__bucket", "__r")
-    hits = ranked.join(rb, on=[*keys, "__bucket"]).where(
-        (F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__start") + F.col(count_col))
-    ).select(*keys, "__r", F.col(value_col).alias("__v"))
-    lo = hits.select(*keys, F.col("__r").alias("__lo"), F.col("__v").alias("__vlo"))
-    hi = hits.select(*keys, F.col("__r").alias("__hi"), F.col("__v").alias("__vhi"))
-    out = wanted.join(lo, on=[*keys, "__lo"]).join(hi, on=[*keys, "__hi"])
-    return out.select(
-        *keys, "prob",
-        (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("value"))
+    ranked = ranked.join(offsets.select(*keys, "__bucket", "__n"), on=[*keys, "__bucket"])
+    return _pick_ranks(ranked, keys, value_col, count_col, probs)
 
 
 def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, small_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
     """Differences between consecutive sorted values per key, as a weighted histogram.
 
     Output ``(keys..., gap, cnt)``: repeated values give gap 0 (count-1 times); each
@@ -160,7 +158,7 @@ def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
     Neighbours across bucket edges come from the previous bucket's maximum.
     """
     hist = long.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    split = split_by_size(hist, keys)
+    split = split_by_size(hist, keys, small_limit)
     if split is not None and not split[1]:
         # every group is small (checked): one window per group over its distinct values
         w = Window.partitionBy(*keys).orderBy(value_col)

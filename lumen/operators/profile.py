@@ -51,14 +51,37 @@ def schema_rows(df: DataFrame) -> list[tuple[int, str, T.DataType]]:
     return [(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
 
 
-def value_histogram(df: DataFrame) -> DataFrame:
-    """``(position, value, cnt)`` over all columns; nulls dropped."""
+def value_histogram(df: DataFrame, materialize: bool = False) -> DataFrame:
+    """``(position, value_i, value_d, value_t, cnt, value, num)`` over all columns, nulls dropped.
+
+    Values keep their type through the shuffle (integers as bigint, floats as double with
+    NaN → null, everything else as text); the text form ``value`` and the numeric form
+    ``num`` are derived after aggregation, on distinct values only.  With
+    ``materialize`` the histogram is written once to the checkpoint folder.
+    """
     cols = schema_rows(df)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(pos).alias("position"), _as_text(df, name).alias("value")) for pos, name, _ in cols
-    ])).alias("kv")).select("kv.position", "kv.value")
-    return long.where(F.col("value").isNotNull()).groupBy("position", "value").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    null_i, null_d, null_t = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    parts = []
+    for pos, name, dt in cols:
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            i, d, t = F.col(f"`{name}`").cast("bigint"), null_d, null_t
+        elif isinstance(dt, T.NumericType):
+            i, d, t = null_i, _clean(df, name).cast("double"), null_t
+        else:
+            i, d, t = null_i, null_d, _as_text(df, name)
+        parts.append(F.struct(F.lit(pos).alias("position"), i.alias("value_i"), d.alias("value_d"),
+                              t.alias("value_t")))
+    long = df.select(F.explode(F.array(*parts)).alias("kv")).select("kv.*")
+    hist = (long.where(F.col("value_i").isNotNull() | F.col("value_d").isNotNull() | F.col("value_t").isNotNull())
+            .groupBy("position", "value_i", "value_d", "value_t").agg(F.count(F.lit(1)).alias("cnt")))
+    hist = hist.select("*", F.coalesce(F.col("value_i").cast("string"), F.col("value_d").cast("string"),
+                                       F.col("value_t")).alias("value"),
+                       F.coalesce(F.col("value_d"), F.col("value_i").cast("double")).alias("num"))
+    if materialize:
+        from lumen.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        hist = hist.checkpoint(eager=True)
+    return hist
 
 
 def _numeric_positions(df: DataFrame) -> list[int]:
@@ -98,7 +121,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
         ) for pos, name, dt in cols
     ])).alias("c")).select("c.*").withColumn("missing", F.col("row_count") - F.col("non_null"))
 
-    hist = hist if hist is not None else value_histogram(df)
+    hist = hist if hist is not None else value_histogram(df, materialize=True)
     dist = hist.groupBy("position").agg(
         F.count(F.lit(1)).cast("bigint").alias("distinct"),
         F.max("cnt").cast("bigint").alias("top_count"),
@@ -122,9 +145,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
 
 def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float]) -> DataFrame:
     """Exact quantiles of numeric columns from the value histogram: (position, prob, value)."""
-    h = hist.where(F.col("position").isin(positions)).select(
-        "position", F.col("value").cast("double").alias("v"), "cnt")
-    h = h.groupBy("position", "v").agg(F.sum("cnt").alias("cnt"))
+    h = hist.where(F.col("position").isin(positions)).select("position", F.col("num").alias("v"), "cnt")
     return exact_quantiles(h, ["position"], "v", "cnt", probs)
 
 
@@ -135,23 +156,25 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return grouped.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def iqr_outliers(df: DataFrame, hist: DataFrame | None = None) -> DataFrame:
+def iqr_outliers(df: DataFrame, hist: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
     """Per numeric column with >= 4 values and IQR > 0, values strictly outside
     [q1 - 1.5 iqr, q3 + 1.5 iqr]; only columns with at least one outlier are returned.
     Output: position, column, count, ratio, lower_bound, upper_bound.
     """
     numeric = _numeric_positions(df)
     names = {pos: name for pos, name, _ in schema_rows(df)}
-    hist = hist if hist is not None else value_histogram(df)
-    q = numeric_quantiles(hist, numeric, [0.25, 0.75])
-    bounds = q.groupBy("position").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
+    hist = hist if hist is not None else value_histogram(df, materialize=True)
+    if profile is not None:
+        bounds = profile.where(F.col("is_numeric")).select("position", F.col("p25").alias("q1"), F.col("p75").alias("q3"))
+    else:
+        q = numeric_quantiles(hist, numeric, [0.25, 0.75])
+        bounds = q.groupBy("position").agg(
+            F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
+            F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
     bounds = bounds.withColumn("iqr", F.col("q3") - F.col("q1")).select(
         "position", "iqr", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_bound"),
         (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_bound"))
-    h = hist.where(F.col("position").isin(numeric)).select(
-        "position", F.col("value").cast("double").alias("v"), "cnt")
+    h = hist.where(F.col("position").isin(numeric)).select("position", F.col("num").alias("v"), "cnt")
     counted = h.join(bounds, on="position").groupBy("position", "iqr", "lower_bound", "upper_bound").agg(
         F.sum("cnt").alias("n"),
         F.sum(F.when((F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound")), F.col("cnt"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from lumen.functions.casts import to_number, to_timestamp_any
 from lumen.operators.scan import ema
+from lumen.session import checkpoint_dir
 
 # fixed values: column-name hints used to pick the date and price columns
 DATE_NAME_HINTS = ("date", "datetime", "timestamp", "time", "day", "日期", "時間", "交易日")
@@ -85,7 +86,7 @@ def _rolling(expr: Column, base: Window, width: int, how: str) -> Column:
     return F.when(F.count(expr).over(frame) >= 2, agg.over(frame))
 
 
-def add_indicators(series: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """F5-F11 over a series ``(keys..., date, price)``.
 
     Adds idx (0-based position), ma_short, ma_long, return, volatility, rsi, macd,
@@ -100,6 +101,11 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None) -> DataFram
     base = base.withColumn("n", F.count(F.lit(1)).over(by_key))
     params = window_params(F.col("n"))
     base = base.select("*", *[c.alias(name) for name, c in params.items()])
+    if materialize:
+        # one row per (key, date): written once to the checkpoint folder, so the window,
+        # block-table and join branches below all read it instead of re-running the scan
+        checkpoint_dir(series.sparkSession)
+        base = base.checkpoint(eager=True)
 
     combos = [r.asDict() for r in base.select(*params.keys()).distinct().collect()]  # <= ~30 rows
 

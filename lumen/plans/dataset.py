@@ -34,12 +34,11 @@ class DatasetAnalysis:
 
 
 def analyze_dataset(df: DataFrame, name: str = "dataset", materialize: bool = True) -> DatasetAnalysis:
-    hist = P.value_histogram(df)
-    if materialize:
-        checkpoint_dir(df.sparkSession)
-        hist = hist.checkpoint(eager=True)
+    hist = P.value_histogram(df, materialize=materialize)
     prof = P.column_profile(df, hist)
-    outl = P.iqr_outliers(df, hist)
+    if materialize:
+        prof = prof.checkpoint(eager=True)  # one row per column; read by every rule below
+    outl = P.iqr_outliers(df, hist, prof)
     flags = Q.column_flags(prof, outl)
     summ = Q.quality_summary(flags, P.duplicate_rows(df), prof)
     numeric = [f.name for f in df.schema.fields if P.is_numeric_type(f.dataType)]

@@ -179,12 +179,9 @@ def q_date_frequency(spark, sf_dir):
 
 
 def _quality_parts(spark, sf_dir):
-    df = lineitem_with_holes(spark, sf_dir)
-    hist = P.value_histogram(df)
-    prof = P.column_profile(df, hist)
-    flags = Q.column_flags(prof, P.iqr_outliers(df, hist))
-    summ = Q.quality_summary(flags, P.duplicate_rows(df), prof)
-    return prof, flags, summ
+    from lumen.plans.dataset import analyze_dataset
+    a = analyze_dataset(lineitem_with_holes(spark, sf_dir), "lineitem")
+    return a.profile, a.flags, a.summary
 
 
 def flags_sql(tbl: str) -> str:
