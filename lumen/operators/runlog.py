@@ -264,3 +264,36 @@ def dedupe_links(links: DataFrame) -> DataFrame:
 def listing(df: DataFrame, partition_col: str, order_col: str) -> DataFrame:
     """The index-backed listings become a sort within a partition column."""
     return df.repartition(partition_col).sortWithinPartitions(partition_col, F.desc(order_col))
+
+
+# ---------------------------------------------------------------------------- G2, G9, G14
+def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Append log rows (dataset profiles, audit entries) to a Parquet table."""
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
+def run_manifest(run_id: str, run_type: str, file_hashes: DataFrame, batch_hash: DataFrame,
+                 parameters: dict, results: DataFrame | None = None, started_epoch: float | None = None) -> DataFrame:
+    """One-row manifest — input files (name, size, sha256), combined input hash,
+    parameters, model results and duration, with the whole record as JSON text."""
+    import json
+    import time
+
+    files = file_hashes.agg(F.array_sort(F.collect_list(F.struct(
+        F.col("file_name"), F.col("length").alias("size_bytes"), F.col("sha256")))).alias("input_files"))
+    models = (results.agg(F.collect_list(F.struct(*results.columns)).alias("models")) if results is not None
+              else file_hashes.sparkSession.createDataFrame([([],)], "models array<string>"))
+    now = time.time()
+    row = files.withColumn("__one", F.lit(1)).join(batch_hash.withColumn("__one", F.lit(1)), on="__one") \
+        .join(models.withColumn("__one", F.lit(1)), on="__one").drop("__one")
+    row = row.select(
+        F.lit(run_id).alias("run_id"), F.lit(run_type).alias("run_type"), "input_files",
+        F.col("batch_sha256").alias("combined_input_hash"),
+        F.lit(json.dumps(parameters, sort_keys=True, separators=(",", ":"))).alias("parameters_json"), "models",
+        F.lit(round(started_epoch, 6) if started_epoch else None).cast("double").alias("created_at_epoch"),
+        F.lit(round(now, 6)).alias("finished_at_epoch"),
+        F.lit(round(now - started_epoch, 4) if started_epoch else None).cast("double").alias("duration_seconds"))
+    return row.withColumn("manifest_json", F.to_json(F.struct(*[c for c in row.columns])))

@@ -281,3 +281,31 @@ def q_feature_importance(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
     run = run_model_analysis(li, "l_extendedprice", models=["decision_tree_regressor", "linear_regression"])
     return spark.createDataFrame(run.importance, "feature string, importance double")
+
+
+@register("residuals_linreg", sql=_LINREG_CTE.format(x="l_quantity") + f"""
+SELECT {R('y', 4)} AS actual, {R('p', 4)} AS predicted, {R('y - p', 4)} AS residual FROM p""")
+def q_residuals_linreg(spark, sf_dir):
+    """M32 + M33: predicted-vs-actual points and residuals of the one-feature regression."""
+    pts = ME.predicted_vs_actual(_linreg_pred(spark, sf_dir, "l_quantity"))
+    return pts.select(fround("actual", 4).alias("actual"), fround("predicted", 4).alias("predicted"),
+                      fround("residual", 4).alias("residual"))
+
+
+@register("model_comparison_table", sql=f"""
+WITH s AS (SELECT l_extendedprice AS y, l_quantity AS xq, l_discount AS xd, l_orderkey % 4 = 0 AS is_test FROM lineitem),
+fq AS (SELECT regr_slope(y, xq) AS b, regr_intercept(y, xq) AS a FROM s WHERE NOT is_test),
+fd AS (SELECT regr_slope(y, xd) AS b, regr_intercept(y, xd) AS a FROM s WHERE NOT is_test),
+md AS (SELECT quantile_cont(y, 0.5) AS m FROM s WHERE NOT is_test),
+p AS (
+  SELECT 'baseline_regressor' AS model_key, y, m AS p FROM s, md WHERE is_test
+  UNION ALL SELECT 'linreg_quantity', y, fq.a + fq.b * xq FROM s, fq WHERE is_test
+  UNION ALL SELECT 'linreg_discount', y, fd.a + fd.b * xd FROM s, fd WHERE is_test
+),
+r AS (SELECT model_key, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae FROM p GROUP BY 1)
+SELECT model_key, 'rmse' AS metric, {R('rmse', 4)} AS value FROM r
+UNION ALL SELECT model_key, 'mae', {R('mae', 4)} FROM r""")
+def q_model_comparison_table(spark, sf_dir):
+    """RMSE / MAE per model as a long table (chart data)."""
+    res = q_best_model(spark, sf_dir)
+    return ME.comparison_table(res).select("model_key", "metric", fround("value", 4).alias("value"))

@@ -229,3 +229,14 @@ def q_insert_if_absent(spark, sf_dir):
     incoming = e.select("user_id").distinct()
     fresh = G.insert_if_absent(existing, incoming, "user_id")
     return fresh.select(G.stable_id("user", F.col("user_id").cast("string")).alias("id"), "user_id")
+
+
+@register("run_manifest")
+def q_run_manifest(spark, sf_dir):
+    """Run manifest over the input table files and a model run's results (rows-only:
+    it carries the wall-clock finish time)."""
+    from lumen.plans.q_model import q_best_model
+    from lumen.sources import files as S
+    hashes = S.file_hashes(spark, f"{sf_dir.rstrip('/')}/*.parquet")
+    return G.run_manifest("run_lineitem_price", "model", hashes, S.batch_hash(hashes),
+                          {"target": "l_extendedprice", "split": "l_orderkey % 4 = 0"}, q_best_model(spark, sf_dir))

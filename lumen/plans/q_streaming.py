@@ -49,3 +49,25 @@ def q_stream_rate_limit(spark, sf_dir):
     """Admitted / late flag per request with bounded per-key state (rows-only)."""
     s = W.rate_limit_stream(W.table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id")
     return W.run_to_table(s, "append", "rate_limit").drop("__batch")
+
+
+def _stream_ind_sql() -> str:
+    from lumen.plans.q_finance import _ROUND_SQL, _ind_sql
+    daily = """
+daily AS (
+  SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS price FROM events
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+  GROUP BY 1, 2
+)"""
+    # 29 closed days per type: F5 gives fast = min(12, max(3, 29 // 3)) = 9
+    return "WITH RECURSIVE " + daily + "," + _ind_sql(("event_type",), fast=9) + _ROUND_SQL.format(k="event_type, ")
+
+
+@register("stream_indicators", sql=_stream_ind_sql())
+def q_stream_indicators(spark, sf_dir):
+    """W2 + F5-F11: indicators over the days a watermarked stream has closed."""
+    from lumen.operators import series as S
+    from lumen.plans.q_finance import _round_indicators
+    s = W.daily_series_stream(W.table_stream(spark, sf_dir, "events"), "ts", "value", ["event_type"])
+    daily = W.run_to_table(s, "append", "daily_for_indicators").select("event_type", "date", "price")
+    return _round_indicators(S.add_indicators(daily, ["event_type"]), keys=("event_type",))
