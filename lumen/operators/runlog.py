@@ -208,25 +208,45 @@ def sliding_counts(requests: DataFrame, keys: list[str], ts: str, window_seconds
     return both.where(~F.col("__halo")).drop("__us", "__b", "__halo")
 
 
+def _bursts(requests: DataFrame, keys: list[str], ts: str, order: str, window_seconds: int,
+            bucket_seconds: int = 3600) -> DataFrame:
+    """Number each key's bursts (runs without a pause longer than the window) without a
+    per-key sort: rows are windowed per (key, hour); the previous row across an hour
+    edge comes from a per-(key, hour) edge table, and burst numbers are offset by the
+    starts counted in earlier hours (a window over the small keys x hours table)."""
+    win = window_seconds * 1_000_000
+    b_us = max(bucket_seconds, window_seconds) * 1_000_000
+    base = requests.withColumn("__us", epoch_us(F.col(ts))).withColumn("__b", F.floor(F.col("__us") / b_us))
+    edges = base.groupBy(*keys, "__b").agg(F.max("__us").alias("__bmax"))
+    edges = edges.select(*keys, "__b", F.lag("__bmax").over(Window.partitionBy(*keys).orderBy("__b")).alias("__edge"))
+    w_kb = Window.partitionBy(*keys, "__b").orderBy("__us", F.col(order))
+    staged = base.join(edges, on=[*keys, "__b"]).withColumn(
+        "__prev", F.coalesce(F.lag("__us").over(w_kb), F.col("__edge")))
+    staged = staged.withColumn(
+        "__start", (F.col("__prev").isNull() | ((F.col("__us") - F.col("__prev")) > win)).cast("int"))
+    per_bucket = staged.groupBy(*keys, "__b").agg(F.sum("__start").alias("__s"))
+    offsets = per_bucket.select(*keys, "__b", F.coalesce(F.sum("__s").over(
+        Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    staged = staged.join(offsets, on=[*keys, "__b"]).withColumn(
+        "__burst", F.col("__off") + F.sum("__start").over(w_kb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return staged.drop("__b", "__edge", "__prev", "__start", "__off")
+
+
 def admitted_requests(requests: DataFrame, keys: list[str], ts: str, order: str, limit: int = RATE_LIMIT,
                       window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
     """G13 (reference semantics): a request is admitted when fewer than ``limit``
     *admitted* requests of its key fall in [ts - window, ts]; rejected calls do not count.
 
     The rule is sequential per key, but its state empties after any pause longer than
-    the window.  Requests are cut into bursts at such pauses; bursts are hash-
-    partitioned (a busy client's bursts spread over tasks), sorted inside each task,
-    and scanned once by a small pandas helper that keeps at most ``limit`` admitted
-    timestamps.  Only a client that never pauses for ``window`` forms a single burst.
+    the window.  Requests are cut into bursts at such pauses (numbered per key without
+    a per-key sort, see ``_bursts``); bursts are hash-partitioned (a busy client's
+    bursts spread over tasks), sorted inside each task, and scanned once by a small
+    pandas helper that keeps at most ``limit`` admitted timestamps.  Only a client that
+    never pauses for ``window`` forms a single burst.
     """
     import pandas as pd
 
-    us = epoch_us(F.col(ts))
-    w = Window.partitionBy(*keys).orderBy(us, F.col(order))
-    staged = requests.withColumn("__us", us).withColumn(
-        "__start", F.coalesce((F.col("__us") - F.lag("__us").over(w)) > window_seconds * 1_000_000, F.lit(True)))
-    staged = staged.withColumn("__burst", F.sum(F.col("__start").cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__start")
+    staged = _bursts(requests, keys, ts, order, window_seconds)
     out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields]
                            + ["admitted boolean"])
     win = window_seconds * 1_000_000
@@ -244,6 +264,8 @@ def admitted_requests(requests: DataFrame, keys: list[str], ts: str, order: str,
                     current, kept, head = g, [], 0
                 while head < len(kept) and kept[head] < t - win:
                     head += 1
+                if head > 4 * limit:          # keep only the live window: memory stays O(limit)
+                    kept, head = kept[head:], 0
                 ok = (len(kept) - head) < limit
                 if ok:
                     kept.append(t)

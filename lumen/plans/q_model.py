@@ -85,11 +85,12 @@ WITH h AS (
   UNION ALL SELECT 'p_brand', p_brand, count(*)::BIGINT FROM part WHERE p_brand IS NOT NULL GROUP BY 2
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, category) AS rn,
-             count(*) OVER (PARTITION BY "column") AS k FROM h)
-SELECT "column", category,
-  (CASE WHEN k > 32 AND rn >= 32 THEN 31 ELSE rn - 1 END)::INTEGER AS slot, count,
-  (k > 32 AND rn >= 32) AS is_infrequent, rn = 1 AS is_mode
-FROM r""")
+             count(*) OVER (PARTITION BY "column") AS k, sum(count) OVER (PARTITION BY "column") AS total FROM h)
+SELECT "column", category, (rn - 1)::INTEGER AS slot, count, false AS is_infrequent, rn = 1 AS is_mode
+FROM r WHERE k <= 32 OR rn < 32
+UNION ALL
+SELECT "column", NULL, 31, (max(total) - sum(count) FILTER (WHERE rn < 32))::BIGINT, true, false
+FROM r WHERE k > 32 GROUP BY 1""")
 def q_onehot_map(spark, sf_dir):
     """M8: one-hot slots capped at 32 outputs (31 most frequent + infrequent) and the mode."""
     return MP.category_maps(table(spark, sf_dir, "part"), ["p_name", "p_brand"])

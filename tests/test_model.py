@@ -63,6 +63,7 @@ def test_metrics(spark):
 def test_category_cap(spark):
     rows = [(f"c{i % 40}",) for i in range(400)] + [("c0",)] * 10
     maps = MP.category_maps(spark.createDataFrame(rows, "x string"), ["x"]).collect()
-    assert max(r["slot"] for r in maps) == 31
-    assert sum(1 for r in maps if r["is_infrequent"]) == 9
+    assert max(r["slot"] for r in maps) == 31 and len(maps) == 32
+    inf = [r for r in maps if r["is_infrequent"]]
+    assert len(inf) == 1 and inf[0]["count"] == 9 * 10   # nine least frequent categories, ten rows each
     assert [r["category"] for r in maps if r["is_mode"]] == ["c0"]
