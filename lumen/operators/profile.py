@@ -60,20 +60,29 @@ def value_histogram(df: DataFrame, materialize: bool = False) -> DataFrame:
     ``materialize`` the histogram is written once to the checkpoint folder.
     """
     cols = schema_rows(df)
-    null_i, null_d, null_t = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    parts = []
+    groups: dict[str, list[tuple[int, Column]]] = {"value_i": [], "value_d": [], "value_t": []}
     for pos, name, dt in cols:
         if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            i, d, t = F.col(f"`{name}`").cast("bigint"), null_d, null_t
+            groups["value_i"].append((pos, F.col(f"`{name}`").cast("bigint")))
         elif isinstance(dt, T.NumericType):
-            i, d, t = null_i, _clean(df, name).cast("double"), null_t
+            groups["value_d"].append((pos, _clean(df, name).cast("double")))
         else:
-            i, d, t = null_i, null_d, _as_text(df, name)
-        parts.append(F.struct(F.lit(pos).alias("position"), i.alias("value_i"), d.alias("value_d"),
-                              t.alias("value_t")))
-    long = df.select(F.explode(F.array(*parts)).alias("kv")).select("kv.*")
-    hist = (long.where(F.col("value_i").isNotNull() | F.col("value_d").isNotNull() | F.col("value_t").isNotNull())
-            .groupBy("position", "value_i", "value_d", "value_t").agg(F.count(F.lit(1)).alias("cnt")))
+            groups["value_t"].append((pos, _as_text(df, name)))
+    types = {"value_i": "bigint", "value_d": "double", "value_t": "string"}
+    hist = None
+    # one branch per value type: simpler grouping keys, and each scan reads only its columns
+    for out_col, members in groups.items():
+        if not members:
+            continue
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(pos).alias("position"), v.alias("v"))
+                                              for pos, v in members])).alias("kv")).select("kv.*")
+        part = long.where(F.col("v").isNotNull()).groupBy("position", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        part = part.select("position", *[(F.col("v") if c == out_col else F.lit(None).cast(t)).alias(c)
+                                          for c, t in types.items()], "cnt")
+        hist = part if hist is None else hist.unionByName(part)
+    if hist is None:
+        hist = df.sparkSession.createDataFrame(
+            [], "position int, value_i bigint, value_d double, value_t string, cnt bigint")
     hist = hist.select("*", F.coalesce(F.col("value_i").cast("string"), F.col("value_d").cast("string"),
                                        F.col("value_t")).alias("value"),
                        F.coalesce(F.col("value_d"), F.col("value_i").cast("double")).alias("num"))

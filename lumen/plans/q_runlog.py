@@ -224,7 +224,7 @@ FROM u WHERE user_id NOT IN (SELECT user_id FROM existing)""")
 def q_insert_if_absent(spark, sf_dir):
     """G1: users to insert — those not already known (signed up before mid-month)."""
     e = table(spark, sf_dir, "events")
-    existing = e.where((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-16").cast("timestamp"))) \
+    existing = e.where((F.col("event_type") == "signup") & (F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))) \
         .select("user_id").distinct()
     incoming = e.select("user_id").distinct()
     fresh = G.insert_if_absent(existing, incoming, "user_id")
