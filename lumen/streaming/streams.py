@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lumen.session import checkpoint_dir
+from lumen.session import checkpoint_dir, ensure_utc
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
     """A file stream over ``<sf_dir>/<name>.parquet`` (schema taken from the table)."""
+    ensure_utc(spark)
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
