@@ -94,7 +94,12 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
     distinct length-parameter combinations (at most ~30, all series of 28+ dates share
     one) are read from a small aggregate, and each gets literal window frames.
     """
-    keys = list(keys or [])
+    out_keys = list(keys or [])
+    keys = out_keys or ["__series"]
+    if not out_keys:
+        # one constant key: every later window, block aggregate and join clusters on a
+        # superset of it, so the partitioning made here is reused instead of re-shuffled
+        series = series.withColumn("__series", F.lit(0))
     by_key = Window.partitionBy(*keys)
     ordered = by_key.orderBy("date")
     base = series.select(*keys, "date", "price").withColumn("idx", F.row_number().over(ordered) - 1)
@@ -149,7 +154,7 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
     out = out.withColumn("macd", F.col("__ema_fast") - F.col("__ema_slow"))
     out = ema(out, [("macd", "macd_signal", F.col("w_signal"), signals)], keys)
     out = out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    return out.select(*keys, "date", "idx", "price", *INDICATOR_COLUMNS)
+    return out.select(*out_keys, "date", "idx", "price", *INDICATOR_COLUMNS)
 
 
 # ---------------------------------------------------------------------------- F12, F13, F16
