@@ -66,3 +66,36 @@ def test_manifest_and_model_save(spark, tmp_path):
     path = S.save_model(model, str(tmp_path / "model"))
     from pyspark.ml.regression import LinearRegressionModel
     assert LinearRegressionModel.load(path).coefficients[0] == model.coefficients[0]
+
+
+def test_priority_findings(spark):
+    runs = spark.createDataFrame([("r1", "ridge", 91, "prediction_baseline", None),
+                                  ("r2", "tree", 60, "fix_data_quality", "bearish")],
+                                 "run_id string, best_model string, quality_score int, next_action string, trend_label string")
+    got = {(r["run_id"], r["ord"]): r["level"] for r in N.priority_findings(runs).collect()}
+    assert got[("r1", 3)] == "opportunity" and got[("r2", 3)] == "risk" and len(got) == 8
+
+
+def test_stratified_sample(spark):
+    from lumen.operators.model_prep import stratified_sample
+    rows = [(i, "a" if i % 10 < 7 else ("b" if i % 10 < 9 else "c")) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    s = stratified_sample(df, "y", ["k"], 101, buckets=4)
+    counts = {r["y"]: r["count"] for r in s.groupBy("y").count().collect()}
+    assert sum(counts.values()) == 101 and counts == {"a": 71, "b": 20, "c": 10}
+
+
+def test_json_lines_with_bad_line_rejected(spark, tmp_path):
+    import pytest
+    p = tmp_path / "bad.jsonl"
+    p.write_text('{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    with pytest.raises(ValueError):
+        S.read_json(spark, str(p))
+
+
+def test_merged_run_skips_bad_files(spark, tmp_path):
+    from lumen.plans.merged import load_and_union
+    a = tmp_path / "a.csv"; a.write_text("x,y\n1,2\n")
+    b = tmp_path / "b.csv"; b.write_text("x,z\n3,4\n")
+    u, status, notes = load_and_union(spark, [str(a), str(b), str(tmp_path / "nope.csv")])
+    assert u.count() == 2 and len(notes) == 1 and set(u.columns) >= {"x", "y", "z", "source_file"}
