@@ -51,13 +51,26 @@ def schema_rows(df: DataFrame) -> list[tuple[int, str, T.DataType]]:
     return [(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
 
 
-def value_histogram(df: DataFrame, materialize: bool = False) -> DataFrame:
+DIGEST_MARK = "\u0000sha256:"
+
+
+def text_key(t: Column, digest_over: int | None) -> Column:
+    """Grouping key of a text value: the text itself, or — for texts longer than
+    ``digest_over`` characters — a NUL-prefixed SHA-256 digest of the whole text, so that
+    long documents are counted exactly without moving them through the shuffle."""
+    if digest_over is None:
+        return t
+    return F.when(F.length(t) > digest_over, F.concat(F.lit(DIGEST_MARK), F.sha2(t, 256))).otherwise(t)
+
+
+def value_histogram(df: DataFrame, materialize: bool = False, digest_over: int | None = 256) -> DataFrame:
     """``(position, value_i, value_d, value_t, cnt, value, num)`` over all columns, nulls dropped.
 
     Values keep their type through the shuffle (integers as bigint, floats as double with
-    NaN → null, everything else as text); the text form ``value`` and the numeric form
-    ``num`` are derived after aggregation, on distinct values only.  With
-    ``materialize`` the histogram is written once to the checkpoint folder.
+    NaN → null, everything else as text — texts longer than ``digest_over`` as their
+    digest, see :func:`text_key`); the text form ``value`` and the numeric form ``num``
+    are derived after aggregation, on distinct values only.  With ``materialize`` the
+    histogram is written once to the checkpoint folder.
     """
     cols = schema_rows(df)
     groups: dict[str, list[tuple[int, Column]]] = {"value_i": [], "value_d": [], "value_t": []}
@@ -67,7 +80,7 @@ def value_histogram(df: DataFrame, materialize: bool = False) -> DataFrame:
         elif isinstance(dt, T.NumericType):
             groups["value_d"].append((pos, _clean(df, name).cast("double")))
         else:
-            groups["value_t"].append((pos, _as_text(df, name)))
+            groups["value_t"].append((pos, text_key(_as_text(df, name), digest_over)))
     types = {"value_i": "bigint", "value_d": "double", "value_t": "string"}
     hist = None
     # one branch per value type: simpler grouping keys, and each scan reads only its columns
@@ -137,6 +150,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
         # most frequent value; ties go to the smallest text
         F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("top_value"),
     )
+    dist = _resolve_digests(df, dist)
     out = per_col.join(dist, on="position", how="left").withColumn(
         "distinct", F.coalesce("distinct", F.lit(0).cast("bigint"))).withColumn(
         "top_count", F.coalesce("top_count", F.lit(0).cast("bigint")))
@@ -152,6 +166,32 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
         "missing", "distinct", "top_count", "top_value", "mean", "std", "min", "max", "p25", "p50", "p75")
 
 
+def _resolve_digests(df: DataFrame, dist: DataFrame) -> DataFrame:
+    """Turn a top value that is a text digest back into its text.  ``dist`` has one row
+    per column: it is fetched once, digests are looked up with a filtered scan of just
+    those columns, and the table is rebuilt from the (column-count sized) rows."""
+    text_cols = [pos for pos, _, dt in schema_rows(df)
+                 if not isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
+                                        T.TimestampNTZType))]
+    if not text_cols:
+        return dist
+    rows = dist.collect()   # one row per column
+    marked = [(r["position"], r["top_value"]) for r in rows
+              if r["top_value"] is not None and r["top_value"].startswith(DIGEST_MARK)]
+    dist = df.sparkSession.createDataFrame(rows, dist.schema)
+    if not marked:
+        return dist
+    names = {pos: name for pos, name, _ in schema_rows(df)}
+    found = None
+    for pos, key in marked:
+        t = _as_text(df, names[pos])
+        hit = df.select(F.lit(pos).alias("position"), t.alias("__text")).where(
+            F.sha2(t, 256) == key[len(DIGEST_MARK):]).limit(1)
+        found = hit if found is None else found.unionByName(hit)
+    return dist.join(found, on="position", how="left").withColumn(
+        "top_value", F.coalesce(F.col("__text"), F.col("top_value"))).drop("__text")
+
+
 def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float]) -> DataFrame:
     """Exact quantiles of numeric columns from the value histogram: (position, prob, value)."""
     h = hist.where(F.col("position").isin(positions)).select("position", F.col("num").alias("v"), "cnt")

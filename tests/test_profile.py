@@ -54,3 +54,10 @@ def test_date_frequency(spark):
     df = spark.createDataFrame(rows, "trade_date string")
     r = P.date_frequency(df).collect()[0]
     assert r["valid_ratio"] == 1.0 and r["median_interval_seconds"] == 86400.0
+
+
+def test_long_texts_counted_by_digest(spark):
+    long_a, long_b = "a" * 400, "b" * 300 + "é"
+    df = spark.createDataFrame([(long_a,), (long_a,), (long_b,), ("short",), (None,)], "t string")
+    r = P.column_profile(df).collect()[0]
+    assert (r["distinct"], r["top_count"], r["top_value"], r["missing"]) == (3, 2, long_a, 1)

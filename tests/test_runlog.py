@@ -85,8 +85,11 @@ def test_stream_rate_limit_across_batches(spark, tmp_path):
     import glob, shutil
     flat = tmp_path / "flat"
     flat.mkdir()
+    import os
     for i, f in enumerate(sorted(glob.glob(str(src / "part*" / "*.parquet")))):
-        shutil.copy(f, flat / f"events_{i}.parquet")
+        dst = flat / f"events_{i}.parquet"
+        shutil.copy(f, dst)
+        os.utime(dst, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))  # file order = time order
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
     out = W.run_to_table(W.rate_limit_stream(stream, ["client", "path"], "ts", "event_id"), "append", "rl_test")
     got = {r["event_id"]: (r["admitted"], r["late"]) for r in out.collect()}
