@@ -11,8 +11,12 @@ answer is computed without any unbounded group:
    hence at most that many distinct values;
 3. per-(key, bucket) totals (keys x B rows) give each bucket's rank offset;
 4. a running sum inside each (key, bucket) gives every distinct value its rank range;
-5. the wanted ranks (floor/ceil of (n-1)p) are picked out and interpolated linearly —
-   the same rule as pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``.
+5. one aggregate picks the values at ranks floor((n-1)p) and the next one and
+   interpolates linearly — the rule of pandas ``quantile``, Spark ``percentile`` and
+   DuckDB ``quantile_cont``.
+
+Groups checked to hold at most ``SMALL_GROUP_DISTINCT`` distinct values skip steps 2-3:
+one sorted running count per group gives the ranks directly.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
-# A group whose histogram has at most this many distinct values is small enough for
-# Spark's own exact ``percentile`` (its buffer holds one entry per distinct value).
+# A group whose histogram has at most this many distinct values is ranked by one sorted
+# window per group (that many rows in one task, spillable).
 SMALL_GROUP_DISTINCT = 1_000_000
 # Above this many groups the per-group size check itself is not collected to the driver.
 MAX_CHECKED_GROUPS = 10_000

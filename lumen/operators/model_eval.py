@@ -140,19 +140,31 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and support-weighted F1 (zero division → 0) with predictions rounded
-    half-to-even to whole class codes; plus the regression metrics on the codes."""
-    p = F.bround(F.col(prediction), 0)
-    conf = pred.select(F.col(label).alias("y"), p.alias("p")).groupBy("y", "p").agg(F.count(F.lit(1)).alias("c"))
-    per_true = conf.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("support"),
-                                                      F.sum(F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
+    half-to-even to whole class codes, plus R2 / RMSE / MAE on the codes.
+
+    The raw predictions are read once, into confusion counts ``(y, p, raw p, count)``
+    (partial aggregation: at most classes x distinct predictions rows); every metric is
+    computed from that small table.
+    """
+    conf = pred.groupBy(F.col(label).alias("y"), F.col(prediction).alias("q")).agg(F.count(F.lit(1)).alias("c")) \
+        .withColumn("p", F.bround(F.col("q"), 0))
+    y, q, c = F.col("y"), F.col("q"), F.col("c")
+    reg = conf.agg(F.sum(c).alias("n"), F.sum((y - q) * (y - q) * c).alias("sse"), F.sum(F.abs(y - q) * c).alias("sae"),
+                   F.sum(y * c).alias("sy"), F.sum(y * y * c).alias("syy"))
+    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    r2 = (F.when(F.col("n") < 2, F.lit(None).cast("double"))
+          .when(sst <= 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .otherwise(1 - F.col("sse") / sst))
+    reg = reg.select(F.col("n").cast("bigint").alias("n_test"), r2.alias("r2"),
+                     F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (F.col("sae") / F.col("n")).alias("mae"))
+    per_true = conf.groupBy(F.col("y").alias("k")).agg(
+        F.sum("c").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"))
     per_pred = conf.groupBy(F.col("p").alias("k")).agg(F.sum("c").alias("predicted"))
     per = per_true.join(per_pred, on="k", how="left").fillna(0, subset=["predicted"])
     f1 = F.when(F.col("support") + F.col("predicted") > 0,
                 2 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(F.lit(0.0))
-    agg = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"),
-                  F.sum(f1 * F.col("support")).alias("wf1"))
-    cls = agg.select((F.col("correct") / F.col("n")).alias("accuracy"), (F.col("wf1") / F.col("n")).alias("f1_score"))
-    reg = regression_metrics(pred, label, prediction)
+    cls = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"), F.sum(f1 * F.col("support")).alias("wf1")) \
+        .select((F.col("correct") / F.col("n")).alias("accuracy"), (F.col("wf1") / F.col("n")).alias("f1_score"))
     return reg.withColumn("__one", F.lit(1)).join(cls.withColumn("__one", F.lit(1)), on="__one").drop("__one")
 
 

@@ -26,6 +26,7 @@ def get_session(master: str | None = None, app_name: str = "lumen", shuffle_part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LUMEN_DRIVER_MEMORY", "16g"))
         .getOrCreate()
