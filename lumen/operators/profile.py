@@ -198,26 +198,23 @@ def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float])
     return exact_quantiles(h, ["position"], "v", "cnt", probs)
 
 
-def duplicate_rows(df: DataFrame, hash_rows: bool | None = None) -> DataFrame:
+def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row (null equals null; NaN equals NaN).
 
-    Tables with text or nested columns are grouped by a SHA-256 of the row's JSON form
-    (floats normalized so -0.0 equals 0.0), so whole documents do not cross the shuffle;
-    other tables group by the columns themselves.
+    Rows are grouped by their columns, with texts longer than 256 characters (and nested
+    values, as JSON) replaced by their SHA-256 digest: the count stays exact while whole
+    documents do not cross the shuffle.
     """
-    fields = df.schema.fields
-    wide = any(isinstance(f.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType)) for f in fields)
-    binary = any(isinstance(f.dataType, T.BinaryType) for f in fields)
-    if hash_rows is None:
-        hash_rows = wide and not binary
-    if hash_rows:
-        norm = [(F.col(f"`{f.name}`") + F.lit(0.0)).alias(f.name) if _is_float(f.dataType) else F.col(f"`{f.name}`")
-                for f in fields]
-        key = F.sha2(F.to_json(F.struct(*norm)), 256)
-        grouped = df.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
-        return grouped.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-    cols = [F.col(f"`{n}`") for n in df.columns]
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+    keys = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            keys.append(text_key(c, 256).alias(f.name))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            keys.append(text_key(F.to_json(c), 256).alias(f.name))
+        else:
+            keys.append(c)
+    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     return grouped.agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
