@@ -1,16 +1,17 @@
 """Dataset profile.
 
-Two passes over the data, whatever the column count:
-
-* pass A — one aggregate: row count, non-null / missing counts of every column and
-  mean / std / min / max of every numeric column (no shuffle: partial aggregates);
-* pass B — the table unpivoted to ``(position, value)`` and grouped to a value
-  histogram ``(position, value, cnt)``: one shuffle, map-side combined, so a value
-  holding a third of all rows becomes one row per map task.  Distinct counts, top
-  value share, quantiles (exact, see :mod:`lumen.functions.quantiles`) and IQR outlier
-  counts are all read off this histogram — the raw rows are never re-read.
-
-Everything returned is one row per column (or per column and statistic).
+The raw table is read by two passes, whatever the column count:
+
+* the value histogram — the table unpivoted to ``(position, value)`` and grouped to
+  ``(position, value, cnt)``: one shuffle, map-side combined, so a value holding a third
+  of all rows becomes one row per map task; long texts travel as digests.  Non-null and
+  distinct counts, top values, mean / std (two passes over the histogram), min / max,
+  exact quantiles and IQR outlier counts are all read off this histogram, which is
+  written once to the checkpoint folder;
+* the duplicate-row count (a group-by over whole rows).
+
+The row count is a column-free count.  Everything returned is one row per column (or
+per column and statistic).
 """
 
 from __future__ import annotations
@@ -113,47 +114,46 @@ def _numeric_positions(df: DataFrame) -> list[int]:
 def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool = True) -> DataFrame:
     """P1-P3, P5, P20 per column.
 
+    Everything per column is read off the value histogram (non-null count, distinct
+    count, top value, mean, sample std with a second centered pass, min, max, exact
+    quantiles); the raw table is touched only for its row count, which reads no column.
+
     Columns: position, column, logical_type, type_family, is_numeric, row_count,
     non_null, missing, distinct, top_count, top_value, mean, std, min, max, p25, p50, p75.
     """
+    spark = df.sparkSession
     cols = schema_rows(df)
     numeric = set(_numeric_positions(df))
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for pos, name, dt in cols:
-        c = _clean(df, name)
-        aggs.append(F.count(c).alias(f"__nn{pos}"))
-        if pos in numeric:
-            v = c.cast("double")
-            aggs += [F.avg(v).alias(f"__mean{pos}"), F.stddev_samp(v).alias(f"__std{pos}"),
-                     F.min(v).alias(f"__min{pos}"), F.max(v).alias(f"__max{pos}")]
-    one = df.agg(*aggs)
-
-    def num(stat: str, pos: int) -> Column:
-        return F.col(f"__{stat}{pos}") if pos in numeric else F.lit(None).cast("double")
-
-    per_col = one.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(pos).alias("position"), F.lit(name).alias("column"),
-            F.lit(logical_type(dt)).alias("logical_type"), F.lit(type_family(dt)).alias("type_family"),
-            F.lit(pos in numeric).alias("is_numeric"),
-            F.col("__rows").cast("bigint").alias("row_count"),
-            F.col(f"__nn{pos}").cast("bigint").alias("non_null"),
-            num("mean", pos).alias("mean"), num("std", pos).alias("std"),
-            num("min", pos).alias("min"), num("max", pos).alias("max"),
-        ) for pos, name, dt in cols
-    ])).alias("c")).select("c.*").withColumn("missing", F.col("row_count") - F.col("non_null"))
-
     hist = hist if hist is not None else value_histogram(df, materialize=True)
+    meta = spark.createDataFrame(
+        [(pos, name, logical_type(dt), type_family(dt), pos in numeric) for pos, name, dt in cols],
+        "position int, column string, logical_type string, type_family string, is_numeric boolean")
+    rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count")).withColumn("__one", F.lit(1))
+
     dist = hist.groupBy("position").agg(
+        F.sum("cnt").cast("bigint").alias("non_null"),
         F.count(F.lit(1)).cast("bigint").alias("distinct"),
         F.max("cnt").cast("bigint").alias("top_count"),
         # most frequent value; ties go to the smallest text
         F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("top_value"),
     )
     dist = _resolve_digests(df, dist)
-    out = per_col.join(dist, on="position", how="left").withColumn(
-        "distinct", F.coalesce("distinct", F.lit(0).cast("bigint"))).withColumn(
-        "top_count", F.coalesce("top_count", F.lit(0).cast("bigint")))
+    num_hist = hist.where(F.col("position").isin(sorted(numeric)))
+    first = num_hist.groupBy("position").agg(
+        (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
+        F.min("num").alias("min"), F.max("num").alias("max"), F.sum("cnt").alias("__n"))
+    second = num_hist.join(first.select("position", F.col("mean").alias("__m")), on="position").groupBy("position") \
+        .agg(F.sum(F.col("cnt") * (F.col("num") - F.col("__m")) * (F.col("num") - F.col("__m"))).alias("__ss"))
+    moments = first.join(second, on="position").select(
+        "position", "mean", F.when(F.col("__n") > 1, F.sqrt(F.col("__ss") / (F.col("__n") - 1))).alias("std"),
+        "min", "max")
+
+    out = (meta.withColumn("__one", F.lit(1)).join(rows, on="__one").drop("__one")
+           .join(dist, on="position", how="left").join(moments, on="position", how="left"))
+    out = (out.withColumn("non_null", F.coalesce("non_null", F.lit(0).cast("bigint")))
+           .withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
+           .withColumn("top_count", F.coalesce("top_count", F.lit(0).cast("bigint")))
+           .withColumn("missing", F.col("row_count") - F.col("non_null")))
     if quantiles and numeric:
         q = numeric_quantiles(hist, sorted(numeric), [0.25, 0.5, 0.75])
         qw = q.groupBy("position").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
