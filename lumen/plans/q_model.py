@@ -310,3 +310,17 @@ def q_model_comparison_table(spark, sf_dir):
     """RMSE / MAE per model as a long table (chart data)."""
     res = q_best_model(spark, sf_dir)
     return ME.comparison_table(res).select("model_key", "metric", fround("value", 4).alias("value"))
+
+
+@register("stratified_cap", sql="""
+WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1),
+q AS (SELECT o_orderstatus, n, n * 2000.0 / (SELECT sum(n) FROM c) AS ex, floor(n * 2000.0 / (SELECT sum(n) FROM c)) AS base FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY ex - base DESC, o_orderstatus) AS rk,
+             2000 - sum(base) OVER () AS short FROM q)
+SELECT o_orderstatus, (base + CASE WHEN rk <= short THEN 1 ELSE 0 END)::BIGINT AS rows FROM r""")
+def q_stratified_cap(spark, sf_dir):
+    """M5: opt-in stratified cap of 2,000 training rows keeping class shares (the sample
+    itself is the feature); checked as rows per class."""
+    o = table(spark, sf_dir, "orders")
+    s = MP.stratified_sample(o, "o_orderstatus", ["o_orderkey"], 2000)
+    return s.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
