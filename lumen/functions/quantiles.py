@@ -162,6 +162,14 @@ def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
     Neighbours across bucket edges come from the previous bucket's maximum.
     """
     hist = long.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("__c"))
+    return sorted_gaps_from_hist(hist, keys, value_col, "__c", buckets, small_limit)
+
+
+def sorted_gaps_from_hist(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
+                          buckets: int = DEFAULT_BUCKETS, small_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
+    """:func:`sorted_gaps` from a histogram ``(keys..., value, count)`` of non-null values."""
+    if count_col != "__c":
+        hist = hist.withColumnRenamed(count_col, "__c")
     split = split_by_size(hist, keys, small_limit)
     if split is not None and not split[1]:
         # every group is small (checked): one window per group over its distinct values

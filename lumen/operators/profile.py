@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.casts import is_numeric_type, logical_type, type_family  # noqa: F401
-from lumen.functions.quantiles import exact_quantiles, sorted_gaps
+from lumen.functions.quantiles import exact_quantiles, sorted_gaps_from_hist
+from lumen.session import checkpoint_dir
 
 _FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
@@ -264,10 +265,16 @@ def date_frequency(df: DataFrame) -> DataFrame:
         F.struct(F.lit(pos).alias("position"), F.col(f"`{name}`").isNotNull().alias("nn"),
                  F.unix_micros(to_timestamp_any(df, name)).alias("us"))
         for pos, name in cands])).alias("kv")).select("kv.*")
-    stats = long.groupBy("position").agg(
-        F.count_if("nn").alias("non_null"), F.count("us").alias("valid"),
+    # one histogram of parsed instants (unparseable values land in the null instant), read
+    # once from the table and written to the checkpoint folder; stats and gaps come from it
+    hist = long.groupBy("position", "us").agg(F.count(F.lit(1)).alias("cnt"), F.count_if("nn").alias("nn_cnt"))
+    checkpoint_dir(df.sparkSession)
+    hist = hist.checkpoint(eager=True)
+    valid = F.col("us").isNotNull()
+    stats = hist.groupBy("position").agg(
+        F.sum("nn_cnt").alias("non_null"), F.sum(F.when(valid, F.col("cnt")).otherwise(0)).alias("valid"),
         F.min("us").alias("start_us"), F.max("us").alias("end_us"))
-    gaps = sorted_gaps(long.where(F.col("us").isNotNull()), ["position"], "us")
+    gaps = sorted_gaps_from_hist(hist.where(valid).select("position", "us", "cnt"), ["position"], "us", "cnt")
     med = exact_quantiles(gaps, ["position"], "gap", "cnt", [0.5]).select(
         "position", (F.col("value") / 1e6).alias("median_interval_seconds"))
     names = F.create_map(*[x for pos, name in cands for x in (F.lit(pos), F.lit(name))])

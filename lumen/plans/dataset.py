@@ -8,7 +8,8 @@ flags and targets all read it, so the raw table is scanned three times in total
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,14 @@ class DatasetAnalysis:
     summary: DataFrame
     issues: DataFrame
     targets: DataFrame
-    date_frequency: DataFrame
     numeric_count: int
     names_text: str
+    source: DataFrame = field(repr=False, default=None)
+
+    @cached_property
+    def date_frequency(self) -> DataFrame:
+        """P12, computed on first use (it reads the date columns once)."""
+        return P.date_frequency(self.source)
 
 
 def analyze_dataset(df: DataFrame, name: str = "dataset", materialize: bool = True,
@@ -58,8 +64,8 @@ def analyze_dataset(df: DataFrame, name: str = "dataset", materialize: bool = Tr
     numeric = [f.name for f in df.schema.fields if P.is_numeric_type(f.dataType)]
     return DatasetAnalysis(
         name=name, profile=prof, flags=flags, outliers=outl, summary=summ, issues=Q.quality_issues(summ),
-        targets=Q.recommend_targets(prof), date_frequency=P.date_frequency(df),
-        numeric_count=len(numeric), names_text=" ".join(c.lower() for c in df.columns))
+        targets=Q.recommend_targets(prof), numeric_count=len(numeric),
+        names_text=" ".join(c.lower() for c in df.columns), source=df)
 
 
 def brief_row(a: DatasetAnalysis) -> DataFrame:
