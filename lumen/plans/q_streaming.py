@@ -30,7 +30,7 @@ def q_stream_window_counters(spark, sf_dir):
     """Hourly row / missing / distinct-user counters (complete mode)."""
     s = W.window_counters(W.table_stream(spark, sf_dir, "events"), "ts", "value", "user_id")
     out = W.run_to_table(s, "complete", "window_counters")
-    # approx_users (HyperLogLog) is checked against the exact count in the unit tests
+    # approx_users (HyperLogLog) is checked against the exact count in tests/test_streaming.py
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "rows", "missing")
 
 
