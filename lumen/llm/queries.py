@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm import bpe, mixing, simhash
+from lumen.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash
 from lumen.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_fertility_rules")
+def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and tokeniser fertility of all documents, with the rules' verdict."""
+    import public_tokenizers
+    return quality_rules.fertility_rules(
+        table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
+        vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @register("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, 3 or fewer differing bits."""
@@ -37,12 +46,30 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@register("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs.where(~out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 @register("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the word-end BPE vocabulary."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality score of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, model)
+
+
 @register("op9_mix_sources", """
 WITH sized AS (
   SELECT doc_id, source,
