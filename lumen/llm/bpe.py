@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumen.llm.intmap import IntMap
-from lumen.llm.texts import WordTable, byte_texts, gather, slices, starts_of, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, starts_of, sums_by_group
 
 END = "</w>"
 NEVER = np.int64(1) << 40
@@ -369,6 +369,40 @@ def _table(path: str) -> _Chunks:
     return tokenizer(path).table()
 
 
+@lru_cache(maxsize=2)
+def token_strings(path: str) -> list[str]:
+    """The file's token strings by id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (max(ids.values()) + 1)
+    for t, i in ids.items():
+        out[i] = t
+    return out
+
+
+def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Ids of the rows a..b of a batch, some rows at a time."""
+    bpe, table = tokenizer(path), _table(path)
+    texts = byte_texts(batch, "text")
+    for a, b in slices(texts):
+        rows, counts = table.number(texts[a:b])
+        start, lens = table.features if table.features else (np.zeros(0, np.int64),) * 2
+        n = lens[rows]
+        ids = gather(bpe.ids, start[rows], n).astype("<u4")
+        ends = np.cumsum(sums_by_group(n, counts)).tolist()
+        yield a, b, [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+
+
+def _spelled(ids: np.ndarray, strings: list[str]) -> str:
+    return " ".join(map(strings.__getitem__, ids.tolist()))
+
+
+def _selected(df: DataFrame, id_col: str, col: str, name: str) -> tuple[DataFrame, str]:
+    own = bounded_batches(df).select(F.col(id_col).alias("id"), F.col(col).alias(name))
+    return own, own.schema["id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary) for every row: token ids as little-endian unsigned 32-bit integers.
 
@@ -377,42 +411,47 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     ``vocab_path`` must be readable on every executor.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, table = tokenizer(vocab_path), _table(vocab_path)
         for batch in batches:
-            texts = byte_texts(batch, "text")
-            for a, b in slices(texts):
-                rows, counts = table.number(texts[a:b])
-                start, lens = table.features if table.features else (np.zeros(0, np.int64),) * 2
-                n = lens[rows]
-                ids = gather(bpe.ids, start[rows], n).astype("<u4")
-                ends = np.cumsum(sums_by_group(n, counts)).tolist()
-                out = pa.array([ids[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends)], pa.binary())
+            for a, b, ids in _encoded(batch, vocab_path):
+                out = pa.array([x.tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), out], ["id", "ids"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
+    own, kind = _selected(docs, id_col, text_col, "text")
     return own.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, ids, text) for every row of ids: the tokens' own strings with spaces between, as a
-    file without a decoder gives them, special tokens included.  Null or no ids: empty text."""
+    """(id, text) for every row of ids: the tokens' own strings with spaces between, as a file
+    without a decoder gives them, special tokens included.  Null or no ids: empty text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = token_strings(vocab_path)
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            for a, b in slices(ids):
+                texts = [_spelled(np.frombuffer(x or b"", dtype="<u4"), strings) for x in ids[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(texts, pa.string())], ["id", "text"])
+
+    own, kind = _selected(encoded, id_col, ids_col, "ids")
+    return own.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+
+
+def encode_and_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids binary, text): :func:`encode`, and the ids read back by :func:`decode`, with
+    one worker per task for both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = tokenizer(vocab_path).token_text.__getitem__
+        strings = token_strings(vocab_path)
         for batch in batches:
-            texts = [" ".join(map(name, np.frombuffer(x, dtype="<u4").tolist())) if x else ""
-                     for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             ["id", "ids", "text"])
+            for a, b, ids in _encoded(batch, vocab_path):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()),
+                     pa.array([_spelled(x, strings) for x in ids], pa.string())], ["id", "ids", "text"])
 
-    own = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    kind = own.schema["id"].dataType.simpleString()
+    own, kind = _selected(docs, id_col, text_col, "text")
     return own.mapInArrow(run, f"id {kind}, ids binary, text string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded."""
-    both = decode(encode(docs, vocab_path, id_col, text_col), vocab_path, id_col)
-    return both.select(
+    return encode_and_decode(docs, vocab_path, id_col, text_col).select(
         id_col, F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, byte_texts, slices, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, slices, sums_by_group
 
 SAMPLE_PER_LANG = 4000
 MAX_WORDS = 200_000
@@ -80,7 +80,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     ``max_words`` and ``max_grams`` most frequent, so the model is bounded by its
     parameters.  Rows with a null language or text teach nothing.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    labelled = bounded_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     [batch.column(0).slice(a, b - a), pa.array(names.tolist(), pa.string()), pa.array(score)],
                     ["id", "lang_pred", "score"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     return own.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, byte_texts, gather, slices, starts_of
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, starts_of
 
 MAX_LABELLED = 8000
 MAX_UNLABELLED = 8000
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
              .groupBy(F.col(id_col).alias("label_id")).agg((F.min(label_col) >= 1).cast("double").alias("quality")))
     n_labels = marks.count()
     chosen = marks.where(_share(F.col("label_id"), 8) < min(1.0, max_labelled / max(n_labels, 1)))
-    own = docs.select(F.col(id_col).alias("id"), *_columns(text_col, lang_col, source_col, chars_col))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), *_columns(text_col, lang_col, source_col, chars_col))
     part = min(1.0, max_unlabelled / max(docs.count(), 1))
     # the chosen labels number about max_labelled whatever the input, so they are broadcast
     sample = (own.join(F.broadcast(chosen), F.col("id") == F.col("label_id"), "left")
@@ -287,7 +287,7 @@ VERDICT = "text_score double, meta_score double, score double, kept boolean"
 
 def _verdict(docs: DataFrame, model: CoTrained, threshold: float):
     """Arrow function of (text, lang, source, n_chars) with the fields of ``VERDICT``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)  # two weight vectors of fixed size
 
     def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
         model = shared.value

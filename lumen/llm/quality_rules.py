@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, byte_texts, gather, slices, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, sums_by_group
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -186,7 +186,7 @@ def fertility_rules(docs: DataFrame, piece_path: str, rank_path: str, pattern: s
                     names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
+    own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
     kind = own.schema["id"].dataType.simpleString()
     return own.mapInArrow(run, SCHEMA.format(kind=kind)).withColumnRenamed("id", id_col)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumen.llm.components import connected_components
 from lumen.llm.store import materialize
-from lumen.llm.texts import byte_texts, slices, starts_of
+from lumen.llm.texts import bounded_batches, byte_texts, slices, starts_of
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out[a:b] = _majority(np.array(hashes, dtype=np.uint64), counts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
 
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = ids.schema["id"].dataType.simpleString()
     return ids.mapInArrow(run, f"id {kind}, fp bigint").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"))
 

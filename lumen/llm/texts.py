@@ -6,15 +6,31 @@ is what ``bytes.split()`` yields.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 """Texts are worked on in slices of about this size (a longer text is a slice alone)."""
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+"""Arrow batches that Spark sends to the workers hold about this much at most."""
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """Sees to it that the session sends texts to Python in batches of bounded bytes."""
+    conf = docs.sparkSession.conf
+    number, unit = re.fullmatch(r"(\d+)\s*([bkmg]?)b?", conf.get(BATCH_CONF).lower()).groups()
+    if int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) > BATCH_BYTES:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return docs
+
+
 def byte_texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """The column's texts as UTF-8 bytes."""
     return batch.column(name).cast(pa.large_binary()).to_pylist()
