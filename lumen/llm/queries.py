@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, suffix_dedup
+from lumen.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, topk_search
 from lumen.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,20 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: weights 5, 2, 1 in turn, at most three repeats."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register("op10_top_k_search", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 20 = 0),
+s AS (
+  SELECT query_id, vec_id, list_sum(list_transform(list_zip(qe, e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q JOIN v ON vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest inner products of every 20th embedding with all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
