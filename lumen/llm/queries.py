@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, topk_search
+from lumen.llm import (
+    bpe, language_id, license_scan, mixing, quality_classifier, quality_rules, sentence_spans, simhash, suffix_dedup,
+    topk_search,
+)
 from lumen.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +59,65 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-@register("op5_suffix_array_dedup")
+@register("op4_sentence_spans", """
+WITH pieces AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]') AS list FROM documents),
+placed AS (SELECT doc_id, unnest(list) AS piece, generate_subscripts(list, 1) AS place FROM pieces),
+sentences AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n,
+         trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
+  FROM placed WHERE regexp_matches(piece, '[^.!?\x20\x09-\x0D]')),
+runs AS (
+  SELECT doc_id, n, concat(words, chr(10), lead(words, 1) OVER w, chr(10), lead(words, 2) OVER w) AS run,
+         len(string_split(words, ' ')) + len(string_split(lead(words, 1) OVER w, ' '))
+         + len(string_split(lead(words, 2) OVER w, ' ')) AS n_words,
+         lead(words, 2) OVER w AS last
+  FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+ranked AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS k
+  FROM runs WHERE last IS NOT NULL AND n_words >= 6),
+gone AS (SELECT DISTINCT doc_id, n + i AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS i) WHERE k > 1),
+counted AS (
+  SELECT s.doc_id, count(*) AS n_sentences, count(g.n) AS n_removed
+  FROM sentences s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.n = g.n GROUP BY s.doc_id),
+left_over AS (
+  SELECT p.doc_id, string_agg(p.piece, '' ORDER BY p.place) AS kept
+  FROM placed p LEFT JOIN (SELECT s.doc_id, s.place FROM sentences s JOIN gone g ON s.doc_id = g.doc_id AND s.n = g.n) x
+    ON p.doc_id = x.doc_id AND p.place = x.place
+  WHERE x.place IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(c.n_sentences, 0)::BIGINT AS n_sentences, coalesce(c.n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(l.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN left_over l ON d.doc_id = l.doc_id
+""")
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of spans of three that occur before."""
+    out = sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op5_suffix_array_dedup", """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 49, 0))) AS p FROM bytes)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+hits AS (
+  SELECT w.doc_id, p, p - lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) AS gap
+  FROM windows w JOIN firsts USING (s) WHERE first < w.doc_id),
+islands AS (
+  SELECT doc_id, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM hits),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY doc_id, span),
+gaps AS (
+  SELECT s.doc_id, s.a, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS since FROM spans s),
+parts AS (
+  SELECT g.doc_id, g.a, substr(h, 2 * since + 1, 2 * (g.a - since)) AS part FROM gaps g JOIN bytes USING (doc_id)),
+cut AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS head FROM parts GROUP BY doc_id),
+total AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM spans GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN total USING (doc_id) LEFT JOIN cut USING (doc_id)
+""")
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that start in an earlier one."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -64,6 +125,38 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _license_sql() -> str:
+    """The scan in DuckDB, with the library's licences and notices as rows."""
+    line = "trim(regexp_replace(replace(lower(x), '©', ' copyright c '), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
+    for other, one in license_scan.EQUIVALENT:
+        line = f"replace({line}, '{other}', '{one}')"
+    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches({line}, '{license_scan.COPYRIGHT}') THEN '' ELSE {line} END), lambda x: x <> '')"
+    digest = "CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END"
+
+    def rows(texts: dict[str, str]) -> str:
+        return ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(texts.items()))
+
+    return f"""
+WITH licenses(license_id, text) AS (VALUES {rows(license_scan.LICENSES)}),
+notices(notice_id, text) AS (VALUES {rows(license_scan.NOTICES)}),
+known AS (SELECT {digest} AS digest, min(license_id) AS license_id FROM (SELECT license_id, {lines} AS lines FROM licenses) GROUP BY 1),
+named AS (SELECT array_to_string(lines, ' ') AS form, notice_id FROM (SELECT notice_id, {lines} AS lines FROM notices)),
+docs AS (SELECT doc_id, {lines} AS lines FROM documents),
+found AS (
+  SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT notice_id, ',' ORDER BY notice_id) AS notice_ids
+  FROM (SELECT doc_id, unnest(lines) AS form FROM docs) JOIN named USING (form) GROUP BY doc_id)
+SELECT d.doc_id, {digest} AS text_digest, k.license_id, coalesce(f.n_notices, 0)::BIGINT AS n_notices,
+       coalesce(f.notice_ids, '') AS notice_ids
+FROM docs d LEFT JOIN known k ON {digest} = k.digest LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
+@register("op6_license_scan", _license_sql())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and licence notices of all documents by canonical digest."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded with the word-end BPE vocabulary."""
