@@ -46,8 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     level = ((F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(float(most)) * F.col("source_size")).over(before), F.lit(0.0)))
              / F.sum("weight").over(onward))
     # the level holds from the first source that it doesn't fill
-    at = ranked.withColumn("level", level)
-    holds = F.min(F.when(F.col("level") < F.col("full_at"), F.struct("full_at", "level"))).over(everything)["level"]
+    at = ranked.withColumn("place", F.row_number().over(by_level)).withColumn("level", level)
+    holds = F.min(F.when(F.col("level") < F.col("full_at"), F.struct("place", "level"))).over(everything)["level"]
     target = F.least(F.lit(float(most)) * F.col("source_size"), F.coalesce(holds * F.col("weight"), F.lit(float(most)) * F.col("source_size")))
     return at.select("source", F.col("source_size").cast("long"), target.cast("double").alias("target"))
 

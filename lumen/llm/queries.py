@@ -187,9 +187,10 @@ levels AS (
              - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY full_at, source NULLS LAST
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY full_at, source NULLS LAST
-                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+         row_number() OVER (ORDER BY full_at, source NULLS LAST) AS place
   FROM filled),
-held AS (SELECT arg_min(level, full_at) AS top_level FROM levels WHERE level < full_at),
+held AS (SELECT arg_min(level, place) AS top_level FROM levels WHERE level < full_at),
 targets AS (
   SELECT source, source_size,
          least(3.0::DOUBLE * source_size, coalesce((SELECT top_level FROM held) * weight, 3.0::DOUBLE * source_size)) AS target

@@ -218,5 +218,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = [c for c in docs.columns if c != id_col]
     one = (docs.join(stay, id_col, "left_semi").groupBy(id_col)
            .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("row")))
-    return (one.select(id_col, "row.*").select(docs.columns)
+    return (one.select(id_col, "row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
             .unionByName(docs.where(F.col(id_col).isNull())))
