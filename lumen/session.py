@@ -45,14 +45,16 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.
-    Only when it is unset (local runs, tests) a scratch folder is created.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is used as is.
+    Only where it is unset and driver and executors are one process (local runs, tests) a
+    scratch folder is created.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        # unset (local runs, tests): a scratch folder of our own
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lumen-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)
