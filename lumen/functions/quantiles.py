@@ -15,25 +15,23 @@ answer is computed without any unbounded group:
    interpolates linearly — the rule of pandas ``quantile``, Spark ``percentile`` and
    DuckDB ``quantile_cont``.
 
-Groups checked to hold at most ``SMALL_GROUP_DISTINCT`` distinct values skip steps 2-3:
-one sorted running count per group gives the ranks directly.
+``B`` follows the number of distinct values (one bucket for a small histogram), so a task
+holds about ``BUCKET_VALUES`` of them whatever the input.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-# A group whose histogram has at most this many distinct values is ranked by one sorted
-# window per group (that many rows in one task, spillable).
-SMALL_GROUP_DISTINCT = 1_000_000
-# Above this many groups the per-group size check itself is not collected to the driver.
-MAX_CHECKED_GROUPS = 10_000
+# A task ranks about this many distinct values at most.
+BUCKET_VALUES = 500_000
 
 
 def add_range_bucket(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                     buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                     buckets: int) -> DataFrame:
     """Add ``__bucket``: position of ``value_col`` among approximate range boundaries."""
     if not keys:
         raise ValueError("keys must name at least one grouping column (add a constant one)")
@@ -48,7 +46,7 @@ def add_range_bucket(hist: DataFrame, keys: list[str], value_col: str, count_col
 
 
 def ranked_histogram(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                     buckets: int = DEFAULT_BUCKETS) -> tuple[DataFrame, DataFrame]:
+                     buckets: int) -> tuple[DataFrame, DataFrame]:
     """Return (histogram rows with ``__bucket`` and ``__start`` — 0-based rank of the first
     copy —, bucket table ``(keys, __bucket, __off, __bt, __n)`` of keys x B rows)."""
     b = add_range_bucket(hist, keys, value_col, count_col, buckets)
@@ -68,62 +66,21 @@ def ranked_histogram(hist: DataFrame, keys: list[str], value_col: str, count_col
     return ranked, offsets
 
 
-def split_by_size(hist: DataFrame, keys: list[str], limit: int = SMALL_GROUP_DISTINCT):
-    """Return (small_keys, large_keys) as lists of key tuples, or None when there are too
-    many groups to check on the driver (then every group takes the distributed path)."""
-    sizes = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("__d"))
-    rows = sizes.limit(MAX_CHECKED_GROUPS + 1).collect()
-    if len(rows) > MAX_CHECKED_GROUPS:
-        return None
-    small = [tuple(r[k] for k in keys) for r in rows if r["__d"] <= limit]
-    large = [tuple(r[k] for k in keys) for r in rows if r["__d"] > limit]
-    return small, large
-
-
-def _key_filter(keys: list[str], values: list[tuple]):
-    cond = None
-    for tup in values:
-        t = None
-        for k, v in zip(keys, tup):
-            term = F.col(k) == F.lit(v) if v is not None else F.col(k).isNull()
-            t = term if t is None else t & term
-        cond = t if cond is None else cond | t
-    return cond
+def bucket_count(hist: DataFrame) -> int:
+    """Range buckets per group such that none holds many more than ``BUCKET_VALUES`` values,
+    even if one group has them all."""
+    return max(1, math.ceil(hist.count() / BUCKET_VALUES))
 
 
 def exact_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                    probs: list[float], buckets: int = DEFAULT_BUCKETS,
-                    small_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
+                    probs: list[float], buckets: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per key: output ``(keys..., prob, value)``.
 
-    ``hist`` rows are ``(keys..., value, count)``; null values are ignored.  Groups with
-    at most ``small_limit`` distinct values (checked first) get their ranks from one
-    sorted running count per group; larger groups are cut into range buckets first.
+    ``hist`` rows are ``(keys..., value, count)``; null values are ignored.  The number of
+    range buckets follows the histogram's size.
     """
     hist = hist.where(F.col(value_col).isNotNull())
-    split = split_by_size(hist, keys, small_limit)
-    if split is None:
-        return _bucketed_quantiles(hist, keys, value_col, count_col, probs, buckets)
-    small, large = split
-    parts = []
-    if small:
-        sub = hist if not large else hist.where(_key_filter(keys, small))
-        by_key = Window.partitionBy(*keys)
-        running = by_key.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = sub.select(*keys, value_col, count_col,
-                            F.sum(count_col).over(by_key).alias("__n"),
-                            F.coalesce(F.sum(count_col).over(running), F.lit(0)).alias("__start"))
-        parts.append(_pick_ranks(ranked, keys, value_col, count_col, probs))
-    if large:
-        parts.append(_bucketed_quantiles(hist.where(_key_filter(keys, large)), keys, value_col,
-                                         count_col, probs, buckets))
-    if not parts:
-        return hist.select(*keys, F.lit(None).cast("double").alias("prob"),
-                           F.lit(None).cast("double").alias("value")).limit(0)
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    return _bucketed_quantiles(hist, keys, value_col, count_col, probs, buckets or bucket_count(hist))
 
 
 def _pick_ranks(ranked: DataFrame, keys: list[str], value_col: str, count_col: str,
@@ -154,7 +111,7 @@ def _bucketed_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_
 
 
 def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
-                buckets: int = DEFAULT_BUCKETS, small_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Differences between consecutive sorted values per key, as a weighted histogram.
 
     Output ``(keys..., gap, cnt)``: repeated values give gap 0 (count-1 times); each
@@ -162,24 +119,15 @@ def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
     Neighbours across bucket edges come from the previous bucket's maximum.
     """
     hist = long.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("__c"))
-    return sorted_gaps_from_hist(hist, keys, value_col, "__c", buckets, small_limit)
+    return sorted_gaps_from_hist(hist, keys, value_col, "__c", buckets)
 
 
 def sorted_gaps_from_hist(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                          buckets: int = DEFAULT_BUCKETS, small_limit: int = SMALL_GROUP_DISTINCT) -> DataFrame:
+                          buckets: int | None = None) -> DataFrame:
     """:func:`sorted_gaps` from a histogram ``(keys..., value, count)`` of non-null values."""
     if count_col != "__c":
         hist = hist.withColumnRenamed(count_col, "__c")
-    split = split_by_size(hist, keys, small_limit)
-    if split is not None and not split[1]:
-        # every group is small (checked): one window per group over its distinct values
-        w = Window.partitionBy(*keys).orderBy(value_col)
-        with_prev = hist.withColumn("__prev", F.lag(value_col).over(w))
-        dup = with_prev.where(F.col("__c") > 1).select(*keys, F.lit(0.0).alias("gap"), (F.col("__c") - 1).alias("cnt"))
-        step = with_prev.where(F.col("__prev").isNotNull()).select(
-            *keys, (F.col(value_col) - F.col("__prev")).cast("double").alias("gap"), F.lit(1).cast("bigint").alias("cnt"))
-        return dup.unionByName(step).groupBy(*keys, "gap").agg(F.sum("cnt").alias("cnt"))
-    b = add_range_bucket(hist, keys, value_col, "__c", buckets)
+    b = add_range_bucket(hist, keys, value_col, "__c", buckets or bucket_count(hist))
     edges = b.groupBy(*keys, "__bucket").agg(F.max(value_col).alias("__bmax"))
     w_prev_bucket = Window.partitionBy(*keys).orderBy("__bucket")
     edges = edges.select(*keys, "__bucket", F.lag("__bmax").over(w_prev_bucket).alias("__prev_edge"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.quantiles import exact_quantiles
+from lumen.functions.rows import with_row
+from lumen.session import checkpoint_dir
 
 SLOW_MODEL_ROW_LIMIT = 1_500
 SLOW_MODEL_FEATURE_LIMIT = 24
@@ -66,7 +68,7 @@ def shape_summary(features: DataFrame, target: str) -> DataFrame:
     out = one.select(F.col("rows").cast("bigint").alias("rows"), F.lit(len(feats)).alias("feature_count"),
                      F.lit(n_cat).alias("categorical_count"),
                      (miss / F.greatest(F.col("rows") * len(feats), F.lit(1))).alias("missing_ratio"))
-    return out.withColumn("__one", F.lit(1)).join(tdist.withColumn("__one", F.lit(1)), on="__one").drop("__one")
+    return with_row(out, tdist)
 
 
 def recommend_models(shape: DataFrame, kind: str) -> DataFrame:
@@ -148,6 +150,8 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
     """
     conf = pred.groupBy(F.col(label).alias("y"), F.col(prediction).alias("q")).agg(F.count(F.lit(1)).alias("c")) \
         .withColumn("p", F.bround(F.col("q"), 0))
+    checkpoint_dir(pred.sparkSession)
+    conf = conf.checkpoint()   # small, and read by every metric: the predictions are made once
     y, q, c = F.col("y"), F.col("q"), F.col("c")
     reg = conf.agg(F.sum(c).alias("n"), F.sum((y - q) * (y - q) * c).alias("sse"), F.sum(F.abs(y - q) * c).alias("sae"),
                    F.sum(y * c).alias("sy"), F.sum(y * y * c).alias("syy"))
@@ -165,7 +169,7 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
                 2 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(F.lit(0.0))
     cls = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"), F.sum(f1 * F.col("support")).alias("wf1")) \
         .select((F.col("correct") / F.col("n")).alias("accuracy"), (F.col("wf1") / F.col("n")).alias("f1_score"))
-    return reg.withColumn("__one", F.lit(1)).join(cls.withColumn("__one", F.lit(1)), on="__one").drop("__one")
+    return with_row(reg, cls)
 
 
 # ---------------------------------------------------------------------------- M27
@@ -193,7 +197,7 @@ def predicted_vs_actual(pred: DataFrame, label: str = "label", prediction: str =
         return pts
     rng = pts.agg(F.least(F.min("actual"), F.min("predicted")).alias("lo"),
                   F.greatest(F.max("actual"), F.max("predicted")).alias("hi"))
-    j = pts.withColumn("__one", F.lit(1)).join(rng.withColumn("__one", F.lit(1)), on="__one")
+    j = with_row(pts, rng)
     width = (F.col("hi") - F.col("lo")) / bins
     b = lambda c: F.least(F.floor((F.col(c) - F.col("lo")) / F.when(width > 0, width).otherwise(1.0)), F.lit(bins - 1))
     return j.groupBy(b("actual").alias("actual_bin"), b("predicted").alias("predicted_bin")).agg(

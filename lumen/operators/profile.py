@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lumen.functions.casts import is_numeric_type, logical_type, type_family  # noqa: F401
 from lumen.functions.quantiles import exact_quantiles, sorted_gaps_from_hist
+from lumen.functions.rows import with_row
 from lumen.session import checkpoint_dir
 
 _FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -79,9 +80,10 @@ def value_histogram(df: DataFrame, materialize: bool = False, digest_over: int |
     for pos, name, dt in cols:
         if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             groups["value_i"].append((pos, F.col(f"`{name}`").cast("bigint")))
-        elif isinstance(dt, T.NumericType):
+        elif _is_float(dt):
             groups["value_d"].append((pos, _clean(df, name).cast("double")))
         else:
+            # decimals too: as text no digit is lost, and one column's share a scale
             groups["value_t"].append((pos, text_key(_as_text(df, name), digest_over)))
     types = {"value_i": "bigint", "value_d": "double", "value_t": "string"}
     hist = None
@@ -98,9 +100,11 @@ def value_histogram(df: DataFrame, materialize: bool = False, digest_over: int |
     if hist is None:
         hist = df.sparkSession.createDataFrame(
             [], "position int, value_i bigint, value_d double, value_t string, cnt bigint")
+    decimals = [pos for pos, _, dt in cols if isinstance(dt, T.DecimalType)]
+    decimal = F.when(F.col("position").isin(decimals), F.col("value_t").try_cast("double"))
     hist = hist.select("*", F.coalesce(F.col("value_i").cast("string"), F.col("value_d").cast("string"),
                                        F.col("value_t")).alias("value"),
-                       F.coalesce(F.col("value_d"), F.col("value_i").cast("double")).alias("num"))
+                       F.coalesce(F.col("value_d"), F.col("value_i").cast("double"), decimal).alias("num"))
     if materialize:
         from lumen.session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
@@ -108,6 +112,25 @@ def value_histogram(df: DataFrame, materialize: bool = False, digest_over: int |
     return hist
 
 
+def missing_counts(df: DataFrame) -> DataFrame:
+    """Position, column, type family, row, non-null and missing count per column, from
+    one aggregate without a shuffle of values."""
+    cols = schema_rows(df)
+    meta = df.sparkSession.createDataFrame(
+        [(pos, name, logical_type(dt), type_family(dt), is_numeric_type(dt)) for pos, name, dt in cols],
+        "position int, column string, logical_type string, type_family string, is_numeric boolean")
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(_clean(df, name)).alias(f"c{pos}") for pos, name, _ in cols])
+    counts = with_row(meta, one.select("rows", F.array(*[F.col(f"c{pos}") for pos, _, _ in cols]).alias("counts")))
+    non_null = F.element_at("counts", F.col("position") + 1).cast("bigint")
+    return counts.select("position", "column", "logical_type", "type_family", "is_numeric", F.col("rows").cast("bigint").alias("row_count"),
+                         non_null.alias("non_null"), (F.col("rows") - non_null).alias("missing"))
+
+
+def type_families(df: DataFrame) -> DataFrame:
+    """P18's input: a row per column, from the schema alone."""
+    return df.sparkSession.createDataFrame([(type_family(dt),) for _, _, dt in schema_rows(df)], "type_family string")
+
+
 def _numeric_positions(df: DataFrame) -> list[int]:
     return [pos for pos, _, dt in schema_rows(df) if is_numeric_type(dt)]
 
@@ -129,7 +152,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
     meta = spark.createDataFrame(
         [(pos, name, logical_type(dt), type_family(dt), pos in numeric) for pos, name, dt in cols],
         "position int, column string, logical_type string, type_family string, is_numeric boolean")
-    rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count")).withColumn("__one", F.lit(1))
+    rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
 
     dist = hist.groupBy("position").agg(
         F.sum("cnt").cast("bigint").alias("non_null"),
@@ -149,8 +172,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
         "position", "mean", F.when(F.col("__n") > 1, F.sqrt(F.col("__ss") / (F.col("__n") - 1))).alias("std"),
         "min", "max")
 
-    out = (meta.withColumn("__one", F.lit(1)).join(rows, on="__one").drop("__one")
-           .join(dist, on="position", how="left").join(moments, on="position", how="left"))
+    out = with_row(meta, rows).join(dist, on="position", how="left").join(moments, on="position", how="left")
     out = (out.withColumn("non_null", F.coalesce("non_null", F.lit(0).cast("bigint")))
            .withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
            .withColumn("top_count", F.coalesce("top_count", F.lit(0).cast("bigint")))

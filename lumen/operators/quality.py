@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumen.functions.rows import with_row
+
 # fixed values: name keywords
 LEAKAGE_KEYWORDS = ("target", "label", "result", "outcome", "答案", "結果")
 TARGET_KEYWORDS = ("target", "label", "price", "close", "sales", "revenue", "profit", "return",
@@ -89,11 +91,11 @@ def quality_summary(flags: DataFrame, duplicates: DataFrame, profile: DataFrame,
 
 
 def _one_row_join(frames: list[DataFrame]) -> DataFrame:
-    """Join one-row frames side by side (equi-join on a constant key, no cartesian product)."""
-    out = frames[0].withColumn("__one", F.lit(1))
+    """One-row frames side by side."""
+    out = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("__one", F.lit(1)), on="__one", how="inner")
-    return out.drop("__one")
+        out = with_row(out, f)
+    return out
 
 
 def quality_issues(summary: DataFrame) -> DataFrame:

@@ -47,9 +47,9 @@ def build_series(df: DataFrame, date_col: str, price_col: str, keys: list[str] |
         date_expr = F.to_date(date_expr)
     price_expr = to_number(df, price_col)
     return (
-        df.select(*keys, date_expr.alias("date"), price_expr.alias("price"))
+        df.select(*[F.col(f"`{k}`") for k in keys], date_expr.alias("date"), price_expr.alias("price"))
         .where(F.col("date").isNotNull() & F.col("price").isNotNull())
-        .groupBy(*keys, "date")
+        .groupBy(*[F.col(f"`{k}`") for k in keys], "date")
         .agg(F.avg("price").alias("price"), F.count(F.lit(1)).alias("n_obs"))
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.functions.casts import fround, fround_sql as R
+from lumen.functions.rows import with_row
 from lumen.operators import model_eval as ME
 from lumen.operators import model_prep as MP
 from lumen.plans.modeling import run_model_analysis
@@ -125,7 +126,7 @@ def q_baseline_regression(spark, sf_dir):
     """M10 + M24: median baseline for o_totalprice scored on the test rows."""
     d = _orders_split(spark, sf_dir).select(F.col("o_totalprice").alias("label"), "is_test").where(F.col("label").isNotNull())
     base = ME.baseline_prediction(d.where(~F.col("is_test")), "regression")
-    pred = d.where("is_test").withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), on="__one")
+    pred = with_row(d.where("is_test"), base)
     return _round_reg(ME.regression_metrics(pred))
 
 
@@ -160,8 +161,7 @@ def q_baseline_classification(spark, sf_dir):
     """M9 + M25: most-frequent-class baseline for o_orderstatus scored on the test rows."""
     d = MP.encode_target(_orders_split(spark, sf_dir), "o_orderstatus", "classification")
     base = ME.baseline_prediction(d.where(~F.col("is_test")), "classification")
-    pred = d.where("is_test").select("label").withColumn("__one", F.lit(1)).join(
-        base.withColumn("__one", F.lit(1)), on="__one")
+    pred = with_row(d.where("is_test").select("label"), base)
     return _round_clf(ME.classification_metrics(pred))
 
 
@@ -189,8 +189,7 @@ def _linreg_pred(spark, sf_dir, x: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("label"), F.col(x).alias("x"),
                                                  (F.col("l_orderkey") % 4 == 0).alias("is_test"))
     fit = li.where(~F.col("is_test")).agg(F.regr_slope("label", "x").alias("b"), F.regr_intercept("label", "x").alias("a"))
-    return li.where("is_test").withColumn("__one", F.lit(1)).join(fit.withColumn("__one", F.lit(1)), on="__one") \
-        .select("label", (F.col("a") + F.col("b") * F.col("x")).alias("prediction"))
+    return with_row(li.where("is_test"), fit).select("label", (F.col("a") + F.col("b") * F.col("x")).alias("prediction"))
 
 
 @register("linreg_1d", sql=_reg_sql(_LINREG_CTE.format(x="l_quantity")))
@@ -218,7 +217,7 @@ def q_best_model(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("label"),
                                                  (F.col("l_orderkey") % 4 == 0).alias("is_test"))
     base = ME.baseline_prediction(li.where(~F.col("is_test")), "regression")
-    bp = li.where("is_test").withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), on="__one")
+    bp = with_row(li.where("is_test"), base)
     parts = [("baseline_regressor", 0, bp), ("linreg_quantity", 1, _linreg_pred(spark, sf_dir, "l_quantity")),
              ("linreg_discount", 2, _linreg_pred(spark, sf_dir, "l_discount"))]
     res = None

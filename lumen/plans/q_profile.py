@@ -133,7 +133,7 @@ SELECT position, "column", missing, round(missing / greatest(row_count, 1), 4) A
 FROM prof WHERE missing > 0""")
 def q_profile_missing(spark, sf_dir):
     """Missing counts and ratios (columns with any missing cell)."""
-    p = P.column_profile(lineitem_with_holes(spark, sf_dir), quantiles=False)
+    p = P.missing_counts(lineitem_with_holes(spark, sf_dir))
     return p.where(F.col("missing") > 0).select(
         "position", "column", "missing",
         F.round(F.col("missing") / F.greatest(F.col("row_count"), F.lit(1)), 4).alias("missing_ratio"))
@@ -141,11 +141,11 @@ def q_profile_missing(spark, sf_dir):
 
 @register("duplicate_rows", sql="""
 SELECT coalesce(sum(c - 1), 0)::BIGINT AS duplicate_rows
-FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity, l_tax)""")
+FROM (SELECT count(*) AS c FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0) GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""")
 def q_duplicate_rows(spark, sf_dir):
-    """Duplicate rows of a 4-column projection of lineitem."""
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_tax")
-    return P.duplicate_rows(li)
+    """Duplicates among whole rows of lineitem, some of which are there twice."""
+    li = table(spark, sf_dir, "lineitem")
+    return P.duplicate_rows(li.union(li.where(F.col("l_orderkey") % 7 == 0)))
 
 
 _EVENTS_IQR_SQL = f"""
@@ -316,11 +316,25 @@ def q_recommend_targets_events(spark, sf_dir):
     return Q.recommend_targets(P.column_profile(table(spark, sf_dir, "events"), quantiles=False))
 
 
+@register("profile_decimals", sql="""
+WITH v AS (
+  SELECT 0 AS position, CAST(o_orderkey AS DECIMAL(38, 0)) * 1000000000000000000000 + o_custkey AS v FROM orders
+  UNION ALL SELECT 1, CAST(o_totalprice AS DECIMAL(12, 2)) FROM orders)
+SELECT position, count(v)::BIGINT AS non_null, count(DISTINCT v)::BIGINT AS "distinct" FROM v GROUP BY position""")
+def q_profile_decimals(spark, sf_dir):
+    """P5: distinct decimals, also such as differ beyond a double's digits."""
+    o = table(spark, sf_dir, "orders")
+    wide = F.col("o_orderkey").cast("decimal(17,0)") * F.lit("1000000000000000000000").cast("decimal(22,0)")
+    df = o.select((wide.cast("decimal(38,0)") + F.col("o_custkey").cast("decimal(10,0)")).cast("decimal(38,0)").alias("big"),
+                  F.col("o_totalprice").cast("decimal(12,2)").alias("price"))
+    return P.column_profile(df, quantiles=False).select("position", "non_null", "distinct")
+
+
 @register("type_distribution", sql="WITH " + profile_sql("events") + """
 SELECT type_family, count(*)::BIGINT AS columns FROM prof GROUP BY 1""")
 def q_type_distribution(spark, sf_dir):
     """Columns per type family (events)."""
-    return P.type_distribution(P.column_profile(table(spark, sf_dir, "events"), quantiles=False))
+    return P.type_distribution(P.type_families(table(spark, sf_dir, "events")))
 
 
 @register("top_missing", sql="WITH " + profile_sql("lineitem", _holes_sql()) + """
@@ -329,7 +343,7 @@ SELECT rank, "column", missing FROM (
 WHERE rank <= 3""")
 def q_top_missing(spark, sf_dir):
     """The three columns with most missing cells."""
-    p = P.column_profile(lineitem_with_holes(spark, sf_dir), quantiles=False)
+    p = P.missing_counts(lineitem_with_holes(spark, sf_dir))
     return P.top_missing(p).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -339,7 +353,7 @@ SELECT {R('greatest(0.0, least(1.0, 1 - sum(missing) / (max(row_count) * count(*
 FROM prof""")
 def q_completeness(spark, sf_dir):
     """Dataset completeness (lineitem with holes)."""
-    c = P.completeness(P.column_profile(lineitem_with_holes(spark, sf_dir), quantiles=False))
+    c = P.completeness(P.missing_counts(lineitem_with_holes(spark, sf_dir)))
     return c.select(fround("completeness", 6).alias("completeness"), "completeness_pct")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumen.functions.casts import fround, fround_sql as R
+from lumen.functions.rows import with_row
 from lumen.operators import model_eval as ME
 from lumen.operators import rules as N
 from lumen.plans.dataset import analyze_dataset, brief_row
@@ -114,7 +115,7 @@ def q_model_findings(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("label"),
                                                  (F.col("l_orderkey") % 4 == 0).alias("is_test"))
     base = ME.baseline_prediction(li.where(~F.col("is_test")), "regression")
-    bp = li.where("is_test").withColumn("__one", F.lit(1)).join(base.withColumn("__one", F.lit(1)), on="__one")
+    bp = with_row(li.where("is_test"), base)
     res = None
     for key, ord_, pred in [("baseline_regressor", 0, bp),
                             ("linreg_quantity", 1, _linreg_pred(spark, sf_dir, "l_quantity")),
@@ -151,7 +152,7 @@ def q_recommendation_scores(spark, sf_dir):
     shape = ME.shape_summary(li, "l_extendedprice")
     rec = ME.recommend_models(shape, "regression")
     cat = ME.catalog_df(spark).select("key", "family", "complexity")
-    j = rec.join(cat, on="key").withColumn("__one", F.lit(1)).join(shape.withColumn("__one", F.lit(1)), on="__one")
+    j = with_row(rec.join(cat, on="key"), shape)
     return j.select("ord", "key", N.recommendation_score(F.col("family"), F.col("complexity"), F.col("rows"),
                                                           F.col("feature_count"), F.lit(0)).alias("score"))
 
@@ -192,4 +193,4 @@ def q_prerun_advice(spark, sf_dir):
     """Suggested task per candidate target, missing cells and candidate count."""
     from lumen.operators import profile as P
     from lumen.plans.q_profile import lineitem_with_holes
-    return N.prerun_advice(P.column_profile(lineitem_with_holes(spark, sf_dir), quantiles=False))
+    return N.prerun_advice(P.missing_counts(lineitem_with_holes(spark, sf_dir)))

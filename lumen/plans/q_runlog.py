@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen.functions.rows import with_row
 from lumen.operators import runlog as G
 from lumen.plans.registry import register
 from lumen.sources.tables import table
@@ -80,7 +81,7 @@ def q_job_elapsed(spark, sf_dir):
     """Elapsed seconds per job, open jobs measured to the log's last event."""
     jobs = G.fold_jobs(_job_events(spark, sf_dir))
     now = jobs.agg(F.max("updated_at").alias("__now"))
-    j = jobs.withColumn("__one", F.lit(1)).join(now.withColumn("__one", F.lit(1)), on="__one")
+    j = with_row(jobs, now)
     return j.select("job_id", G.job_elapsed(j, F.col("__now")).alias("elapsed_seconds"))
 
 
@@ -91,7 +92,7 @@ def q_ttl_cleanup(spark, sf_dir):
     """Jobs kept by the 4-hour TTL, measured at the log's last event."""
     jobs = G.fold_jobs(_job_events(spark, sf_dir))
     now = jobs.agg(F.max("updated_at").alias("__now"))
-    j = jobs.withColumn("__one", F.lit(1)).join(now.withColumn("__one", F.lit(1)), on="__one")
+    j = with_row(jobs, now)
     return G.ttl_cleanup(j, F.col("__now")).select("job_id")
 
 

@@ -25,12 +25,51 @@ def test_quick_search_and_folds(spark):
     assert run.results.count() == 3
 
 
-def test_profile_row_cap(spark):
+def test_profile_reads_every_row(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(100)], "k long, v double")
-    a = analyze_dataset(df, "t", profile_rows=40, order_by=["k"])
-    s = a.summary.collect()[0]
-    assert s["is_profiled_sample"] and s["row_count"] == 100
-    assert [r["code"] for r in a.issues.collect()][0] == "profile_sample"
+    s = analyze_dataset(df, "t").summary.collect()[0]
+    assert not s["is_profiled_sample"] and s["row_count"] == 100
+
+
+def test_wide_decimals_and_far_values(spark):
+    from decimal import Decimal
+    from lumen.operators.model_prep import numeric_stats
+    from lumen.operators.profile import column_profile
+    big = spark.createDataFrame([(Decimal(10 ** 30 + i),) for i in range(3)], "d decimal(38,0)")
+    p = column_profile(big, quantiles=False).first()
+    assert (p["distinct"], p["top_count"]) == (3, 1) and abs(p["mean"] / 1e30 - 1) < 1e-12
+    far = spark.createDataFrame([(1e9,), (1e9 + 1,), (1e9 + 2,), (None,)], "`a.b` double")
+    s = numeric_stats(far, ["a.b"]).first()
+    assert s["median"] == 1e9 + 1 and abs(s["std"] - 0.5 ** 0.5) < 1e-6
+
+
+def test_nested_names_reach_finance_and_models(spark):
+    from lumen.operators.series import build_series
+    rows = [(f"2024-01-{i + 1:02}", float(i), "x" if i % 2 else "y") for i in range(20)]
+    df = spark.createDataFrame(rows, "`q.date` string, `q.price` double, `q.kind` string")
+    assert build_series(df, "q.date", "q.price").count() == 20
+    run = run_model_analysis(df, "q.price", models=["linear_regression"])
+    assert run.results.count() == 2
+
+
+def test_split_is_exact_and_in_proportion(spark):
+    from lumen.operators.model_prep import with_split
+    df = spark.createDataFrame([(i, float(i % 3 == 0)) for i in range(101)], "k long, label double")
+    got = with_split(df, "label", ["k"], "classification").groupBy("label", "is_test").count().collect()
+    n = {(r["label"], r["is_test"]): r["count"] for r in got}
+    assert n[0.0, True] + n[1.0, True] == 26 and abs(n[1.0, True] - 34 / 4) <= 1
+    for size in range(1, 12):
+        part = with_split(df.limit(size), "label", ["k"], "regression")
+        assert part.where("is_test").count() == -(-size // 4)
+
+
+def test_model_run_guards(spark):
+    import pytest
+    df = spark.createDataFrame([(i, float(i)) for i in range(4)], "k long, y double")
+    with pytest.raises(ValueError, match="at least 5"):
+        run_model_analysis(df, "y")
+    with pytest.raises(ValueError, match="no values"):
+        run_model_analysis(df.selectExpr("k", "cast(null as double) y"), "y")
 
 
 def test_glossary_and_bands(spark):

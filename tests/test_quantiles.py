@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from lumen.functions.quantiles import exact_quantiles, sorted_gaps
 
 
-@pytest.mark.parametrize("small_limit", [0, 10**9])
-def test_exact_quantiles_bucketed_and_small_paths(spark, small_limit):
+@pytest.mark.parametrize("buckets", [1, 16, None])
+def test_exact_quantiles_for_any_number_of_buckets(spark, buckets):
     rng = np.random.default_rng(7)
     a = rng.normal(size=5000)
     b = np.concatenate([np.full(2500, 3.0), rng.exponential(size=2500)])  # one value holds half the rows
@@ -15,18 +15,18 @@ def test_exact_quantiles_bucketed_and_small_paths(spark, small_limit):
     hist = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     got = {(r["k"], r["prob"]): r["value"]
-           for r in exact_quantiles(hist, ["k"], "v", "c", probs, buckets=16, small_limit=small_limit).collect()}
+           for r in exact_quantiles(hist, ["k"], "v", "c", probs, buckets=buckets).collect()}
     for k, arr in ((0, a), (1, b)):
         for p in probs:
             assert got[(k, p)] == pytest.approx(float(np.quantile(arr, p)), rel=1e-12, abs=1e-12)
 
 
-@pytest.mark.parametrize("small_limit", [0, 10**9])
-def test_sorted_gaps_match_numpy(spark, small_limit):
+@pytest.mark.parametrize("buckets", [1, 8, None])
+def test_sorted_gaps_match_numpy(spark, buckets):
     rng = np.random.default_rng(3)
     vals = rng.integers(0, 500, size=3000)
     df = spark.createDataFrame([(0, int(v)) for v in vals], "k int, v long")
-    gaps = sorted_gaps(df, ["k"], "v", buckets=8, small_limit=small_limit).toPandas()
+    gaps = sorted_gaps(df, ["k"], "v", buckets=buckets).toPandas()
     diffs = np.diff(np.sort(vals))
     exp = {float(g): int(c) for g, c in zip(*np.unique(diffs, return_counts=True))}
     got = {float(g): int(c) for g, c in zip(gaps["gap"], gaps["cnt"])}
