@@ -117,7 +117,8 @@ def artifact_registry(registrations: DataFrame, revocations: DataFrame | None =
     ``revocations``: run_id, revoked_at — revokes every artifact of the run registered
     before that moment.
     """
-    order = F.col("registered_at")
+    # rows registered at one moment: the later expiry, then the larger project id
+    order = F.struct("registered_at", "expires_at", "project_id")
     reg = registrations.groupBy("run_id", "relative_path").agg(
         F.min("registered_at").alias("created_at"),
         F.max("registered_at").alias("last_registered_at"),

@@ -103,3 +103,27 @@ SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.custkey = c.custkey)""
 def q_customers_without_orders(spark, sf_dir):
     """U8 (anti join): customers with no order."""
     return C.join_on_key(stripped(spark, sf_dir, "customer"), stripped(spark, sf_dir, "orders"), "custkey", "left_anti")
+
+
+@register("union_documents_pages", sql="""
+SELECT doc_id, text, lang, source, NULL::BIGINT AS page_id, NULL AS url, NULL AS html, 'documents' AS source_file,
+       row_number() OVER (ORDER BY doc_id) AS source_row_number FROM documents
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, page_id, url, html, 'pages', row_number() OVER (ORDER BY page_id) FROM pages""")
+def q_union_documents_pages(spark, sf_dir):
+    """Two tables of long texts under each other, numbered in the order of their ids."""
+    docs = table(spark, sf_dir, "documents").drop("n_chars")
+    return C.union_by_name([("documents", docs), ("pages", table(spark, sf_dir, "pages"))],
+                           order_by={"documents": ["doc_id"], "pages": ["page_id"]})
+
+
+@register("union_clashing_types", sql="""
+SELECT CAST(c_custkey AS VARCHAR) AS code, CAST(c_acctbal AS DOUBLE) AS amount, NULL AS note FROM customer
+UNION ALL SELECT 'S' || s_suppkey, CAST(s_suppkey AS DOUBLE), NULL FROM supplier
+UNION ALL SELECT NULL, NULL, n_name FROM nation""")
+def q_union_clashing_types(spark, sf_dir):
+    """A column that is a number in one input, text in another and not in the third."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_acctbal").alias("amount"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("code"), F.col("s_suppkey").alias("amount"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("note"))
+    return C.union_by_name([("c", c), ("s", s), ("n", n)], provenance=False)

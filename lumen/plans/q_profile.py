@@ -317,10 +317,9 @@ def q_recommend_targets_events(spark, sf_dir):
 
 
 @register("profile_decimals", sql="""
-WITH v AS (
-  SELECT 0 AS position, CAST(o_orderkey AS DECIMAL(38, 0)) * 1000000000000000000000 + o_custkey AS v FROM orders
-  UNION ALL SELECT 1, CAST(o_totalprice AS DECIMAL(12, 2)) FROM orders)
-SELECT position, count(v)::BIGINT AS non_null, count(DISTINCT v)::BIGINT AS "distinct" FROM v GROUP BY position""")
+SELECT 0 AS position, count(*)::BIGINT AS non_null, count(DISTINCT (o_orderkey, o_custkey))::BIGINT AS "distinct" FROM orders
+UNION ALL
+SELECT 1, count(*)::BIGINT, count(DISTINCT CAST(o_totalprice AS DECIMAL(12, 2)))::BIGINT FROM orders""")
 def q_profile_decimals(spark, sf_dir):
     """P5: distinct decimals, also such as differ beyond a double's digits."""
     o = table(spark, sf_dir, "orders")

@@ -198,11 +198,34 @@ def q_sliding_rate_hourly(spark, sf_dir):
     return G.sliding_counts(e, ["user_id"], "ts", window_seconds=3 * 3600).select("event_id", "calls_in_window")
 
 
-@register("rate_limit_admitted")
+RATE_QUERY_LIMIT = 3
+RATE_QUERY_SECONDS = 10 * 86_400
+
+
+def rate_limit_sql(columns: str) -> str:
+    """The sequential rule as a recursion over each key's calls, with the admitted instants."""
+    return f"""
+WITH RECURSIVE numbered AS (
+  SELECT user_id, event_type, event_id, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+step AS (
+  SELECT user_id, event_type, event_id, n, [us] AS held, true AS admitted FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT c.user_id, c.event_type, c.event_id, c.n,
+         CASE WHEN len(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000)) < {RATE_QUERY_LIMIT}
+              THEN list_append(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000), c.us)
+              ELSE list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000) END,
+         len(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000)) < {RATE_QUERY_LIMIT}
+  FROM step s JOIN numbered c ON c.user_id = s.user_id AND c.event_type = s.event_type AND c.n = s.n + 1)
+SELECT {columns} FROM step"""
+
+
+@register("rate_limit_admitted", sql=rate_limit_sql("event_id, admitted"))
 def q_rate_limit_admitted(spark, sf_dir):
-    """G13 (reference semantics, rejected calls not counted): rows-only check."""
+    """G13 (reference semantics, rejected calls not counted), at most 3 a user and type in 10 days."""
     e = table(spark, sf_dir, "events")
-    return G.admitted_requests(e, ["user_id", "event_type"], "ts", "event_id").select("event_id", "admitted")
+    return G.admitted_requests(e, ["user_id", "event_type"], "ts", "event_id", RATE_QUERY_LIMIT,
+                               RATE_QUERY_SECONDS).select("event_id", "admitted")
 
 
 @register("dedupe_links", sql=f"""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumen.functions.casts import fround, fround_sql as R
+from lumen.plans.q_runlog import RATE_QUERY_LIMIT, RATE_QUERY_SECONDS, rate_limit_sql
 from lumen.plans.registry import register
 from lumen.streaming import streams as W
 
@@ -27,9 +28,9 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*)::BIGINT AS row
        count(*) FILTER (WHERE value IS NULL)::BIGINT AS missing
 FROM events GROUP BY 1""")
 def q_stream_window_counters(spark, sf_dir):
-    """Hourly row / missing / distinct-user counters (complete mode)."""
+    """Hourly row / missing / distinct-user counters (update mode)."""
     s = W.window_counters(W.table_stream(spark, sf_dir, "events"), "ts", "value", "user_id")
-    out = W.run_to_table(s, "complete", "window_counters")
+    out = W.run_to_table(s, "update", "window_counters", key=["window_start"])
     # approx_users (HyperLogLog) is checked against the exact count in tests/test_streaming.py
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "rows", "missing")
 
@@ -38,16 +39,17 @@ def q_stream_window_counters(spark, sf_dir):
 SELECT user_id, event_type, value, count(*) OVER (PARTITION BY user_id)::BIGINT AS events FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def q_stream_latest_state(spark, sf_dir):
-    """Latest event type and value per user (complete mode)."""
+    """Latest event type and value per user (update mode)."""
     s = W.latest_state_stream(W.table_stream(spark, sf_dir, "events"), "user_id", ["ts", "event_id"],
                               ["event_type", "value"])
-    return W.run_to_table(s, "complete", "latest_state").drop("__batch")
+    return W.run_to_table(s, "update", "latest_state", key=["user_id"]).drop("__batch")
 
 
-@register("stream_rate_limit")
+@register("stream_rate_limit", sql=rate_limit_sql("user_id, event_type, event_id, admitted, false AS late"))
 def q_stream_rate_limit(spark, sf_dir):
-    """Admitted / late flag per request with bounded per-key state (rows-only)."""
-    s = W.rate_limit_stream(W.table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id")
+    """Admitted / late flag per request, at most 3 a user and type in 10 days."""
+    s = W.rate_limit_stream(W.table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id",
+                            limit=RATE_QUERY_LIMIT, window_seconds=RATE_QUERY_SECONDS)
     return W.run_to_table(s, "append", "rate_limit").drop("__batch")
 
 

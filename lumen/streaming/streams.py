@@ -5,12 +5,11 @@
   of them), so state stays bounded however busy a client is.
 * W2 — daily series: event-time ``window`` + watermark, append mode; indicators are
   computed by the batch operators over the closed days (``foreachBatch``).
-* W3 — windowed counters: count, missing count, approximate distinct users.
-* W4 — latest job state per key: ``max_by`` over event order, update / complete mode.
+* W3 — windowed counters: count, missing count, approximate distinct users, watermarked.
+* W4 — latest job state per key: ``max_by`` over event order, update mode.
 
 ``run_to_table`` drives a stream to completion with ``trigger(availableNow=True)`` into
-a Parquet folder under the shared checkpoint location, so a job that dies is resumed
-from its checkpoint instead of restarting.
+Parquet folders, one per micro-batch, under the shared checkpoint location.
 """
 
 from __future__ import annotations
@@ -37,27 +36,38 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return reader.parquet(sf_dir)
 
 
-def run_to_table(stream: DataFrame, output_mode: str = "append", name: str = "stream") -> DataFrame:
+def run_to_table(stream: DataFrame, output_mode: str = "append", name: str = "stream",
+                 location: str | None = None, key: list[str] | None = None) -> DataFrame:
     """Run ``stream`` until the available input is consumed; return the sink as a table.
 
-    append: each micro-batch is appended; complete / update: each micro-batch rewrites
-    (complete) or appends its changed rows (update) — both idempotent per batch id.
+    Each micro-batch overwrites its own folder, so a batch that is run again after a
+    failure leaves the rows it would have left before.  A stream started again with the
+    same ``location`` goes on from its checkpoint; without one a new folder is taken.
+    append: all batches together; complete: the last batch; update: the last batch's rows
+    of each ``key``.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/lumen-stream/{name}-{uuid.uuid4().hex[:12]}"
+    base = location or f"{checkpoint_dir(spark).rstrip('/')}/lumen-stream/{name}-{uuid.uuid4().hex[:12]}"
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode(mode).parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={batch_id}")
 
     q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing emitted yet
-        return spark.createDataFrame([], stream.schema.add("__batch", T.LongType()))
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())]))
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.LongType())])
+    rows = spark.read.schema(schema).option("basePath", out).parquet(out)
+    if output_mode == "complete":
+        return rows.where(F.col("__batch") == rows.agg(F.max("__batch")).first()[0])
+    if output_mode == "update":
+        rest = [F.col(c) for c in rows.columns if c not in (key or [])]
+        return rows.groupBy(*(key or [])).agg(F.max_by(F.struct(*rest), "__batch").alias("__row")).select(*(key or []), "__row.*")
+    return rows
 
 
 def _with_ts(stream: DataFrame, ts: str) -> DataFrame:
@@ -77,9 +87,10 @@ def daily_series_stream(stream: DataFrame, ts: str, value: str, keys: list[str],
 
 
 # ---------------------------------------------------------------------------- W3
-def window_counters(stream: DataFrame, ts: str, value: str, user: str, width: str = "1 hour") -> DataFrame:
-    """Rows, missing values and approximate distinct users per event-time window."""
-    return (_with_ts(stream, ts).groupBy(F.window(F.col(ts), width).alias("w"))
+def window_counters(stream: DataFrame, ts: str, value: str, user: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Rows, missing values and approximate distinct users per event-time window; a window's
+    state goes once the watermark has passed it (output mode update or append)."""
+    return (_with_ts(stream, ts).withWatermark(ts, delay).groupBy(F.window(F.col(ts), width).alias("w"))
             .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value).isNull()).alias("missing"),
                  F.approx_count_distinct(user).alias("approx_users"))
             .select(F.col("w.start").alias("window_start"), "rows", "missing", "approx_users"))
@@ -87,7 +98,7 @@ def window_counters(stream: DataFrame, ts: str, value: str, user: str, width: st
 
 # ---------------------------------------------------------------------------- W4
 def latest_state_stream(stream: DataFrame, key: str, order_cols: list[str], value_cols: list[str]) -> DataFrame:
-    """Latest values per key (use output mode update or complete)."""
+    """Latest values per key (use output mode update: only keys with news are written)."""
     order = F.struct(*[F.col(c) for c in order_cols])
     return stream.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in value_cols]), order).alias("v"),
                                    F.count(F.lit(1)).alias("events")).select(key, "v.*", "events")
@@ -99,7 +110,8 @@ def rate_limit_stream(stream: DataFrame, keys: list[str], ts: str, order: str, l
     """Admitted flag per request; state per key = admitted epoch-µs in the window.
 
     Rows of a key inside one micro-batch are handled in (ts, order) order.  A row older
-    than the key's last handled timestamp minus the window is late: not admitted.
+    than the key's last handled timestamp minus the window is late: not admitted.  A key's
+    state goes when the watermark is past its last timestamp and the window.
     """
     win = window_seconds * 1_000_000
     out_schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField(order, T.LongType()),
@@ -108,6 +120,9 @@ def rate_limit_stream(stream: DataFrame, keys: list[str], ts: str, order: str, l
                                  T.StructField("last", T.LongType())])
 
     def step(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         stamps, last = ([], None)
         if state.exists:
             stamps, last = list(state.get[0] or []), state.get[1]
@@ -129,6 +144,7 @@ def rate_limit_stream(stream: DataFrame, keys: list[str], ts: str, order: str, l
             late.append(False)
             last = t if last is None else max(last, t)
         state.update((stamps, last))
+        state.setTimeoutTimestamp(max((last + win) // 1000, state.getCurrentWatermarkMs()) + 1)
         res = pdf[[*keys, order]].copy()
         res["admitted"] = adm
         res["late"] = late
@@ -136,4 +152,4 @@ def rate_limit_stream(stream: DataFrame, keys: list[str], ts: str, order: str, l
 
     staged = _with_ts(stream, ts).withWatermark(ts, delay).withColumn("__us", F.unix_micros(F.col(ts)))
     return staged.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

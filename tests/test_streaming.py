@@ -23,7 +23,7 @@ def test_latest_state_stream_matches_batch(spark):
     from lumen.operators import runlog as G
     s = W.latest_state_stream(W.table_stream(spark, SF01, "events"), "user_id", ["ts", "event_id"],
                               ["event_type", "value"])
-    got = {r["user_id"]: (r["event_type"], r["value"]) for r in W.run_to_table(s, "complete", "latest_test").collect()}
+    got = {r["user_id"]: (r["event_type"], r["value"]) for r in W.run_to_table(s, "update", "latest_test", key=["user_id"]).collect()}
     batch = G.latest_state(spark.read.parquet(f"{SF01}/events.parquet"), ["user_id"], ["ts", "event_id"],
                            ["event_type", "value"])
     assert got == {r["user_id"]: (r["event_type"], r["value"]) for r in batch.collect()}
