@@ -180,6 +180,31 @@ def q_metric_bands(spark, sf_dir):
     return b.select("metric", fround("value", 6).alias("value"), "band")
 
 
+@register("metric_bands_all", sql=f"""
+WITH m AS (
+  SELECT DISTINCT ['data_completeness', 'r2', 'accuracy', 'f1_score', 'rsi', 'volatility', 'rmse', 'mae', 'var', 'forecast', 'other'][(l_orderkey % 11 + 1)::INT] AS metric,
+         CASE WHEN l_orderkey % 11 = 4 THEN l_quantity * 2 WHEN l_orderkey % 11 = 5 THEN l_discount ELSE l_discount * 10 END AS value
+  FROM lineitem)
+SELECT metric, {R('value', 6)} AS value, CASE metric
+  WHEN 'data_completeness' THEN CASE WHEN value >= 0.95 THEN 'complete' WHEN value >= 0.8 THEN 'usable' ELSE 'sparse' END
+  WHEN 'r2' THEN CASE WHEN value >= 0.7 THEN 'strong' WHEN value >= 0.35 THEN 'moderate' ELSE 'weak' END
+  WHEN 'accuracy' THEN CASE WHEN value >= 0.8 THEN 'high' ELSE 'needs_work' END
+  WHEN 'f1_score' THEN CASE WHEN value >= 0.75 THEN 'balanced' ELSE 'weak' END
+  WHEN 'rsi' THEN CASE WHEN value >= 70 THEN 'overheated' WHEN value > 30 THEN 'neutral' ELSE 'oversold' END
+  WHEN 'volatility' THEN CASE WHEN value >= 0.05 THEN 'high' WHEN value >= 0.02 THEN 'moderate' ELSE 'low' END
+  WHEN 'rmse' THEN 'typical_error' WHEN 'mae' THEN 'typical_error' WHEN 'var' THEN 'downside_risk'
+  WHEN 'forecast' THEN 'baseline_estimate' ELSE 'read_with_context' END AS band
+FROM m""")
+def q_metric_bands_all(spark, sf_dir):
+    """Every metric's bands over the values that line items give."""
+    li = table(spark, sf_dir, "lineitem")
+    names = F.array(*[F.lit(x) for x in ("data_completeness", "r2", "accuracy", "f1_score", "rsi", "volatility", "rmse", "mae", "var", "forecast", "other")])
+    kind = F.col("l_orderkey") % 11
+    value = (F.when(kind == 4, F.col("l_quantity") * 2).when(kind == 5, F.col("l_discount")).otherwise(F.col("l_discount") * 10)).cast("double")
+    metrics = li.select(F.element_at(names, (kind + 1).cast("int")).alias("metric"), value.alias("value")).distinct()
+    return N.metric_bands(metrics, N.bands_df(spark)).select("metric", fround("value", 6).alias("value"), "band")
+
+
 @register("prerun_advice", sql="""
 SELECT c AS "column", task AS suggested_task, (SELECT (count(*) - count(l_discount)) + (count(*) - count(l_tax))
   + (count(*) - count(l_returnflag)) FROM (SELECT CASE WHEN l_partkey % 13 <> 0 THEN l_discount END AS l_discount,

@@ -78,6 +78,7 @@ def test_glossary_and_bands(spark):
     merged = {r["term"]: r["sources"] for r in N.merge_terms(terms).collect()}
     assert merged == {"RMSE": ["dataset", "model"], "R²": ["model"], "RSI": ["finance"]}
     assert N.glossary_df(spark).count() == 19
+    assert [r["key"] for r in N.glossary_terms(spark, ["rsi", "nothing", "mean"]).collect()] == ["rsi", "mean"]
     m = spark.createDataFrame([("rsi", 72.0), ("rsi", 30.0), ("rsi", 50.0), ("r2", 0.5)], "metric string, value double")
     got = {(r["metric"], r["value"]): r["band"] for r in N.metric_bands(m, N.bands_df(spark)).collect()}
     assert got == {("rsi", 72.0): "overheated", ("rsi", 30.0): "oversold", ("rsi", 50.0): "neutral",
