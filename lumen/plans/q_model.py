@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumen.functions.casts import fround, fround_sql as R
 from lumen.functions.rows import with_row
 from lumen.operators import model_eval as ME
+from lumen.operators import model_fit as MF
 from lumen.operators import model_prep as MP
 from lumen.plans.modeling import run_model_analysis
 from lumen.plans.q_profile import lineitem_with_holes, _holes_sql
@@ -198,6 +199,39 @@ def q_linreg_1d(spark, sf_dir):
     return _round_reg(ME.regression_metrics(_linreg_pred(spark, sf_dir, "l_quantity")))
 
 
+@register("linreg_2d", sql=_reg_sql("""
+WITH s AS (SELECT l_extendedprice AS y, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, l_orderkey % 4 = 0 AS is_test FROM lineitem),
+m AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+             avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM s WHERE NOT is_test),
+f AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb, * FROM m),
+p AS (SELECT y, my + wa * (a - ma) + wb * (b - mb) AS p FROM s, f WHERE is_test)"""))
+def q_linreg_2d(spark, sf_dir):
+    """The library's linear regression on two features against its closed form."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").cast("double").alias("label"), "l_quantity", "l_discount", (F.col("l_orderkey") % 4 == 0).alias("is_test"))
+    prep = MF.build_matrix(li, ["l_quantity", "l_discount"], [])
+    _, pred, _ = MF.fit_and_predict(prep, "linear_regression", "regression")
+    return _round_reg(ME.regression_metrics(pred))
+
+
+@register("tree_depth_1", sql=_reg_sql("""
+WITH s AS (SELECT l_extendedprice AS y, l_quantity::DOUBLE AS x, l_orderkey % 4 = 0 AS is_test FROM lineitem),
+v AS (SELECT x, count(*) AS n, sum(y) AS sy FROM s WHERE NOT is_test GROUP BY x),
+c AS (SELECT x, sum(n) OVER w AS n1, sum(sy) OVER w AS s1, sum(n) OVER () AS n, sum(sy) OVER () AS sy, lead(x) OVER (ORDER BY x) AS nx
+      FROM v WINDOW w AS (ORDER BY x)),
+b AS (SELECT x AS cut, s1 / n1 AS lo, (sy - s1) / (n - n1) AS hi FROM c WHERE nx IS NOT NULL
+      ORDER BY s1 * s1 / n1 + (sy - s1) * (sy - s1) / (n - n1) DESC LIMIT 1),
+p AS (SELECT y, CASE WHEN x <= cut THEN lo ELSE hi END AS p FROM s, b WHERE is_test)"""))
+def q_tree_depth_1(spark, sf_dir):
+    """A regression tree of one split against the best split over all cuts."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").cast("double").alias("label"), "l_quantity", (F.col("l_orderkey") % 4 == 0).alias("is_test"))
+    prep = MF.build_matrix(li, ["l_quantity"], [])
+    model = DecisionTreeRegressor(maxDepth=1, maxBins=128, seed=MF.SEED).fit(prep.data.where(~F.col("is_test")))
+    return _round_reg(ME.regression_metrics(model.transform(prep.data.where("is_test"))))
+
+
 @register("best_model", sql=f"""
 WITH s AS (SELECT l_extendedprice AS y, l_quantity AS xq, l_discount AS xd, l_orderkey % 4 = 0 AS is_test FROM lineitem),
 fq AS (SELECT regr_slope(y, xq) AS b, regr_intercept(y, xq) AS a FROM s WHERE NOT is_test),

@@ -139,3 +139,15 @@ def test_merged_run_skips_bad_files(spark, tmp_path):
     b = tmp_path / "b.csv"; b.write_text("x,z\n3,4\n")
     u, status, notes = load_and_union(spark, [str(a), str(b), str(tmp_path / "nope.csv")])
     assert u.count() == 2 and len(notes) == 1 and set(u.columns) >= {"x", "y", "z", "source_file"}
+
+
+def test_saved_pipeline_scores_raw_rows(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+    from lumen.sources.files import save_model
+    rows = [(float(i), None if i % 7 == 0 else float(i % 5), ["it's", "b\\c", None][i % 3], 3.0 * i + (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "`x.1` double, gap double, kind string, y double")
+    run = run_model_analysis(df, "y", models=["linear_regression"])
+    path = save_model(run.pipelines["linear_regression"], str(tmp_path / "m"))
+    new = spark.createDataFrame([(10.0, None, "it's"), (20.0, 1.0, "unseen")], "`x.1` double, gap double, kind string")
+    got = [r["prediction"] for r in PipelineModel.load(path).transform(new).orderBy("`x.1`").collect()]
+    assert abs(got[0] - 30.0) < 1.5 and abs(got[1] - 60.0) < 2.5
