@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from lumen.llm.texts import WordTable, bounded_batches, byte_texts, slices, sums_by_group
 
-SAMPLE_PER_LANG = 4000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+SAMPLE_PER_LANG = 1500
+MAX_WORDS = 60_000
+MAX_GRAMS = 60_000
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 FIXED = 1 << 20
@@ -91,28 +91,28 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(draw < F.element_at(part, F.col("lang"))).select("lang", "text")
     counts = (sample.mapInArrow(_count, "kind int, lang string, term string, n bigint")
-              .groupBy("kind", "lang", "term").agg(F.sum("n").alias("n"))
-              .groupBy("kind", "term").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")))
+              .groupBy("kind", "term").agg(F.sum("n").alias("total"), *[
+                  F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]))
     models = []
     for kinds, most in ((F.col("kind") == 0, max_words), (F.col("kind") > 0, max_grams)):
-        rows = counts.where(kinds).where("total > 1").orderBy(F.col("total").desc(), "kind", "term").limit(most).collect()
-        models.append(_log_frequencies(rows, languages))
+        rows = counts.where(kinds).where("total > 1").orderBy(F.col("total").desc(), "kind", "term").limit(most).drop("total")
+        models.append(_log_frequencies(rows.toArrow(), len(languages)))
     (words, word_scores, low), (grams, gram_scores, _) = models
     return LanguageModel(languages, words, word_scores, grams, gram_scores, low)
 
 
-def _log_frequencies(rows: list, languages: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+def _log_frequencies(rows: pa.Table, n_languages: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """(term → row, scores, score of a term never seen).  N-grams are relative to their order."""
-    n = np.array([[r["n"].get(k, 0) for k in languages] for r in rows], dtype=np.float64).reshape(len(rows), len(languages))
-    kind = np.array([r["kind"] for r in rows], dtype=np.int64)
+    n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(n_languages)], axis=1).astype(np.float64)
+    kind = rows.column("kind").to_numpy()
     scores = np.zeros_like(n)
-    low = np.zeros(len(languages))
+    low = np.zeros(n_languages)
     for k in np.unique(kind):
         own = kind == k
         total = n[own].sum(axis=0) + 0.5 * (own.sum() + 1)
         scores[own] = np.log((n[own] + 0.5) / total)
         low = np.log(0.5 / total)
-    return ({r["term"]: i for i, r in enumerate(rows)}, np.round(scores * FIXED).astype(np.int64),
+    return ({t: i for i, t in enumerate(rows.column("term").to_pylist())}, np.round(scores * FIXED).astype(np.int64),
             np.round(low * FIXED).astype(np.int64))
 
 
