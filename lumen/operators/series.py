@@ -35,10 +35,10 @@ INDICATOR_COLUMNS = ("ma_short", "ma_long", "return", "volatility", "rsi",
 
 # ---------------------------------------------------------------------------- F3, F4
 def build_series(df: DataFrame, date_col: str, price_col: str, keys: list[str] | None = None,
-                 grain: str = "day") -> DataFrame:
+                 grain: str = "instant") -> DataFrame:
     """parse date and price, drop rows missing either, mean price per (keys, date).
 
-    ``grain='day'`` truncates to a calendar date; ``grain='exact'`` keeps the timestamp.
+    ``grain='instant'`` keeps the parsed instant; ``grain='day'`` cuts it to a calendar date.
     Output: keys..., date, price, n_obs (raw rows behind the mean).
     """
     keys = list(keys or [])
@@ -86,6 +86,34 @@ def _rolling(expr: Column, base: Window, width: int, how: str) -> Column:
     return F.when(F.count(expr).over(frame) >= 2, agg.over(frame))
 
 
+# Rolling windows reach back 14 rows at most (and one more for a difference).
+WINDOW_ROWS = 4096
+WINDOW_HALO = 32
+DAYS_A_BUCKET = 4096
+MICROS_A_BUCKET = 3_600_000_000
+
+
+def _numbered(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``idx`` (place in the series, from 0) and ``n`` (its length) without a window over a
+    series: rows are numbered within stretches of time, whose sizes give the offsets."""
+    if isinstance(series.schema["date"].dataType, T.DateType):
+        stretch = F.floor(F.unix_date("date") / DAYS_A_BUCKET)
+    else:
+        stretch = F.floor(F.unix_micros(F.col("date").cast("timestamp")) / MICROS_A_BUCKET)
+    named = [F.col(f"`{k}`") for k in keys]
+    staged = series.withColumn("__stretch", stretch)
+    sizes = staged.groupBy(*named, "__stretch").agg(F.count(F.lit(1)).alias("__size"))
+    of_key = Window.partitionBy(*named)
+    before = of_key.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*named, "__stretch", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"),
+                           F.sum("__size").over(of_key).alias("n"))
+    within = F.row_number().over(Window.partitionBy(*named, "__stretch").orderBy("date"))
+    placed = staged.withColumn("__within", within).alias("s").join(
+        offsets.alias("o"), [F.col(f"s.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in [*keys, "__stretch"]])
+    return placed.select(*[F.col(f"s.`{c}`") for c in series.columns],
+                         (F.col("__before") + F.col("__within") - 1).alias("idx"), F.col("n"))
+
+
 def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """F5-F11 over a series ``(keys..., date, price)``.
 
@@ -100,10 +128,7 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
         # one constant key: every later window, block aggregate and join clusters on a
         # superset of it, so the partitioning made here is reused instead of re-shuffled
         series = series.withColumn("__series", F.lit(0))
-    by_key = Window.partitionBy(*keys)
-    ordered = by_key.orderBy("date")
-    base = series.select(*keys, "date", "price").withColumn("idx", F.row_number().over(ordered) - 1)
-    base = base.withColumn("n", F.count(F.lit(1)).over(by_key))
+    base = _numbered(series.select(*[F.col(f"`{k}`") for k in keys], "date", "price"), keys)
     params = window_params(F.col("n"))
     base = base.select("*", *[c.alias(name) for name, c in params.items()])
     if materialize:
@@ -125,9 +150,14 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
             expr = F.when(cond, v) if expr is None else expr.when(cond, v)
         return expr
 
+    # windows see a block of the series and the last rows of the block before it
+    own = F.floor(F.col("idx") / WINDOW_ROWS)
+    last = F.col("idx") % WINDOW_ROWS >= WINDOW_ROWS - WINDOW_HALO
+    blocked = base.withColumn("__window", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    ordered = Window.partitionBy(*[F.col(f"`{k}`") for k in keys], "__window").orderBy("idx")
     ret = F.try_divide(F.col("price"), F.lag("price").over(ordered)) - 1
     delta = F.col("price") - F.lag("price").over(ordered)
-    out = base.withColumn("return", ret).withColumn("__delta", delta)
+    out = blocked.withColumn("return", ret).withColumn("__delta", delta)
     out = out.withColumn("__gain", F.when(F.col("__delta").isNotNull(), F.greatest("__delta", F.lit(0.0))))
     out = out.withColumn("__loss", F.when(F.col("__delta").isNotNull(), -F.least("__delta", F.lit(0.0))))
     out = out.select(
@@ -138,7 +168,7 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
                   * F.sqrt(F.lit(float(p["w_short"])))).alias("volatility"),
         per_combo(lambda p: _rolling(F.col("__gain"), ordered, p["w_rsi"], "avg")).alias("__avg_gain"),
         per_combo(lambda p: _rolling(F.col("__loss"), ordered, p["w_rsi"], "avg")).alias("__avg_loss"),
-    )
+    ).where(F.col("__window") == own).drop("__window")
     g, l_ = F.col("__avg_gain"), F.col("__avg_loss")
     out = out.withColumn(
         "rsi",
@@ -222,7 +252,7 @@ def forecast(indicators: DataFrame, keys: list[str] | None = None, horizon: int
     return out.select(
         *keys,
         F.col("step").cast("int").alias("step"),
-        F.to_date(F.timestamp_micros(future_us)).alias("date"),
+        F.timestamp_micros(future_us).cast(indicators.schema["date"].dataType).alias("date"),
         _maybe_round(F.col("intercept") + F.col("slope") * (F.col("n") + F.col("step") - 1), digits)
         .alias("predicted_price"),
     )

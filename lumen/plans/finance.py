@@ -63,7 +63,7 @@ def resolve_price_column(df: DataFrame, date_col: str, requested: str | None = N
 
 
 def run_financial_analysis(df: DataFrame, date_column: str | None = None, price_column: str | None = None,
-                           keys: list[str] | None = None, grain: str = "day", horizon: int = 5) -> FinanceRun:
+                           keys: list[str] | None = None, grain: str = "instant", horizon: int = 5) -> FinanceRun:
     keys = list(keys or [])
     notes: list[str] = []
     date_col = resolve_date_column(df, date_column)

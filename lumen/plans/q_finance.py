@@ -12,7 +12,7 @@ from lumen.sources.tables import table
 
 
 def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.build_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+    return S.build_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", grain="day")
 
 
 def orders_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def q_finance_indicators(spark, sf_dir):
 
 
 def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.build_series(table(spark, sf_dir, "events"), "ts", "value", keys=["event_type"])
+    return S.build_series(table(spark, sf_dir, "events"), "ts", "value", keys=["event_type"], grain="day")
 
 
 _DAILY_EVENTS = """
@@ -128,6 +128,23 @@ def q_events_indicators(spark, sf_dir):
                              keys=("event_type",))
 
 
+_INSTANT_EVENTS = """
+daily AS (
+  SELECT event_type, ts AS date, avg(value) AS price
+  FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2
+)"""
+
+
+@register("events_instant_indicators",
+          sql="WITH RECURSIVE " + _INSTANT_EVENTS + "," + _ind_sql(("event_type",), fast=12)
+          + _ROUND_SQL.format(k="event_type, "))
+def q_events_instant_indicators(spark, sf_dir):
+    """F3, F5-F11 on the instants of the raw events, per event type."""
+    series = S.build_series(table(spark, sf_dir, "events"), "ts", "value", keys=["event_type"])
+    out = _round_indicators(S.add_indicators(series, keys=["event_type"]), keys=("event_type",))
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
 def _round_metrics(df: DataFrame, keys=()) -> DataFrame:
     return df.select(
         *keys, "row_count_used", fround("latest_price", 2).alias("latest_price"),

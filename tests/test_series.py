@@ -54,7 +54,7 @@ def test_not_a_series_is_rejected(spark):
 def test_indicators_match_pandas(spark, n_keys):
     o = spark.read.parquet(f"{SF001}/orders.parquet")
     keys = ["o_orderstatus"] if n_keys else []
-    ser = S.build_series(o, "o_orderdate", "o_totalprice", keys=keys)
+    ser = S.build_series(o, "o_orderdate", "o_totalprice", keys=keys, grain="day")
     got = S.add_indicators(ser, keys).toPandas()
     pdf = o.toPandas()
     pdf["date"] = pdf["o_orderdate"].dt.normalize().dt.date
@@ -79,7 +79,7 @@ def test_short_series_use_adaptive_windows(spark):
         for i in range(n):
             rows.append((key, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(100 + (i * 7) % 11 + i)))
     df = spark.createDataFrame(rows, "k string, d date, p double")
-    got = S.add_indicators(S.build_series(df, "d", "p", keys=["k"]), ["k"]).toPandas()
+    got = S.add_indicators(S.build_series(df, "d", "p", keys=["k"], grain="day"), ["k"]).toPandas()
     for key, part in pd.DataFrame(rows, columns=["k", "d", "p"]).groupby("k"):
         exp = _pandas_indicators(part.sort_values("d")["p"].reset_index(drop=True))
         g = got[got["k"] == key].sort_values("date").reset_index(drop=True)
@@ -107,3 +107,17 @@ def test_trend_label_rules(spark):
                                      "latest_macd_signal double")
     got = [r[0] for r in df.select(S.trend_label()).collect()]
     assert got == ["overheated", "oversold", "bullish", "bearish", "sideways", "sideways"]
+
+
+def test_instants_stay_apart_and_blocks_join(spark, monkeypatch):
+    """48 hourly points stay 48; windows that cross blocks and stretches of time match pandas."""
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(100 + (i * 7) % 11)) for i in range(48)]
+    df = spark.createDataFrame(rows, "t timestamp, p double")
+    assert S.build_series(df, "t", "p").count() == 48
+    monkeypatch.setattr(S, "WINDOW_ROWS", 64)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i), float(100 + (i * 37) % 23 + i % 5)) for i in range(500)]
+    got = S.add_indicators(S.build_series(spark.createDataFrame(rows, "t timestamp, p double"), "t", "p")).toPandas().sort_values("idx")
+    assert got["idx"].tolist() == list(range(500))
+    exp = _pandas_indicators(pd.Series([p for _, p in rows]))
+    for c in [c for c in S.INDICATOR_COLUMNS if c in exp]:
+        np.testing.assert_allclose(got[c].to_numpy(dtype=float), exp[c].to_numpy(dtype=float), rtol=1e-8, atol=1e-9)
