@@ -69,7 +69,11 @@ def ranked_histogram(hist: DataFrame, keys: list[str], value_col: str, count_col
 def bucket_count(hist: DataFrame) -> int:
     """Range buckets per group such that none holds many more than ``BUCKET_VALUES`` values,
     even if one group has them all."""
-    return max(1, math.ceil(hist.count() / BUCKET_VALUES))
+    return buckets_for(hist.count())
+
+
+def buckets_for(values: int) -> int:
+    return max(1, math.ceil(values / BUCKET_VALUES))
 
 
 def exact_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,

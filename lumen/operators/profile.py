@@ -1,6 +1,7 @@
 """Dataset profile.
 
-The raw table is read by two passes, whatever the column count:
+Missing counts need one plain aggregate (:func:`missing_counts`).  The full profile reads
+the raw table for
 
 * the value histogram — the table unpivoted to ``(position, value)`` and grouped to
   ``(position, value, cnt)``: one shuffle, map-side combined, so a value holding a third
@@ -10,18 +11,19 @@ The raw table is read by two passes, whatever the column count:
   written once to the checkpoint folder;
 * the duplicate-row count (a group-by over whole rows).
 
-The row count is a column-free count.  Everything returned is one row per column (or
-per column and statistic).
+Results are one row per column (or per column and statistic).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.casts import is_numeric_type, logical_type, type_family  # noqa: F401
-from lumen.functions.quantiles import exact_quantiles, sorted_gaps_from_hist
+from lumen.functions.quantiles import buckets_for, exact_quantiles, sorted_gaps_from_hist
 from lumen.functions.rows import with_row
 from lumen.session import checkpoint_dir
 
@@ -147,78 +149,62 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
     """
     spark = df.sparkSession
     cols = schema_rows(df)
-    numeric = set(_numeric_positions(df))
+    numeric = sorted(_numeric_positions(df))
     hist = hist if hist is not None else value_histogram(df, materialize=True)
-    meta = spark.createDataFrame(
-        [(pos, name, logical_type(dt), type_family(dt), pos in numeric) for pos, name, dt in cols],
-        "position int, column string, logical_type string, type_family string, is_numeric boolean")
-    rows = df.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
-
-    dist = hist.groupBy("position").agg(
-        F.sum("cnt").cast("bigint").alias("non_null"),
-        F.count(F.lit(1)).cast("bigint").alias("distinct"),
-        F.max("cnt").cast("bigint").alias("top_count"),
-        # most frequent value; ties go to the smallest text
+    row_count = df.count()
+    # one row per column each: small results, put together here
+    weight = F.col("num") * F.col("cnt")
+    stats = {r["position"]: r for r in hist.groupBy("position").agg(
+        F.sum("cnt").alias("non_null"), F.count(F.lit(1)).alias("distinct"), F.max("cnt").alias("top_count"),
+        # most frequent value; ties go to the smallest text (of long texts: the smallest digest)
         F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("top_value"),
-    )
-    dist = _resolve_digests(df, dist)
-    num_hist = hist.where(F.col("position").isin(sorted(numeric)))
-    first = num_hist.groupBy("position").agg(
-        (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-        F.min("num").alias("min"), F.max("num").alias("max"), F.sum("cnt").alias("__n"))
-    second = num_hist.join(first.select("position", F.col("mean").alias("__m")), on="position").groupBy("position") \
-        .agg(F.sum(F.col("cnt") * (F.col("num") - F.col("__m")) * (F.col("num") - F.col("__m"))).alias("__ss"))
-    moments = first.join(second, on="position").select(
-        "position", "mean", F.when(F.col("__n") > 1, F.sqrt(F.col("__ss") / (F.col("__n") - 1))).alias("std"),
-        "min", "max")
-
-    out = with_row(meta, rows).join(dist, on="position", how="left").join(moments, on="position", how="left")
-    out = (out.withColumn("non_null", F.coalesce("non_null", F.lit(0).cast("bigint")))
-           .withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("bigint")))
-           .withColumn("top_count", F.coalesce("top_count", F.lit(0).cast("bigint")))
-           .withColumn("missing", F.col("row_count") - F.col("non_null")))
-    if quantiles and numeric:
-        q = numeric_quantiles(hist, sorted(numeric), [0.25, 0.5, 0.75])
-        qw = q.groupBy("position").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-        qw = qw.select("position", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
-        out = out.join(qw, on="position", how="left")
-    else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("p25", "p50", "p75")])
-    return out.select(
-        "position", "column", "logical_type", "type_family", "is_numeric", "row_count", "non_null",
-        "missing", "distinct", "top_count", "top_value", "mean", "std", "min", "max", "p25", "p50", "p75")
-
-
-def _resolve_digests(df: DataFrame, dist: DataFrame) -> DataFrame:
-    """Turn a top value that is a text digest back into its text.  ``dist`` has one row
-    per column: it is fetched once, digests are looked up with a filtered scan of just
-    those columns, and the table is rebuilt from the (column-count sized) rows."""
-    text_cols = [pos for pos, _, dt in schema_rows(df)
-                 if not isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType,
-                                        T.TimestampNTZType))]
-    if not text_cols:
-        return dist
-    rows = dist.collect()   # one row per column
-    marked = [(r["position"], r["top_value"]) for r in rows
-              if r["top_value"] is not None and r["top_value"].startswith(DIGEST_MARK)]
-    dist = df.sparkSession.createDataFrame(rows, dist.schema)
+        (F.sum(weight) / F.sum(F.when(F.col("num").isNotNull(), F.col("cnt")))).alias("mean"),
+        F.min("num").alias("min"), F.max("num").alias("max")).collect()}
+    top = _texts_of_digests(df, {p: r["top_value"] for p, r in stats.items()})
+    means = [(p, stats[p]["mean"]) for p in numeric if p in stats]
+    std, quartiles = {}, {}
+    if means:
+        mean = F.create_map(*[F.lit(x) for pair in means for x in pair])[F.col("position")]
+        away = F.col("num") - mean
+        squares = hist.where(F.col("position").isin([p for p, _ in means])).groupBy("position").agg(
+            F.sum(F.col("cnt") * away * away).alias("ss")).collect()
+        std = {r["position"]: math.sqrt(r["ss"] / (stats[r["position"]]["non_null"] - 1)) for r in squares
+               if stats[r["position"]]["non_null"] > 1}
+    if means and quantiles:
+        values = sum(stats[p]["distinct"] for p, _ in means)
+        found = numeric_quantiles(hist, [p for p, _ in means], [0.25, 0.5, 0.75], buckets_for(values)).collect()
+        quartiles = {(r["position"], r["prob"]): r["value"] for r in found}
+    rows = []
+    for pos, name, dt in cols:
+        r = stats.get(pos)
+        is_num = r is not None and pos in numeric
+        rows.append((pos, name, logical_type(dt), type_family(dt), pos in numeric, row_count, r["non_null"] if r else 0,
+                     row_count - (r["non_null"] if r else 0), r["distinct"] if r else 0, r["top_count"] if r else 0, top.get(pos),
+                     r["mean"] if is_num else None, std.get(pos) if is_num else None, r["min"] if is_num else None,
+                     r["max"] if is_num else None, *[quartiles.get((pos, q)) for q in (0.25, 0.5, 0.75)]))
+    return spark.createDataFrame(
+        rows, "position int, column string, logical_type string, type_family string, is_numeric boolean, row_count bigint, "
+              "non_null bigint, missing bigint, distinct bigint, top_count bigint, top_value string, mean double, std double, "
+              "min double, max double, p25 double, p50 double, p75 double")
+
+
+def _texts_of_digests(df: DataFrame, top: dict[int, str | None]) -> dict[int, str | None]:
+    """Top values with digests turned back into their texts, by one filtered scan of the
+    columns that have any."""
+    marked = {p: v for p, v in top.items() if v is not None and v.startswith(DIGEST_MARK)}
     if not marked:
-        return dist
+        return top
     names = {pos: name for pos, name, _ in schema_rows(df)}
-    found = None
-    for pos, key in marked:
-        t = _as_text(df, names[pos])
-        hit = df.select(F.lit(pos).alias("position"), t.alias("__text")).where(
-            F.sha2(t, 256) == key[len(DIGEST_MARK):]).limit(1)
-        found = hit if found is None else found.unionByName(hit)
-    return dist.join(found, on="position", how="left").withColumn(
-        "top_value", F.coalesce(F.col("__text"), F.col("top_value"))).drop("__text")
+    texts = [F.max(F.when(F.sha2(_as_text(df, names[p]), 256) == v[len(DIGEST_MARK):], _as_text(df, names[p]))).alias(f"t{p}")
+             for p, v in marked.items()]
+    row = df.agg(*texts).first()
+    return top | {p: row[f"t{p}"] for p in marked}
 
 
-def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float]) -> DataFrame:
+def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float], buckets: int | None = None) -> DataFrame:
     """Exact quantiles of numeric columns from the value histogram: (position, prob, value)."""
     h = hist.where(F.col("position").isin(positions)).select("position", F.col("num").alias("v"), "cnt")
-    return exact_quantiles(h, ["position"], "v", "cnt", probs)
+    return exact_quantiles(h, ["position"], "v", "cnt", probs, buckets)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -43,8 +43,6 @@ def analyze_dataset(df: DataFrame, name: str = "dataset", materialize: bool = Tr
     """Profile + quality report, over the whole table."""
     hist = P.value_histogram(df, materialize=materialize)
     prof = P.column_profile(df, hist)
-    if materialize:
-        prof = prof.checkpoint(eager=True)  # one row per column; read by every rule below
     outl = P.iqr_outliers(df, hist, prof)
     flags = Q.column_flags(prof, outl)
     summ = Q.quality_summary(flags, P.duplicate_rows(df), prof)
