@@ -114,11 +114,6 @@ def lenient_number(c: Column) -> Column:
     return c.cast("string").try_cast("double")
 
 
-def null_tokens_to_null(c: Column, tokens=NA_TOKENS) -> Column:
-    """Pandas NA tokens in text → null."""
-    return F.when(~c.isin(*tokens), c)
-
-
 def fround(c: Column | str, digits: int) -> Column:
     """Round half up on the binary value: ``floor(x * 10^d + 0.5) / 10^d``.
 

@@ -1 +1 @@
-from lumen.sources.tables import table, register_views, TABLES  # noqa: F401
+from lumen.sources.tables import TABLES, table  # noqa: F401
