@@ -255,12 +255,21 @@ def q_insert_if_absent(spark, sf_dir):
     return fresh.select(G.stable_id("user", F.col("user_id").cast("string")).alias("id"), "user_id")
 
 
-@register("run_manifest")
+@register("run_manifest", sql=r"""
+WITH f AS (SELECT regexp_extract(filename, '([^/]+)$', 1) AS name, sha256(content) AS hash, size
+           FROM read_blob('/root/testdata/sf0.01/*.parquet'))
+SELECT 'run_lineitem_price' AS run_id, 'model' AS run_type,
+       sha256(string_agg(name || chr(0) || hash, chr(0) ORDER BY name)) AS combined_input_hash,
+       '{"split":"l_orderkey % 4 = 0","target":"l_extendedprice"}' AS parameters_json,
+       count(*)::INT AS n_files, sum(size)::BIGINT AS input_bytes, 3::INT AS n_models FROM f""")
 def q_run_manifest(spark, sf_dir):
-    """Run manifest over the input table files and a model run's results (rows-only:
-    it carries the wall-clock finish time)."""
+    """Run manifest over the input table files and a model run's results (without its
+    clock columns)."""
     from lumen.plans.q_model import q_best_model
     from lumen.sources import files as S
     hashes = S.file_hashes(spark, f"{sf_dir.rstrip('/')}/*.parquet")
-    return G.run_manifest("run_lineitem_price", "model", hashes, S.batch_hash(hashes),
+    m = G.run_manifest("run_lineitem_price", "model", hashes, S.batch_hash(hashes),
                           {"target": "l_extendedprice", "split": "l_orderkey % 4 = 0"}, q_best_model(spark, sf_dir))
+    return m.select("run_id", "run_type", "combined_input_hash", "parameters_json", F.size("input_files").alias("n_files"),
+                    F.aggregate("input_files", F.lit(0).cast("bigint"), lambda a, f: a + f["size_bytes"]).alias("input_bytes"),
+                    F.size("models").alias("n_models"))
