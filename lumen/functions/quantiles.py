@@ -109,6 +109,12 @@ def _pick_ranks(ranked: DataFrame, keys: list[str], value_col: str, count_col: s
 
 def _bucketed_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
                         probs: list[float], buckets: int) -> DataFrame:
+    if buckets == 1:   # the only bucket's offset is 0 and its total is the group's: nothing to join
+        of_key = Window.partitionBy(*keys)
+        before = of_key.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = hist.select(*keys, value_col, count_col, F.sum(count_col).over(of_key).alias("__n"),
+                             F.coalesce(F.sum(count_col).over(before), F.lit(0)).alias("__start"))
+        return _pick_ranks(ranked, keys, value_col, count_col, probs)
     ranked, offsets = ranked_histogram(hist, keys, value_col, count_col, buckets)
     ranked = ranked.join(offsets.select(*keys, "__bucket", "__n"), on=[*keys, "__bucket"])
     return _pick_ranks(ranked, keys, value_col, count_col, probs)

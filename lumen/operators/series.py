@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.casts import to_number, to_timestamp_any
+from lumen.functions.rows import with_row
 from lumen.operators.scan import ema
 from lumen.session import checkpoint_dir
 
@@ -269,17 +270,12 @@ def forecast_reliability(metrics: DataFrame, forecasts: DataFrame, keys: list[st
     Both inputs hold one row (metrics) or ``horizon`` rows (forecasts) per key.
     """
     keys = list(keys or [])
-    on = keys or ["__series"]
-    if not keys:
-        metrics = metrics.withColumn("__series", F.lit(1))
-        forecasts = forecasts.withColumn("__series", F.lit(1))
-    latest = metrics.select(*on, _maybe_round(F.col("latest_price"), digits).alias("latest"), "row_count_used")
-    dev = (
-        forecasts.join(latest.select(*on, "latest"), on=on, how="inner")
-        .groupBy(*on)
-        .agg(F.max(F.abs(F.col("predicted_price") - F.col("latest")) / F.abs(F.col("latest"))).alias("max_dev"))
-    )
-    full = latest.join(dev, on=on, how="left")
+    latest = metrics.select(*keys, _maybe_round(F.col("latest_price"), digits).alias("latest"), "row_count_used")
+    last = latest.select(*keys, "latest")
+    beside = forecasts.join(last, on=keys) if keys else with_row(forecasts, last)
+    dev = beside.groupBy(*keys).agg(
+        F.max(F.abs(F.col("predicted_price") - F.col("latest")) / F.abs(F.col("latest"))).alias("max_dev"))
+    full = latest.join(dev, on=keys, how="left") if keys else with_row(latest, dev)
     bad = F.col("latest").isNull() | (F.col("latest") == 0) | F.col("max_dev").isNull()
     level = (F.when(bad, F.lit("low"))
              .when(F.col("max_dev") > 0.2, F.lit("low"))

@@ -12,6 +12,7 @@ from lumen.plans.dataset import analyze_dataset, brief_row
 from lumen.plans.q_model import q_best_model
 from lumen.plans.q_profile import SCHEMAS, flags_sql, profile_sql
 from lumen.plans.registry import register
+from lumen.session import checkpoint_dir
 from lumen.sources.tables import table
 
 BRIEF_TABLES = ("orders", "customer", "events", "part")
@@ -128,9 +129,9 @@ def q_model_findings(spark, sf_dir):
     a = analyze_dataset(table(spark, sf_dir, "lineitem"), "lineitem")
     run = a.summary.select(F.lit("lineitem_price").alias("run_id"), F.lit("regression").alias("problem_type"),
                            "quality_score", "issue_count", F.lit(False).alias("has_finance_label")) \
-        .join(a.issues.agg(F.count(F.lit(1)).alias("issue_rows")).withColumn("run_id", F.lit("lineitem_price")),
-              on="run_id")
-    f = N.model_findings(ranked, run)
+        .transform(lambda s: with_row(s, a.issues.agg(F.count(F.lit(1)).alias("issue_rows"))))
+    checkpoint_dir(spark)
+    f = N.model_findings(ranked.checkpoint(), run.checkpoint())   # a row per model, a row per run
     return f.select("run_id", "best_model", fround("rmse_lift_pct", 6).alias("rmse_lift_pct"), "model_confidence",
                     "next_action", "result_interpretation")
 
