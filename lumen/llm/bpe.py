@@ -14,7 +14,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumen.llm.intmap import IntMap
-from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, starts_of, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, held, slices, starts_of, sums_by_group
 
 END = "</w>"
 NEVER = np.int64(1) << 40
@@ -358,18 +357,14 @@ class _Chunks(WordTable):
         self.bpe.ids = np.zeros(0, dtype=np.uint32)
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordBpe:
-    """One per worker process and file."""
-    return WordBpe(path)
+def tokenizer(path: str) -> tuple[WordBpe, _Chunks]:
+    """The tokenizer of a file and its table of chunks, one per worker process."""
+    def make():
+        bpe = WordBpe(path)
+        return bpe, bpe.table()
+    return held(("bpe", path), make)
 
 
-@lru_cache(maxsize=2)
-def _table(path: str) -> _Chunks:
-    return tokenizer(path).table()
-
-
-@lru_cache(maxsize=2)
 def token_strings(path: str) -> list[str]:
     """The file's token strings by id, special tokens included."""
     with open(path, encoding="utf-8") as f:
@@ -383,7 +378,7 @@ def token_strings(path: str) -> list[str]:
 
 def _encoded(batch: pa.RecordBatch, path: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Ids of the rows a..b of a batch, some rows at a time."""
-    bpe, table = tokenizer(path), _table(path)
+    bpe, table = tokenizer(path)
     texts = byte_texts(batch, "text")
     for a, b in slices(texts):
         rows, counts = table.number(texts[a:b])
@@ -424,7 +419,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     """(id, text) for every row of ids: the tokens' own strings with spaces between, as a file
     without a decoder gives them, special tokens included.  Null or no ids: empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = token_strings(vocab_path)
+        strings = held(("token strings", vocab_path), lambda: token_strings(vocab_path))
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             for a, b in slices(ids):
@@ -439,7 +434,7 @@ def encode_and_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     """(id, ids binary, text): :func:`encode`, and the ids read back by :func:`decode`, with
     one worker per task for both."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = token_strings(vocab_path)
+        strings = tokenizer(vocab_path)[0].token_text
         for batch in batches:
             for a, b, ids in _encoded(batch, vocab_path):
                 yield pa.RecordBatch.from_arrays(

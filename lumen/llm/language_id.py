@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, bounded_batches, byte_texts, slices, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, held, slices, sums_by_group
 
 SAMPLE_PER_LANG = 1500
 MAX_WORDS = 60_000
@@ -196,14 +196,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return own.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-_SCORERS: list = []
-
-
 def _scorer(model: LanguageModel) -> _Scorer:
-    """One per worker process and model."""
-    if not _SCORERS or _SCORERS[0] is not model:
-        _SCORERS[:] = [model, _Scorer(model)]
-    return _SCORERS[1]
+    """One per worker process and model (a broadcast value is one object in a worker)."""
+    return held(("language", id(model)), lambda: _Scorer(model))
 
 
 def held_out(doc_id: Column) -> Column:

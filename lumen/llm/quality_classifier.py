@@ -16,14 +16,13 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, starts_of
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, held, slices, starts_of
 
 MAX_LABELLED = 8000
 MAX_UNLABELLED = 8000
@@ -313,10 +312,9 @@ def _verdict(docs: DataFrame, model: CoTrained, threshold: float):
     return F.arrow_udf(run, VERDICT)
 
 
-@lru_cache(maxsize=1)
 def _table() -> WordTable:
     """One per worker process: words' buckets don't depend on the model."""
-    return WordTable(_buckets)
+    return held("buckets", lambda: WordTable(_buckets))
 
 
 def classify(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text",

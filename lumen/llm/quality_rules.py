@@ -12,14 +12,13 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, slices, sums_by_group
+from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, held, slices, sums_by_group
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -67,9 +66,8 @@ BANDS: dict[str, Band] = {
 }
 
 
-@lru_cache(maxsize=2)
 def _meter(piece_path: str, rank_path: str, pattern: str) -> "_Meter":
-    return _Meter(piece_path, rank_path, pattern)
+    return held(("meter", piece_path, rank_path, pattern), lambda: _Meter(piece_path, rank_path, pattern))
 
 
 class _Meter:

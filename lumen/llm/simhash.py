@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumen.llm.components import connected_components
 from lumen.llm.store import materialize
-from lumen.llm.texts import bounded_batches, byte_texts, slices, starts_of
+from lumen.llm.texts import bounded_batches, byte_texts, held, slices, starts_of
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -39,6 +39,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from xxhash import xxh64_intdigest as digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for batch in batches:
             texts = byte_texts(batch, "text")
             out = np.zeros(len(texts), dtype=np.uint64)
@@ -119,8 +120,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def _forests(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
-        held_at = None
+        open_run = np.zeros(0, np.uint64)
+        open_at = None
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             key = batch.column("key").to_numpy(zero_copy_only=False)
@@ -131,24 +132,24 @@ def _forests(max_bits: int):
             runs = np.concatenate([[0], cut, [len(fps)]])
             src, dst = [], []
             first = (int(key[0]), int(part[0]))
-            if held_at is not None and held_at != first:
-                _forest(held, max_bits, src, dst)
-                held = np.zeros(0, np.uint64)
+            if open_at is not None and open_at != first:
+                _forest(open_run, max_bits, src, dst)
+                open_run = np.zeros(0, np.uint64)
             sizes = np.diff(runs)
             for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0)).tolist():
                 if k == len(sizes) - 1:
                     continue
                 group = fps[runs[k]:runs[k + 1]]
-                if k == 0 and len(held):
-                    group = np.concatenate([held, group])
+                if k == 0 and len(open_run):
+                    group = np.concatenate([open_run, group])
                 _forest(group, max_bits, src, dst)
             last = fps[runs[-2]:]
-            held = np.concatenate([held, last]) if len(sizes) == 1 else last
-            held_at = (int(key[-1]), int(part[-1]))
+            open_run = np.concatenate([open_run, last]) if len(sizes) == 1 else last
+            open_at = (int(key[-1]), int(part[-1]))
             if src:
                 yield _edges(src, dst)
         src, dst = [], []
-        _forest(held, max_bits, src, dst)
+        _forest(open_run, max_bits, src, dst)
         if src:
             yield _edges(src, dst)
     return run

@@ -49,6 +49,19 @@ def slices(texts: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple
         yield start, len(texts)
 
 
+_HELD: dict = {}
+
+
+def held(owner, make: Callable | None = None):
+    """What a worker process keeps between tasks for one operator (``owner`` with its
+    parameters): made once, and dropped as soon as another operator's task comes, so that
+    a worker that serves many stages holds one operator's tables at a time."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make() if make else None
+    return _HELD[owner]
+
+
 class _Seen(dict):
     """Gives every new key the next number and remembers the new keys in order."""
 
