@@ -2,7 +2,8 @@
 
 Two views of a document are classified apart: its *text content* (words and their shapes)
 and its *page metadata* (language, source, length).  Over a few rounds each view labels the
-unlabelled documents that it is most confident of for the other view to learn from.  Both
+unlabelled documents that it is most confident of, by their rank within its own pool, for
+the other view to learn from.  Both
 views are then calibrated on labelled documents held back, and their log odds combined to
 score every document.
 
@@ -85,12 +86,15 @@ class View:
         return rows.dot(self.weights) + self.bias
 
     def fit(self, rows: "Rows", y: np.ndarray, rounds: int = 80, decay: float = 1e-4) -> None:
-        """Full-batch AdaGrad on the log loss, classes weighted equally."""
+        """Full-batch AdaGrad on the log loss, classes weighted equally.
+
+        ``y`` may lie between 0 and 1: such a row counts in both classes, by its share.
+        """
         w, b = np.zeros(self.size), 0.0
         seen_w, seen_b = np.full(self.size, 1e-8), 1e-8
-        share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+        good, bad = y * (0.5 / max(y.sum(), 1)), (1 - y) * (0.5 / max((1 - y).sum(), 1))
         for _ in range(rounds):
-            error = (_sigmoid(rows.dot(w) + b) - y) * share
+            error = _sigmoid(rows.dot(w) + b) * (good + bad) - good
             g, gb = rows.back(error, self.size) + decay * w, error.sum()
             seen_w += g * g
             seen_b += gb * gb
@@ -154,11 +158,15 @@ def _logit(p: float) -> float:
 
 @dataclass
 class CoTrained:
-    """Both views and the log odds of a good document among the labelled ones."""
+    """Both views and the log odds of a good document among the labelled ones.
+
+    ``passed`` tells for each round how many pseudo-labels the views gave to each other.
+    """
 
     text: View
     meta: View
     prior: float
+    passed: list[dict[str, int]] = field(default_factory=list)
 
     def combine(self, text_odds: np.ndarray, meta_odds: np.ndarray) -> np.ndarray:
         """Probability under views that are independent given the class."""
@@ -170,8 +178,11 @@ def co_train(text: Rows, meta: Rows, quality: np.ndarray, held: np.ndarray, roun
     """``quality``: 1, 0 or NaN (unlabelled); ``held``: labelled rows kept for calibration.
 
     In each round each view is fitted to the labels and to what the other view has labelled
-    so far, calibrated, and passes on at most ``exchanged`` of the unlabelled rows per
-    class: those of greatest confidence, of at least ``confident``.  With one class only
+    so far, calibrated, and passes on, per class, those of the unlabelled rows it hasn't
+    passed yet that it is most confident of: rows that its evidence draws from the prior
+    towards the class, ranked over the share ``confident`` of as many rows as the class has in
+    the pool by the prior (0.97: the top 3 %), at most the share ``exchanged``.  A view that knows little has few probabilities near 0 or
+    1, so a label is passed as the probability that the view gives it.  With one class only
     (or no labels) both views say nothing and the prior decides.
     """
     known = ~np.isnan(quality)
@@ -185,6 +196,7 @@ def co_train(text: Rows, meta: Rows, quality: np.ndarray, held: np.ndarray, roun
         return CoTrained(*views, prior)
     data = (text, meta)
     given: list[dict[int, float]] = [{}, {}]  # pseudo-labels that each view has got
+    passed: list[dict[str, int]] = []
     for r in range(rounds + 1):
         for v, rows, extra in zip(views, data, given):
             at = np.concatenate([train, np.array(list(extra), dtype=np.int64)])
@@ -193,14 +205,18 @@ def co_train(text: Rows, meta: Rows, quality: np.ndarray, held: np.ndarray, roun
             v.calibrate(rows.take(back), quality[back])
         if r == rounds or not len(pool):
             break
-        most = max(1, int(exchanged * len(pool)))
-        for v, rows, other in zip(views, data, (1, 0)):
-            p = _sigmoid(v.log_odds(rows.take(pool)))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[:most]
-                for i in pool[best[sure[best] >= confident]].tolist():
-                    given[other].setdefault(i, label)
-    return CoTrained(*views, prior)
+        share = float(_sigmoid(prior))
+        passed.append({})
+        for name, v, rows, to in zip(("text", "meta"), views, data, reversed(given)):
+            odds = v.log_odds(rows.take(pool))
+            fresh = ~np.isin(pool, list(to))
+            for kind, lift, part in (("good", odds - prior, share), ("bad", prior - odds, 1 - share)):
+                most = max(1, round(min(exchanged, 1 - confident) * part * len(pool)))
+                best = np.argsort(-np.where(fresh, lift, -np.inf), kind="stable")[:most]
+                best = best[fresh[best] & (lift[best] > 0)]
+                to.update(zip(pool[best].tolist(), _sigmoid(odds[best]).tolist()))
+                passed[r][f"{name}_{kind}"] = len(best)
+    return CoTrained(*views, prior, passed)
 
 
 # -- in Spark --------------------------------------------------------------------------

@@ -3,6 +3,8 @@ import random
 import numpy as np
 
 from lumen.llm import quality_classifier as qc
+from lumen.sources.tables import table
+from tests.conftest import SF01
 from tests.llm.conftest import words
 
 
@@ -55,6 +57,14 @@ def test_views_teach_each_other():
     assert right(taught) >= right(alone) and right(taught) > 0.95
 
 
+def test_both_views_pass_labels_on_the_given_tables(spark):
+    docs, labels = (table(spark, SF01, name) for name in ("documents", "labels"))
+    passed = qc.train(docs, labels).passed
+    assert len(passed) == qc.ROUNDS
+    for of_round in passed:
+        assert of_round["text_good"] + of_round["text_bad"] > 0 and of_round["meta_good"] + of_round["meta_bad"] > 0
+
+
 def test_one_class_or_no_labels_keep_by_the_prior(spark, edge, empty):
     labels = spark.createDataFrame([(9, 1), (10, 1)], "doc_id bigint, quality int")
     got = qc.classify(edge, qc.train(edge, labels)).collect()
