@@ -19,6 +19,14 @@ EQUIVALENT = [
     ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("http ", "https "),
 ]
 COPYRIGHT = r"^(portions )?copyright (c |[0-9]{4})|^c [0-9]{4}|^all rights reserved$"
+# Further copyright lines: sign or (c) beside the word, and up to eight words of a holder or placeholder.
+# Lines of a licence's body may begin with "copyright" too; BODY has the words that follow it there.
+BODY = ("also|and|are|as|disclaimers?|doctrines?|for|from|holders?|if|in|infringement|interests?|is|laws?|license[ds]?|like|line|may|"
+        "must|notices?|of|on|or|owners?|ownership|patents?|permissions?|protect[a-z]*|related|rights?|shall|statements?|that|this|those|"
+        "to|treaty|treaties|under|was|were|will|with")
+HOLDER = (r"^(portions )?(copyright )+(c |[0-9]{4})|^(portions )?c (copyright )+(c )?[0-9]{4}"
+          rf"|^(portions )?(c )?copyright (?!(the|{BODY})( |$))[^ ]+( [^ ]+){{0,7}}$"
+          r"|^(portions )?(c )?copyright (by )?the ([^ ]+ ){1,6}(authors?|contributors?|developers?|foundation|project|team)( [0-9]{4})?( all rights reserved)?$")
 MAX_NOTICES = 10_000
 
 
@@ -28,7 +36,7 @@ def canonical_line(line: Column) -> Column:
     out = F.trim(out)
     for other, one in EQUIVALENT:
         out = F.replace(out, F.lit(other), F.lit(one))
-    return F.when(out.rlike(COPYRIGHT), F.lit("")).otherwise(out)
+    return F.when(out.rlike(f"{COPYRIGHT}|{HOLDER}"), F.lit("")).otherwise(out)
 
 
 def canonical_lines(text: Column) -> Column:

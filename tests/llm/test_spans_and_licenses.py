@@ -58,6 +58,24 @@ def test_whole_licences_in_other_spellings(spark):
     assert got == [(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, ""), (5, "BSD-2-Clause"), (6, ""), (7, ""), (8, ""), (9, "ISC"), (9, "Zlib")]
 
 
+def test_copyright_lines_in_every_form(spark):
+    lines = ["Copyright © 2020 Jane Doe", "© Jane Doe", "(c) Copyright 2020 Jane Doe", "Copyright The X Authors", "Copyright Jane Doe 2020",
+             "Copyright [yyyy] [name of copyright owner]", "Copyright <YEAR> <COPYRIGHT HOLDER>", "# Copyright Jane Doe. All rights reserved."]
+    known = sorted(license_scan.LICENSES)
+    docs = spark.createDataFrame([(f"{i}/{name}", f"{line}\n\n{license_scan.LICENSES[name]}") for i, line in enumerate(lines) for name in known],
+                                 "doc_id string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs).collect()}
+    assert got == {f"{i}/{name}": name for i in range(len(lines)) for name in known}
+
+
+def test_body_lines_about_copyright_stay(spark):
+    words = license_scan.LICENSES["MIT"].split(), license_scan.LICENSES["BSD-3-Clause"].split()
+    docs = spark.createDataFrame([(" ".join(w[:n]), " ".join(w[:i]) + "\n" + " ".join(w[i:i + n]) + "\n" + " ".join(w[i + n:]))
+                                  for w in words for i, x in enumerate(w) if x.lower() == "copyright" for n in (2, 5, 8)],
+                                 "doc_id string, text string")
+    assert {r["license_id"] for r in license_scan.scan(docs).collect()} == {"MIT", "BSD-3-Clause"}
+
+
 def test_notices_are_whole_lines(spark, edge, empty):
     text = f"Some text.\n{NOTICES['MIT'].upper()}\nMore. {NOTICES['GPL-3.0']}\n{NOTICES['MIT']}\nlicensed under cc  BY NC 4.0!"
     docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id int, text string")
