@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumen.llm.license_texts import LICENSES, NOTICES
+from lumen.llm.license_texts import LICENSES, NOTICES, long_licenses
 
 # Spellings that mean the same in licences, after case and punctuation are gone.  Fixed values.
 EQUIVALENT = [
@@ -51,7 +51,7 @@ def _digest(lines: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the licences that come with the library."""
-    return spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
+    return spark.createDataFrame(sorted(LICENSES.items()) + long_licenses(), "license_id string, text string")
 
 
 def known_digests(known: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Public licence texts and notices to look for.  Fixed values: their wording is given."""
 
+from pathlib import Path
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -122,3 +124,20 @@ NOTICES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
 }
+
+# Files of the folder ``licenses``, read on the driver.
+LONG = {
+    "Apache-2.0": "Apache-2.0.txt", "CC0-1.0": "CC0-1.0.txt", "GPL-2.0": "GPL-2.txt", "GPL-3.0": "GPL-3.txt",
+    "LGPL-2.1": "LGPL-2.1.txt", "LGPL-3.0": "LGPL-3.txt", "MPL-2.0": "MPL-2.0.txt",
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def long_licenses() -> list[tuple[str, str]]:
+    """(id, text) of the long licences; those with an appendix after their terms also without it."""
+    out = []
+    for name, file in LONG.items():
+        text = (Path(__file__).parent / "licenses" / file).read_text("utf-8")
+        terms, mark, _ = text.partition(TERMS_END)
+        out += [(name, text), *([(name, terms + mark), (name, terms)] if mark else [])]
+    return out

@@ -1,7 +1,7 @@
 import re
 
 from lumen.llm import license_scan, sentence_spans
-from lumen.llm.license_texts import LICENSES, NOTICES
+from lumen.llm.license_texts import LICENSES, LONG, NOTICES, long_licenses
 from tests.llm.conftest import prose
 
 
@@ -76,6 +76,15 @@ def test_body_lines_about_copyright_stay(spark):
     assert {r["license_id"] for r in license_scan.scan(docs).collect()} == {"MIT", "BSD-3-Clause"}
 
 
+def test_long_licences_with_and_without_their_appendix(spark):
+    texts = long_licenses()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} == set(LONG) == {name for name, _ in texts}
+    filled = "Copyright © 2020 Jane Doe\n" + texts[0][1].upper().replace("[YYYY] [NAME OF COPYRIGHT OWNER]", "2021 THE X AUTHORS")
+    docs = spark.createDataFrame([*texts, ("Apache-2.0", filled), ("none", texts[0][1] + "\nAnd more.")], "doc_id string, text string")
+    got = sorted((r["doc_id"], r["license_id"] or "none") for r in license_scan.scan(docs).collect())
+    assert got == sorted((name, name) for name, _ in [*texts, ("Apache-2.0", ""), ("none", "")])
+
+
 def test_notices_are_whole_lines(spark, edge, empty):
     text = f"Some text.\n{NOTICES['MIT'].upper()}\nMore. {NOTICES['GPL-3.0']}\n{NOTICES['MIT']}\nlicensed under cc  BY NC 4.0!"
     docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id int, text string")
