@@ -3,14 +3,15 @@ and the DuckDB twin of those that SQL can express."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import (
-    bpe, language_id, license_scan, mixing, quality_classifier, quality_rules, sentence_spans, simhash, suffix_dedup,
-    topk_search,
+    bpe, collocations, language_id, license_scan, mixing, quality_classifier, quality_rules, ranked_search, secret_scan,
+    sentence_spans, simhash, suffix_dedup, topk_search,
 )
 from lumen.sources.tables import table
 
@@ -225,3 +226,112 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 greatest inner products of every 20th embedding with all others."""
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _spans_sql() -> str:
+    """Every rule's matches between two marks that texts don't have, then places by lengths."""
+    found = []
+    for place, rule in enumerate(secret_scan.RULES):
+        head = rule.head
+        if rule.ignore_case:  # ASCII letters only, where (?i) would fold others too
+            head = re.sub(r"\\x..|[a-z]", lambda m: m[0] if len(m[0]) > 1 else f"[{m[0]}{m[0].upper()}]", head)
+        pattern, head = (head + rule.value).replace("'", "''"), head.replace("'", "''")
+        value = f"length(m) - length(regexp_extract(m, '^{head}'))" if head else "length(m)"
+        found.append(rf"""
+  SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, p AS begin, p + length(m) AS finish, {value} AS size, {rule.least} AS least
+  FROM (SELECT doc_id, part, string_split(part, chr(57345))[1] AS m, i,
+               coalesce(sum(length(part) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p
+        FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+              FROM (SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\1' || chr(57345), 'g'), chr(57344)) AS parts FROM docs)))
+  WHERE i > 1""")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({" UNION ALL ".join(found)}),
+spans AS (SELECT *, kind || ':' || begin || ':' || finish AS span FROM matches WHERE size >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign')::BIGINT AS n_assign, count(*) FILTER (kind = 'access')::BIGINT AS n_access,
+       count(*) FILTER (kind = 'hex')::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY begin, place) FILTER (place < {len(secret_scan.BASE_RULES)}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY begin, place), '') AS spans
+FROM docs d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
+
+
+@register("op12_secret_scan", _spans_sql())
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by one combined automaton."""
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@register("op13_ranked_search", rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+size AS (SELECT doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS all_n, sum(n)::BIGINT AS all_l FROM size),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+w AS (
+  SELECT term, floor(1000 * ln((2 * all_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole GROUP BY term, all_n),
+impact AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * all_n) // all_l)) AS impact
+  FROM tf JOIN size USING (doc_id), whole),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS q FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY 1, 2),
+scored AS (
+  SELECT item_id, doc_id, sum(q * w * impact)::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN impact USING (term) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _collocations_sql(least: int = 100, first: int = 2000) -> str:
+    """Phrases of 1 to 5 words of all pieces, counted; cuts by the parts' counts."""
+    return rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {LOWER.format('text')} AS t FROM documents),
+pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(own, '[^\x20\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS own FROM docs)),
+placed AS (SELECT lang, piece, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM pieces),
+runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4, lead(w1, 4) OVER x AS w5
+  FROM placed WINDOW x AS (PARTITION BY piece ORDER BY i)),
+counted AS (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*)::BIGINT AS f FROM runs GROUP BY ALL UNION ALL
+  SELECT lang, 2, w1 || ' ' || w2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least} UNION ALL
+  SELECT lang, 3, concat_ws(' ', w1, w2, w3), count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least} UNION ALL
+  SELECT lang, 4, concat_ws(' ', w1, w2, w3, w4), count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least} UNION ALL
+  SELECT lang, 5, concat_ws(' ', w1, w2, w3, w4, w5), count(*) FROM runs WHERE w5 IS NOT NULL GROUP BY ALL HAVING count(*) >= {least}),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counted WHERE f >= {least}),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, s.k AS cut, l.f AS l, r.f AS r, n,
+         (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM frequent c JOIN range(1, 6) s(k) ON s.k < c.k
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:s.k], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[s.k + 1:], ' ')
+  JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts),
+inner_phrases AS (
+  SELECT DISTINCT lang, array_to_string(w[x.i:x.i + s.k - 1], ' ') AS phrase, f
+  FROM frequent c JOIN range(1, 6) s(k) ON s.k < c.k, LATERAL (SELECT unnest(range(1, c.k - s.k + 2)) AS i) x),
+within AS (SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM lowest c LEFT JOIN within x ON x.lang = c.lang AND x.phrase = c.phrase
+  WHERE place = 1 AND (longer IS NULL OR 100 * longer < 100 * a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {first}
+"""
+
+
+@register("op11_collocations", _collocations_sql())
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
