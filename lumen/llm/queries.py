@@ -60,24 +60,30 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
-@register("op4_sentence_spans", """
+@register("op4_sentence_spans", rf"""
 WITH pieces AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]*|[.!?\n]') AS list FROM documents),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{sentence_spans.STOPS}\n]+[{sentence_spans.STOPS}]*|[{sentence_spans.STOPS}\n]') AS list
+  FROM documents),
 placed AS (SELECT doc_id, unnest(list) AS piece, generate_subscripts(list, 1) AS place FROM pieces),
 sentences AS (
   SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n,
          trim(regexp_replace(lower(piece), '[\x20\x09-\x0D]+', ' ', 'g')) AS words
-  FROM placed WHERE regexp_matches(piece, '[^.!?\x20\x09-\x0D]')),
+  FROM placed WHERE regexp_matches(piece, '[^{sentence_spans.STOPS}\x20\x09-\x0D]')),
+summed AS (
+  SELECT *, sum(len(string_split(words, ' '))) OVER (PARTITION BY doc_id ORDER BY n) AS total,
+         count(*) OVER (PARTITION BY doc_id) AS last
+  FROM sentences),
+ends AS (
+  SELECT s.doc_id, s.n, min(e.n) AS finish
+  FROM summed s JOIN summed e ON e.doc_id = s.doc_id AND e.n >= s.n AND e.n < s.n + 20 + {sentence_spans.MIN_WORDS}
+    AND e.total >= s.total - len(string_split(s.words, ' ')) + {sentence_spans.MIN_WORDS}
+    AND e.n >= s.n + least({sentence_spans.SPAN}, s.last) - 1
+  GROUP BY s.doc_id, s.n),
 runs AS (
-  SELECT doc_id, n, concat(words, chr(10), lead(words, 1) OVER w, chr(10), lead(words, 2) OVER w) AS run,
-         len(string_split(words, ' ')) + len(string_split(lead(words, 1) OVER w, ' '))
-         + len(string_split(lead(words, 2) OVER w, ' ')) AS n_words,
-         lead(words, 2) OVER w AS last
-  FROM sentences WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-ranked AS (
-  SELECT doc_id, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS k
-  FROM runs WHERE last IS NOT NULL AND n_words >= 6),
-gone AS (SELECT DISTINCT doc_id, n + i AS n FROM ranked, (SELECT unnest([0, 1, 2]) AS i) WHERE k > 1),
+  SELECT x.doc_id, x.n, x.finish, string_agg(s.words, chr(10) ORDER BY s.n) AS run
+  FROM ends x JOIN sentences s ON s.doc_id = x.doc_id AND s.n BETWEEN x.n AND x.finish GROUP BY ALL),
+ranked AS (SELECT doc_id, n, finish, row_number() OVER (PARTITION BY run ORDER BY doc_id, n) AS k FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(n, finish + 1)) AS n FROM ranked WHERE k > 1),
 counted AS (
   SELECT s.doc_id, count(*) AS n_sentences, count(g.n) AS n_removed
   FROM sentences s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.n = g.n GROUP BY s.doc_id),
@@ -91,7 +97,7 @@ SELECT d.doc_id, coalesce(c.n_sentences, 0)::BIGINT AS n_sentences, coalesce(c.n
 FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id LEFT JOIN left_over l ON d.doc_id = l.doc_id
 """)
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the sentences of spans of three that occur before."""
+    """All documents without the sentences of runs that occur before."""
     out = sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

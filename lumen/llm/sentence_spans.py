@@ -1,8 +1,10 @@
 """Substring removal by sliding sentence spans.
 
-Every run of ``SPAN`` consecutive sentences of every document is hashed, equal runs are
+From every sentence of every document a run of consecutive sentences is hashed: at least
+``SPAN`` of them, and as many more as it takes to reach ``MIN_WORDS`` words.  Equal runs are
 joined globally, and sentences covered by any run that is not the first of its kind (in
-order of id and place) are removed.
+order of id and place) are removed.  Runs that always hold that many words neither miss
+passages of many short sentences nor match by chance.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from lumen.llm.store import materialize
 from lumen.llm.texts import bounded_batches
 
-SPAN = 3
-MIN_WORDS = 6
+SPAN = 2
+MIN_WORDS = 20
+
+# sentence ends of common scripts (fixed values)
+STOPS = ".!?…。！？؟۔।"
 
 # a sentence with its stops, or a single stop or line end between sentences
-PIECES = re.compile(r"[^.!?\n]+[.!?]*|[.!?\n]")
-HAS_WORD = re.compile(r"[^.!?\x20\x09-\x0D]")
+PIECES = re.compile(f"[^{STOPS}\n]+[{STOPS}]*|[{STOPS}\n]")
+HAS_WORD = re.compile(rf"[^{STOPS}\x20\x09-\x0D]")
 
 
 def _sentences(text: str) -> tuple[list[str], list[int], list[list[str]]]:
@@ -37,12 +43,16 @@ def _words(sentence: str) -> list[str]:
     return [w for w in re.split(r"[\x20\x09-\x0D]+", sentence.lower()) if w]
 
 
-def _runs(words: list[list[str]], span: int, min_words: int) -> list[bytes | None]:
-    """Digest of the run that starts at each sentence (None: too few words)."""
+def _runs(words: list[list[str]], span: int, min_words: int) -> list[tuple[int, bytes]]:
+    """(end, digest) of the run that starts at each sentence, as far as the text holds one; a
+    text of fewer than ``span`` sentences is one run if it has the words."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+    span = min(span, n)
+    ends = np.maximum(np.arange(n) + span, np.searchsorted(total, total[:-1] + min_words))
     normal = [" ".join(w) for w in words]
-    sizes = np.convolve([len(w) for w in words], np.ones(span, dtype=np.int64), "valid").tolist() if len(words) >= span else []
-    return [xxh3_128_digest("\n".join(normal[i:i + span]).encode("utf-8", "surrogatepass")) if n >= min_words else None
-            for i, n in enumerate(sizes)]
+    return [(end, xxh3_128_digest("\n".join(normal[i:end]).encode("utf-8", "surrogatepass")))
+            for i, end in enumerate(ends.tolist()) if end <= n]
 
 
 def _spans(span: int, min_words: int):
@@ -51,7 +61,7 @@ def _spans(span: int, min_words: int):
         for batch in batches:
             rows, digests = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                own = {d for d in _runs(_sentences(text)[2], span, min_words) if d} if text else ()
+                own = {d for _, d in _runs(_sentences(text)[2], span, min_words)} if text else ()
                 rows += [i] * len(own)
                 digests += own
             at = pa.array(rows, pa.int64())
@@ -71,10 +81,10 @@ def _cut(span: int, min_words: int):
                 pieces, places, words = _sentences(text or "")
                 seen = {np.array([m["h1"], m["h2"]], dtype="<i8").tobytes() for m in marks or ()}
                 remove: set[int] = set()
-                for i, d in enumerate(_runs(words, span, min_words)):
+                for i, (end, d) in enumerate(_runs(words, span, min_words)):
                     if d in seen:
-                        remove.update(places[i:i + span])
-                    elif d:
+                        remove.update(places[i:end])
+                    else:
                         seen.add(d)  # its later places in the text are not the first
                 count.append(len(places))
                 gone.append(len(remove))
@@ -89,17 +99,19 @@ def remove_repeated_spans(docs: DataFrame, span: int = SPAN, min_words: int = MI
                           text_col: str = "text") -> DataFrame:
     """(id, n_sentences, n_removed, kept) for every row of ``docs``.
 
-    A sentence is a run of characters other than ``. ! ?`` and line ends, with the stops
+    A sentence is a run of characters other than ``STOPS`` and line ends, with the stops
     after it, that has a character besides stops and ASCII white space; runs compare by
-    lower-cased words.  Runs of under ``min_words`` words don't count.  ``kept`` is the text
-    without the removed sentences.  Null texts are empty; rows equal in id and text count
-    as one document; documents with one id are ordered by their texts' hash; null ids come
-    last.  An empty table gives an empty result; other columns are ignored.
+    lower-cased words.  A run has ``span`` sentences and ``min_words`` words or more, no more
+    sentences than that takes, and doesn't cross the text's end; a text of fewer sentences is
+    one run if it has the words.  ``kept`` is the text without the removed sentences.  Null
+    texts are empty; rows equal in id and text count as one document; documents with one id
+    are ordered by their texts' hash; null ids come last.  An empty table gives an empty
+    result; other columns are ignored.
     """
     own = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                                        F.xxhash64(F.col(text_col)).alias("hash"))
     kind = own.schema["id"].dataType.simpleString()
-    runs = own.mapInArrow(_spans(span, min_words), f"id {kind}, hash bigint, h1 bigint, h2 bigint")
+    runs = materialize(own.mapInArrow(_spans(span, min_words), f"id {kind}, hash bigint, h1 bigint, h2 bigint"), "runs")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
     firsts = (runs.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("end"))
               .where("first <> end").select("h1", "h2", "first"))

@@ -5,30 +5,46 @@ from lumen.llm.license_texts import LICENSES, LONG, NOTICES, long_licenses
 from tests.llm.conftest import prose
 
 
-def kept_by_brute_force(rows, span=3, least=6):
-    split = re.compile(r"[^.!?\n]+[.!?]*|[.!?\n]")
+def kept_by_brute_force(rows, span=sentence_spans.SPAN, least=sentence_spans.MIN_WORDS):
+    stops = ".!?…。！？؟۔।"
+    split = re.compile(f"[^{stops}\n]+[{stops}]*|[{stops}\n]")
     docs = []
     for i, t in rows:
         pieces = split.findall(t or "")
-        at = [k for k, p in enumerate(pieces) if re.search(r"[^.!?\x20\x09-\x0D]", p)]
-        norm = [" ".join(w for w in re.split(r"[\x20\x09-\x0D]+", pieces[k].lower()) if w) for k in at]
-        docs.append((i, t, pieces, at, norm))
+        at = [k for k, p in enumerate(pieces) if p.strip(stops + " \t\n\x0b\x0c\r")]
+        norm = [tuple(w for w in re.split(r"[\x20\x09-\x0D]+", pieces[k].lower()) if w) for k in at]
+        runs = {}
+        for s in range(len(norm)):
+            for e in range(s + min(span, len(norm)), len(norm) + 1):
+                if sum(map(len, norm[s:e])) >= least:
+                    runs[s] = (e, tuple(norm[s:e]))
+                    break
+        docs.append((i, t, pieces, at, runs))
     first, out = {}, []
-    for d in sorted(docs, key=lambda d: (d[0] is None, d[0])):
-        for s in range(len(d[4]) - span + 1):
-            run = tuple(d[4][s:s + span])
-            if sum(len(x.split(" ")) for x in run) >= least:
-                first.setdefault(run, (d[0], d[1], s))
-    for i, t, pieces, at, norm in docs:
-        gone = set()
-        for s in range(len(norm) - span + 1):
-            f = first.get(tuple(norm[s:s + span]))
-            if f is not None and f != (i, t, s):
-                gone.update(at[s:s + span])
+    for i, t, _, _, runs in sorted(docs, key=lambda d: (d[0] is None, d[0])):
+        for s, (_, run) in runs.items():
+            first.setdefault(run, (i, t, s))
+    for i, t, pieces, at, runs in docs:
+        gone = {k for s, (e, run) in runs.items() if first[run] != (i, t, s) for k in at[s:e]}
         out.append((i, len(at), len(gone), "".join(p for k, p in enumerate(pieces) if k not in gone)))
     return sorted(out, key=repr)
 
 
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """Copies of one long sentence, of words that are sentences each, of passages set into other
+    sentences, in scripts with other stops; and short sentences that many texts share."""
+    one = " ".join(prose(30, 40).replace(".", "").replace("!", "").split())
+    exclaimed = " ".join(w.strip(".!") + "!!" for w in prose(31, 60).split())
+    passage = prose(32, 60)
+    hindi = "।".join(" ".join(f"श{a}{b}" for b in range(9)) for a in range(8))
+    common = "It is so. That is all. Yes. No. "
+    texts = [one, one, exclaimed, exclaimed, prose(33, 50) + "and then " + passage, prose(34, 50) + "but " + passage + prose(35, 30), hindi, hindi,
+             common + prose(36, 100), common + prose(37, 100), "Yes. No. Yes. No.", "Yes. No. Yes. No."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in sentence_spans.remove_repeated_spans(docs).collect()}
+    assert [i for i, n in sorted(got.items()) if n] == [1, 3, 5, 7]
+
+
 def test_spans_match_brute_force(edge, empty):
     docs = edge.where("row NOT IN (3, 5)")  # rows that repeat an id with another text are ordered by hash
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
