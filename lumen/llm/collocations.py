@@ -5,7 +5,7 @@ words starts.  It is persisted in blocks of whole pieces.  A length is extended
 join of the relation with itself at adjacent places of a piece: two frequent phrases that
 overlap in all but their ends make one of k + 1 words.  The joined occurrences are counted
 by group over all blocks, and the relation is semi-joined with the frequent groups before it
-is extended again.
+is extended again.  A relation's table is removed once that of the next length is written.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.store import materialize
+from lumen.llm.store import discard, materialize, materialize_at
 from lumen.llm.texts import bounded_batches, byte_texts
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
@@ -43,16 +43,21 @@ def _block_number(part: int, sequence: int) -> int:
 # ---- relations in packed form: places rise, groups are numbers within the block ----
 
 def _pack(values: np.ndarray) -> bytes:
-    """32-bit numbers by byte planes, which compress well."""
-    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers by byte planes, compressed, after the size of the planes."""
+    planes = np.ascontiguousarray(values.reshape(-1, 1).view(np.uint8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd"), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-RELATION = "block bigint, lang string, places binary, local binary, {keys}, counts array<bigint>"
-WORDS, PAIRS = "words array<string>", "firsts array<bigint>, lasts array<bigint>"
+RELATION = "block bigint, lang string, places binary, local binary, keys array<binary>, counts binary"
+ROWS = 1 << 16
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,19 +89,13 @@ def _word_block(number: int, lang: str, texts: list[bytes]) -> pa.RecordBatch:
     flat = np.concatenate(parts)
     places = np.flatnonzero(flat)  # a break takes a place, so no neighbours span it
     counts = np.bincount(flat, minlength=len(seen))[1:]
-    words = pa.array(list(seen)[1:], pa.binary()).cast(pa.string())
-    return _relation(number, lang, places, flat[places] - 1, counts, [words], ["words"])
+    return _relation(number, lang, places, flat[places] - 1, counts, [_BREAK.join(list(seen)[1:])])
 
 
-def _relation(number: int, lang: str, places: np.ndarray, local: np.ndarray, counts: np.ndarray, keys: list[pa.Array],
-              names: list[str]) -> pa.RecordBatch:
-    def one(values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([lang], pa.string()), pa.array([_pack(np.diff(places, prepend=0))], pa.binary()),
-         pa.array([_pack(local)], pa.binary()), *[one(k) for k in keys], one(pa.array(counts.astype(np.int64)))],
-        ["block", "lang", "places", "local", *names, "counts"])
+def _relation(number: int, lang: str, places: np.ndarray, local: np.ndarray, counts: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
+    gaps, local, counts = (pa.array([_pack(x.astype(np.int32))], pa.binary()) for x in (np.diff(places, prepend=0), local, counts))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang], pa.string()), gaps, local,
+                                       pa.array([keys], pa.list_(pa.binary())), counts], ["block", "lang", "places", "local", "keys", "counts"])
 
 
 def _extend(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -105,7 +104,7 @@ def _extend(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
     if not blocks.num_rows or not frequent.num_rows:
         return _no_relation()
     row = {name: blocks.column(name)[0].as_py() for name in ("block", "lang", "places", "local")}
-    places, local = np.cumsum(_unpack(row["places"]), dtype=np.int64), _unpack(row["local"])
+    places, local = np.cumsum(_unpack(row["places"], np.int32), dtype=np.int64), _unpack(row["local"], np.int32)
     own = frequent.column("local").to_numpy()
     codes = frequent.column("code").to_numpy()
     rank = np.full(max(int(local.max()), int(own.max())) + 1, -1, dtype=np.int64)
@@ -117,30 +116,56 @@ def _extend(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
     if not len(next_to):
         return _no_relation()
     pair, local, counts = np.unique(group[next_to] * len(own) + group[next_to + 1], return_inverse=True, return_counts=True)
-    firsts, lasts = pa.array(codes[pair // len(own)]), pa.array(codes[pair % len(own)])
-    return pa.Table.from_batches([_relation(row["block"], row["lang"], places[next_to], local, counts, [firsts, lasts], ["firsts", "lasts"])])
+    keys = [_pack(codes), _pack((pair // len(own)).astype(np.int32)), _pack((pair % len(own)).astype(np.int32))]
+    return pa.Table.from_batches([_relation(row["block"], row["lang"], places[next_to], local, counts, keys)])
 
 
 def _no_relation() -> pa.Table:
-    long = pa.list_(pa.int64())
-    return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), long, long, long)],
-                    ["block", "lang", "places", "local", "firsts", "lasts", "counts"])
+    return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary())],
+                    ["block", "lang", "places", "local", "keys", "counts"])
+
+
+def _groups(words: bool):
+    """Rows of a relation → a row per group: a word, or the codes of a pair's phrases."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, lang, packed, counted = (batch.column(name)[r].as_py() for name in ("block", "lang", "keys", "counts"))
+                counts = _unpack(counted, np.int32)
+                n = len(counts)
+                if words:
+                    keys = [pa.array(packed[0].split(_BREAK), pa.binary()).cast(pa.string())]
+                else:
+                    codes = _unpack(packed[0], np.int64)
+                    keys = [pa.array(codes[_unpack(x, np.int32)]) for x in packed[1:]]
+                for a in range(0, n, ROWS):
+                    size = min(ROWS, n - a)
+                    place = pa.array(np.arange(a, a + size) + block)
+                    yield pa.RecordBatch.from_arrays(
+                        [place, *([pa.array([lang] * size, pa.string())] if words else []), *[k.slice(a, size) for k in keys],
+                         pa.array(counts[a:a + size].astype(np.int64))],
+                        ["number", *(["lang", "word"] if words else ["first", "last"]), "count"])
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [int(_unpack(x, np.int32).sum()) for x in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], ["lang", "n"])
 
 
 # ---- counting and the semi-join ----
 
-def _frequent(relation: DataFrame, keys: dict[str, str], least: int, name: str) -> DataFrame:
-    """(block, local, code, n, lead, keys...) of the groups found ``least`` times or more in all
+def _frequent(relation: DataFrame, words: bool, least: int, name: str) -> DataFrame:
+    """(number, code, n, lead, keys...) of the groups found ``least`` times or more in all
     blocks together.  Every group has as many rows as blocks that hold it; ``code`` is the
     number of the first of them, the row where ``lead`` is true."""
-    arrays = F.arrays_zip(*[F.col(column).alias(key) for column, key in keys.items()], F.col("counts").alias("count"))
-    groups = (relation.select("block", "lang", F.posexplode(arrays).alias("local", "group"))
-              .select("block", "lang", "local", "group.*", (F.col("block") + F.col("local")).alias("number")))
-    same = Window.partitionBy(*(["lang"] if len(keys) == 1 else []), *keys.values())
-    counted = (groups.select("block", "local", *(["lang"] if len(keys) == 1 else []), *keys.values(),
-                             F.sum("count").over(same).alias("n"), F.min("number").over(same).alias("code"))
-               .where(F.col("n") >= least))
-    return materialize(counted.withColumn("lead", F.col("code") == F.col("block") + F.col("local")), name)
+    keys = {"lang": "string", "word": "string"} if words else {"first": "bigint", "last": "bigint"}
+    schema = ", ".join(["number bigint", *[f"{k} {t}" for k, t in keys.items()], "count bigint"])
+    groups = relation.select("block", "lang", "keys", "counts").mapInArrow(_groups(words), schema)
+    same = Window.partitionBy(*keys)
+    counted = groups.select("number", *keys, F.sum("count").over(same).alias("n"), F.min("number").over(same).alias("code"))
+    return materialize(counted.where(F.col("n") >= least).withColumn("lead", F.col("code") == F.col("number")), name)
 
 
 def _phrases(lead: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -181,19 +206,27 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     Products are exact below 10^17 occurrences of a phrase and words of a language.
     """
     own = bounded_batches(docs).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    relation = materialize(own.mapInArrow(_words, RELATION.format(keys=WORDS)), "occurrences-1")
-    totals = relation.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
-    marks = _frequent(relation, {"words": "word"}, least, "frequent-1")
+    spark = docs.sparkSession
+    relation, folder = materialize_at(own.mapInArrow(_words, RELATION), "occurrences-1")
+    marks = _frequent(relation, True, least, "frequent-1")
+    totals = materialize(relation.select("lang", "counts").mapInArrow(_sizes, "lang string, n bigint")
+                         .groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     phrases = marks.where("lead").select("code", "lang", F.array("word").alias("words"), "n", F.array("n").alias("from_left"),
                                          F.array("n").alias("from_right"))
     candidates: list[DataFrame] = []
     for size in range(2, longest + 1):
-        pairs = (relation.groupBy("block").cogroup(marks.select("block", "local", "code").groupBy("block"))
-                 .applyInArrow(_extend, RELATION.format(keys=PAIRS)))
-        relation = materialize(pairs, f"occurrences-{size}")
-        marks = _frequent(relation, {"firsts": "first", "lasts": "last"}, least, f"frequent-{size}")
+        in_block = F.shiftright("number", LOCAL_BITS)
+        placed = marks.select(F.shiftleft(in_block, LOCAL_BITS).alias("block"), "code",
+                              (F.col("number") - F.shiftleft(in_block, LOCAL_BITS)).alias("local"))
+        pairs = (relation.select("block", "lang", "places", "local").groupBy("block").cogroup(placed.groupBy("block"))
+                 .applyInArrow(_extend, RELATION))
+        done = folder
+        relation, folder = materialize_at(pairs, f"occurrences-{size}")
+        discard(spark, done)
+        marks = _frequent(relation, False, least, f"frequent-{size}")
         phrases = materialize(_phrases(marks.where("lead").select("code", "first", "last", "n"), phrases), f"phrases-{size}")
         candidates.append(phrases)
+    discard(spark, folder)
     scored = []
     for size, own in enumerate(candidates, 2):
         if size <= longest - 1:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lumen.session import checkpoint_dir
 
@@ -15,7 +15,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The written table cuts the lineage: a later stage that loses an executor rereads the
     shared files.  Every call takes a new folder, so reruns never meet.
     """
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialize`` with the folder of the written table."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/lumen-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more, wherever the shared folder is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
