@@ -8,10 +8,14 @@ job; no row-level update is ever needed.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.rows import with_row
+from lumen.session import checkpoint_dir, ship_package
 
 JOB_TTL_SECONDS = 4 * 3600
 RATE_LIMIT = 180
@@ -216,51 +220,117 @@ def _bursts(requests: DataFrame, keys: list[str], ts: str, order: str, window_se
         Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
     staged = staged.join(offsets, on=[*keys, "__b"]).withColumn(
         "__burst", F.col("__off") + F.sum("__start").over(w_kb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return staged.drop("__b", "__edge", "__prev", "__start", "__off")
+    return staged.drop("__edge", "__prev", "__start", "__off")
+
+
+class _Admission:
+    """The rule as it runs: the admitted stamps of the last window, at most ``limit`` of them."""
+
+    def __init__(self, limit: int, window_us: int, held=()):
+        self.limit, self.window = limit, window_us
+        self.held, self.head = list(held), 0
+
+    def admits(self, t: int) -> bool:
+        while self.head < len(self.held) and self.held[self.head] < t - self.window:
+            self.head += 1
+        if self.head > 4 * self.limit:    # only the live window is kept: memory stays O(limit)
+            self.held, self.head = self.held[self.head:], 0
+        ok = len(self.held) - self.head < self.limit
+        if ok:
+            self.held.append(t)
+        return ok
+
+
+def _replay(limit: int, window_us: int, block: list[str], flags: bool):
+    """Sorted rows of blocks, each led by a row without a stamp that carries the state it starts
+    from (none: empty) → the rows with ``admitted``, or each block's first stamp and last state."""
+    def run(batches):
+        current, state, key_row, first = None, None, None, None
+
+        def ended():
+            return pa.RecordBatch.from_arrays([*key_row.columns, pa.array([first], pa.int64()), pa.array([state.held[state.head:]], pa.list_(pa.int64()))],
+                                              [*block, "__first", "__exit"])
+
+        for batch in batches:
+            admitted = []
+            keys = zip(*[batch.column(c).to_pylist() for c in block])
+            stamps, states = (batch.column(c).to_pylist() for c in ("__us", "__enter"))
+            for i, (key, t, held) in enumerate(zip(keys, stamps, states)):
+                if key != current:
+                    if first is not None and not flags:
+                        yield ended()
+                    current, state, first = key, _Admission(limit, window_us), None
+                    key_row = batch.select(block).slice(i, 1)
+                if t is None:
+                    state = _Admission(limit, window_us, held)
+                else:
+                    first = t if first is None else first
+                admitted.append(None if t is None else state.admits(t))
+            if flags:
+                verdict = pa.array(admitted, pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.columns, verdict], [*batch.schema.names, "admitted"]).filter(verdict.is_valid())
+        if first is not None and not flags:
+            yield ended()
+    return run
 
 
 def admitted_requests(requests: DataFrame, keys: list[str], ts: str, order: str, limit: int = RATE_LIMIT,
-                      window_seconds: int = RATE_WINDOW_SECONDS) -> DataFrame:
+                      window_seconds: int = RATE_WINDOW_SECONDS, bucket_seconds: int = 3600) -> DataFrame:
     """G13 (reference semantics): a request is admitted when fewer than ``limit``
     *admitted* requests of its key fall in [ts - window, ts]; rejected calls do not count.
 
-    The rule is sequential per key, but its state empties after any pause longer than
-    the window.  Requests are cut into bursts at such pauses (numbered per key without
-    a per-key sort, see ``_bursts``); bursts are hash-partitioned (a busy client's
-    bursts spread over tasks), sorted inside each task, and scanned once by a small
-    pandas helper that keeps at most ``limit`` admitted timestamps.  Only a client that
-    never pauses for ``window`` forms a single burst.
+    The rule is sequential per key, but its state empties after any pause longer than the
+    window.  Requests are cut into bursts at such pauses (numbered per key without a per-key
+    sort, see ``_bursts``), and bursts into blocks of ``bucket_seconds``.  Blocks are replayed
+    side by side from a guessed state (at first: empty) and hand on the state they end in.
+    While a burst's blocks started from another state than the block before has handed on,
+    it is replayed from those states in blocks twice as long.  So a client that never pauses is
+    spread over many tasks, a burst in which the limit isn't always hit settles in two rounds,
+    and none takes more rounds than the logarithm of its blocks.  A task keeps at most ``limit``
+    stamps.  Rows with a null key or stamp are left out.
     """
-    import pandas as pd
-
-    staged = _bursts(requests, keys, ts, order, window_seconds)
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields]
-                           + ["admitted boolean"])
     win = window_seconds * 1_000_000
-    group_cols = [*keys, "__burst"]
-
-    def scan(batches):
-        current = None
-        kept: list[int] = []
-        head = 0
-        for pdf in batches:
-            flags = []
-            gkeys = list(zip(*[pdf[c].tolist() for c in group_cols]))
-            for g, t in zip(gkeys, pdf["__us"].tolist()):
-                if g != current:
-                    current, kept, head = g, [], 0
-                while head < len(kept) and kept[head] < t - win:
-                    head += 1
-                if head > 4 * limit:          # keep only the live window: memory stays O(limit)
-                    kept, head = kept[head:], 0
-                ok = (len(kept) - head) < limit
-                if ok:
-                    kept.append(t)
-                flags.append(ok)
-            yield pdf.assign(admitted=pd.Series(flags, index=pdf.index, dtype=bool))
-
-    ordered = staged.repartition(*[F.col(c) for c in group_cols]).sortWithinPartitions(*group_cols, "__us", order)
-    return ordered.mapInPandas(scan, schema=out_schema).drop("__us", "__burst")
+    group = [*keys, "__burst"]
+    ship_package(requests.sparkSession)
+    checkpoint_dir(requests.sparkSession)
+    staged = _bursts(requests, keys, ts, order, window_seconds, bucket_seconds).checkpoint()
+    kinds = {f.name: f.dataType.simpleString() for f in staged.schema.fields}
+    spans = staged.groupBy(*group).agg(F.min("__b").alias("__low"), F.max("__b").alias("__high"))
+    block = [*group, "__w"]
+    block_ddl = ", ".join([f"`{c}` {kinds[c]}" for c in group] + ["`__w` bigint"])
+    columns = [c for c in staged.columns if c not in group]
+
+    def led(rows: DataFrame, states: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows of blocks in order, each block led by the state that it starts from."""
+        leads = states.select(*block, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], "__enter")
+        own = rows.select(*block, *columns, F.lit(None).cast("array<bigint>").alias("__enter"))
+        return own.unionByName(leads).repartition(*[F.col(c) for c in block]).sortWithinPartitions(*block, F.asc_nulls_first("__us"), order)
+
+    empty = F.array().cast("array<bigint>")
+    pending = spans.where("__high > __low").withColumn("__width", F.lit(1).cast("bigint")).checkpoint()
+    states = None
+    settled, final = [spans.where("__high = __low").select(*group, "__low", F.lit(1).cast("bigint").alias("__width"))], []
+    while not pending.isEmpty():
+        rows = staged.join(pending, group).withColumn("__w", F.floor((F.col("__b") - F.col("__low")) / F.col("__width")))
+        if states is None:
+            states = rows.select(*block).distinct().withColumn("__enter", empty)
+        stamps = led(rows, states, ["__us", order])
+        exits = stamps.mapInArrow(_replay(limit, win, block, False), f"{block_ddl}, __first bigint, __exit array<bigint>")
+        before = F.lag("__exit").over(Window.partitionBy(*group).orderBy("__w"))
+        true = F.coalesce(F.filter(before, lambda x: x >= F.col("__first") - win), empty)
+        seen = states.join(exits.withColumn("__true", true), block).select(*block, "__enter", "__true").checkpoint()
+        wrong = seen.where(F.col("__enter") != F.col("__true")).select(*group).distinct()
+        settled.append(pending.join(wrong, group, "left_anti").select(*group, "__low", "__width"))
+        final.append(seen.join(wrong, group, "left_anti").select(*block, "__enter"))
+        pending = pending.join(wrong, group, "left_semi").withColumn("__width", F.col("__width") * 2).checkpoint()
+        states = (seen.where("__w % 2 = 0").join(wrong, group, "left_semi")
+                  .select(*group, F.expr("__w div 2").alias("__w"), F.col("__true").alias("__enter")))
+    widths = reduce(DataFrame.unionByName, settled)
+    rows = staged.join(widths, group).withColumn("__w", F.floor((F.col("__b") - F.col("__low")) / F.col("__width")))
+    none = rows.limit(0).select(*block).withColumn("__enter", empty)
+    out_schema = block_ddl + ", " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", __enter array<bigint>, admitted boolean"
+    out = led(rows, reduce(DataFrame.unionByName, final, none), columns).mapInArrow(_replay(limit, win, block, True), out_schema)
+    return out.select(*requests.columns, "admitted")
 
 
 # ---------------------------------------------------------------------------- G15, G17

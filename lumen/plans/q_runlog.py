@@ -202,20 +202,20 @@ RATE_QUERY_LIMIT = 3
 RATE_QUERY_SECONDS = 10 * 86_400
 
 
-def rate_limit_sql(columns: str) -> str:
+def rate_limit_sql(columns: str, limit: int = RATE_QUERY_LIMIT, seconds: int = RATE_QUERY_SECONDS, user: str = "user_id") -> str:
     """The sequential rule as a recursion over each key's calls, with the admitted instants."""
     return f"""
 WITH RECURSIVE numbered AS (
-  SELECT user_id, event_type, event_id, epoch_us(ts) AS us,
-         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+  SELECT {user} AS user_id, event_type, event_id, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY {user}, event_type ORDER BY ts, event_id) AS n FROM events),
 step AS (
   SELECT user_id, event_type, event_id, n, [us] AS held, true AS admitted FROM numbered WHERE n = 1
   UNION ALL
   SELECT c.user_id, c.event_type, c.event_id, c.n,
-         CASE WHEN len(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000)) < {RATE_QUERY_LIMIT}
-              THEN list_append(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000), c.us)
-              ELSE list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000) END,
-         len(list_filter(s.held, lambda x: x >= c.us - {RATE_QUERY_SECONDS}::BIGINT * 1000000)) < {RATE_QUERY_LIMIT}
+         CASE WHEN len(list_filter(s.held, lambda x: x >= c.us - {seconds}::BIGINT * 1000000)) < {limit}
+              THEN list_append(list_filter(s.held, lambda x: x >= c.us - {seconds}::BIGINT * 1000000), c.us)
+              ELSE list_filter(s.held, lambda x: x >= c.us - {seconds}::BIGINT * 1000000) END,
+         len(list_filter(s.held, lambda x: x >= c.us - {seconds}::BIGINT * 1000000)) < {limit}
   FROM step s JOIN numbered c ON c.user_id = s.user_id AND c.event_type = s.event_type AND c.n = s.n + 1)
 SELECT {columns} FROM step"""
 
@@ -228,6 +228,14 @@ def q_rate_limit_admitted(spark, sf_dir):
                                RATE_QUERY_SECONDS).select("event_id", "admitted")
 
 
+@register("rate_limit_unbroken", sql=rate_limit_sql("event_id, admitted", 40, 12 * 3600, "0"))
+def q_rate_limit_unbroken(spark, sf_dir):
+    """At most 40 calls of an event type in 12 hours, whoever calls: clients that never pause
+    for as long, so every burst is replayed in many blocks."""
+    e = table(spark, sf_dir, "events")
+    return G.admitted_requests(e, ["event_type"], "ts", "event_id", 40, 12 * 3600).select("event_id", "admitted")
+
+
 @register("dedupe_links", sql=f"""
 SELECT url, arg_max(event_type, event_id) AS kind, arg_max(event_id, event_id) AS ord
 FROM (SELECT '/api/artifacts/' || event_type || '/' || ({_K_SQL} % 13) AS url, event_type, event_id FROM events)

@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import numpy as np
+import pytest
 
 from lumen.operators import runlog as G
 
@@ -96,3 +98,24 @@ def test_stream_rate_limit_across_batches(spark, tmp_path):
     exp = _brute(rows)
     assert all(not late for _, late in got.values())
     assert {k: a for k, (a, _) in got.items()} == exp
+
+
+@pytest.mark.parametrize("limit, window, rate", [(3, 60, 2), (180, 60, 0.2), (1, 30, 5), (12, 60, 5.2)])
+def test_a_client_that_never_pauses(spark, limit, window, rate):
+    """One unbroken burst in many blocks, always, mostly or hardly ever at the limit."""
+    r = random.Random(limit)
+    start, t, rows = dt.datetime(2024, 1, 1), 0.0, []
+    for i in range(3000):
+        t += min(r.expovariate(1 / rate), window * 0.9) if i % 500 else 0.0
+        rows.append((2**60 + i, start + dt.timedelta(seconds=round(t, 3)), "c", "x" if i % 3 else None))
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, client string, note string").repartition(7)
+    live, exp = [], {}
+    for eid, when, _, _ in rows:
+        live = [x for x in live if x >= when - dt.timedelta(seconds=window)]
+        exp[eid] = len(live) < limit
+        if exp[eid]:
+            live.append(when)
+    out = G.admitted_requests(df, ["client"], "ts", "event_id", limit, window, bucket_seconds=window)
+    assert out.columns == [*df.columns, "admitted"]
+    assert {x["event_id"]: x["admitted"] for x in out.collect()} == exp
+    assert G.admitted_requests(df.limit(0), ["client"], "ts", "event_id").collect() == []
