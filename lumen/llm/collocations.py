@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.store import discard, materialize, materialize_at
+from lumen.llm.store import discard, materialize, materialize_buckets, shuffles_removed
 from lumen.llm.texts import bounded_batches, byte_texts
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
@@ -30,6 +30,8 @@ SALTS = 64
 _BREAK = b"\xff"
 _TO_PIECES = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
 # A group's number: its block and its place among the block's groups, in one long.
 LOCAL_BITS, SEQUENCE_BITS = 30, 13
 
@@ -58,6 +60,9 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 RELATION = "block bigint, lang string, places binary, local binary, keys array<binary>, counts binary"
 ROWS = 1 << 16
+SLICES = 3
+"""Pairs are counted in so many slices, one after the other: the disk that a count's shuffle
+takes is a slice's."""
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,25 +130,28 @@ def _no_relation() -> pa.Table:
                     ["block", "lang", "places", "local", "keys", "counts"])
 
 
-def _groups(words: bool):
-    """Rows of a relation → a row per group: a word, or the codes of a pair's phrases."""
+def _groups(words: bool, part: int = 0, parts: int = 1):
+    """Rows of a relation → a row per group: a word, or the codes of a pair's phrases (those
+    pairs only that a hash deals to the slice ``part`` of ``parts``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 block, lang, packed, counted = (batch.column(name)[r].as_py() for name in ("block", "lang", "keys", "counts"))
                 counts = _unpack(counted, np.int32)
-                n = len(counts)
+                own = np.arange(len(counts))
                 if words:
                     keys = [pa.array(packed[0].split(_BREAK), pa.binary()).cast(pa.string())]
                 else:
                     codes = _unpack(packed[0], np.int64)
-                    keys = [pa.array(codes[_unpack(x, np.int32)]) for x in packed[1:]]
-                for a in range(0, n, ROWS):
-                    size = min(ROWS, n - a)
-                    place = pa.array(np.arange(a, a + size) + block)
+                    first, last = (codes[_unpack(x, np.int32)] for x in packed[1:])
+                    mixed = (first.astype(np.uint64) * _MIX[0] ^ last.astype(np.uint64) * _MIX[1]) >> np.uint64(33)
+                    own = np.flatnonzero(mixed % np.uint64(parts) == part)
+                    keys = [pa.array(first[own]), pa.array(last[own])]
+                for a in range(0, len(own), ROWS):
+                    place = own[a:a + ROWS]
                     yield pa.RecordBatch.from_arrays(
-                        [place, *([pa.array([lang] * size, pa.string())] if words else []), *[k.slice(a, size) for k in keys],
-                         pa.array(counts[a:a + size].astype(np.int64))],
+                        [pa.array(place + block), *([pa.array([lang] * len(place), pa.string())] if words else []),
+                         *[k.slice(a, len(place)) for k in keys], pa.array(counts[place].astype(np.int64))],
                         ["number", *(["lang", "word"] if words else ["first", "last"]), "count"])
     return run
 
@@ -162,10 +170,13 @@ def _frequent(relation: DataFrame, words: bool, least: int, name: str) -> DataFr
     number of the first of them, the row where ``lead`` is true."""
     keys = {"lang": "string", "word": "string"} if words else {"first": "bigint", "last": "bigint"}
     schema = ", ".join(["number bigint", *[f"{k} {t}" for k, t in keys.items()], "count bigint"])
-    groups = relation.select("block", "lang", "keys", "counts").mapInArrow(_groups(words), schema)
     same = Window.partitionBy(*keys)
-    counted = groups.select("number", *keys, F.sum("count").over(same).alias("n"), F.min("number").over(same).alias("code"))
-    return materialize(counted.where(F.col("n") >= least).withColumn("lead", F.col("code") == F.col("number")), name)
+    tables = []
+    for part in range(parts := 1 if words else SLICES):
+        groups = relation.select("block", "lang", "keys", "counts").mapInArrow(_groups(words, part, parts), schema)
+        counted = groups.select("number", *keys, F.sum("count").over(same).alias("n"), F.min("number").over(same).alias("code"))
+        tables.append(materialize(counted.where(F.col("n") >= least).withColumn("lead", F.col("code") == F.col("number")), name))
+    return reduce(DataFrame.union, tables)
 
 
 def _phrases(lead: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -207,26 +218,27 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     """
     own = bounded_batches(docs).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     spark = docs.sparkSession
-    relation, folder = materialize_at(own.mapInArrow(_words, RELATION), "occurrences-1")
-    marks = _frequent(relation, True, least, "frequent-1")
-    totals = materialize(relation.select("lang", "counts").mapInArrow(_sizes, "lang string, n bigint")
-                         .groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    phrases = marks.where("lead").select("code", "lang", F.array("word").alias("words"), "n", F.array("n").alias("from_left"),
-                                         F.array("n").alias("from_right"))
-    candidates: list[DataFrame] = []
-    for size in range(2, longest + 1):
-        in_block = F.shiftright("number", LOCAL_BITS)
-        placed = marks.select(F.shiftleft(in_block, LOCAL_BITS).alias("block"), "code",
-                              (F.col("number") - F.shiftleft(in_block, LOCAL_BITS)).alias("local"))
-        pairs = (relation.select("block", "lang", "places", "local").groupBy("block").cogroup(placed.groupBy("block"))
-                 .applyInArrow(_extend, RELATION))
-        done = folder
-        relation, folder = materialize_at(pairs, f"occurrences-{size}")
-        discard(spark, done)
-        marks = _frequent(relation, False, least, f"frequent-{size}")
-        phrases = materialize(_phrases(marks.where("lead").select("code", "first", "last", "n"), phrases), f"phrases-{size}")
-        candidates.append(phrases)
-    discard(spark, folder)
+    with shuffles_removed(spark):
+        relation, folder = materialize_buckets(own.mapInArrow(_words, RELATION), "occurrences-1", "block")
+        marks = _frequent(relation, True, least, "frequent-1")
+        totals = materialize(relation.select("lang", "counts").mapInArrow(_sizes, "lang string, n bigint")
+                             .groupBy("lang").agg(F.sum("n").alias("total")), "totals")
+        phrases = marks.where("lead").select("code", "lang", F.array("word").alias("words"), "n", F.array("n").alias("from_left"),
+                                             F.array("n").alias("from_right"))
+        candidates: list[DataFrame] = []
+        for size in range(2, longest + 1):
+            in_block = F.shiftright("number", LOCAL_BITS)
+            placed = marks.select(F.shiftleft(in_block, LOCAL_BITS).alias("block"), "code",
+                                  (F.col("number") - F.shiftleft(in_block, LOCAL_BITS)).alias("local"))
+            pairs = (relation.select("block", "lang", "places", "local").groupBy("block").cogroup(placed.groupBy("block"))
+                     .applyInArrow(_extend, RELATION))
+            done = folder
+            relation, folder = materialize_buckets(pairs, f"occurrences-{size}", "block")
+            discard(spark, done)
+            marks = _frequent(relation, False, least, f"frequent-{size}")
+            phrases = materialize(_phrases(marks.where("lead").select("code", "first", "last", "n"), phrases), f"phrases-{size}")
+            candidates.append(phrases)
+        discard(spark, folder)
     scored = []
     for size, own in enumerate(candidates, 2):
         if size <= longest - 1:
@@ -234,7 +246,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
             within = (longer.select(F.col("first").alias("code"), "n").union(longer.select(F.col("last").alias("code"), "n"))
                       .groupBy("code").agg(F.max("n").alias("longer")))
             own = own.join(within, "code", "left").where("longer IS NULL OR 100 * longer < 100 * n")
-        scored.append(own.join(F.broadcast(totals), "lang").withColumn("cut", _lowest_cut(size))
+        scored.append(own.join(totals, "lang").withColumn("cut", _lowest_cut(size))
                       .select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), F.col("cut.l").alias("l"),
                               F.col("cut.r").alias("r"), F.col("total").alias("n"), F.col("cut.score").alias("score")))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
