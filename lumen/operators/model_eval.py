@@ -52,7 +52,62 @@ def catalog_df(spark: SparkSession) -> DataFrame:
         list(CATALOG), "key string, problem_type string, family string, complexity string, built boolean, stand_in string")
 
 
+# fixed values: names of models besides their keys → (regression key, classification key)
+MODEL_NAMES = {
+    "linear regression": ("linear_regression", None),
+    "線性迴歸": ("linear_regression", None),
+    "ridge 迴歸": ("ridge", None),
+    "lasso 迴歸": ("lasso", None),
+    "elasticnet": ("elastic_net", None),
+    "elastic net": ("elastic_net", None),
+    "elasticnet 迴歸": ("elastic_net", None),
+    "logistic regression": (None, "logistic_regression"),
+    "決策樹迴歸": ("decision_tree_regressor", None),
+    "決策樹分類": (None, "decision_tree_classifier"),
+    "隨機森林": ("random_forest", "random_forest_classifier"),
+    "隨機森林分類": (None, "random_forest_classifier"),
+    "random forest": ("random_forest", "random_forest_classifier"),
+    "extra trees 迴歸": ("extra_trees_regressor", None),
+    "extra trees 分類": (None, "extra_trees_classifier"),
+    "gradient boosting": ("gradient_boosting_regressor", "gradient_boosting_classifier"),
+    "gradient boosting 迴歸": ("gradient_boosting_regressor", None),
+    "gradient boosting 分類": (None, "gradient_boosting_classifier"),
+    "knn": ("knn_regressor", "knn_classifier"),
+    "knn 迴歸": ("knn_regressor", None),
+    "knn 分類": (None, "knn_classifier"),
+    "svm": ("svr", "svc"),
+    "svr 支援向量迴歸": ("svr", None),
+    "svc 支援向量分類": (None, "svc"),
+    "xgboost": ("xgboost_regressor", "xgboost_classifier"),
+    "xgb": ("xgboost_regressor", "xgboost_classifier"),
+    "xgboost 迴歸": ("xgboost_regressor", None),
+    "xgboost 分類": (None, "xgboost_classifier"),
+    "lightgbm": ("lightgbm_regressor", "lightgbm_classifier"),
+    "lgbm": ("lightgbm_regressor", "lightgbm_classifier"),
+    "lightgbm 迴歸": ("lightgbm_regressor", None),
+    "lightgbm 分類": (None, "lightgbm_classifier"),
+}
+
+
+def model_key(name: str, kind: str) -> str:
+    """The key that a key, label or alias stands for, in any case (an unknown name: itself)."""
+    wanted = name.strip()
+    named = MODEL_NAMES.get(wanted.lower(), (None, None))[kind == "classification"]
+    return named or next((row[0] for row in CATALOG if row[0] == wanted.lower()), wanted)
+
+
 # ---------------------------------------------------------------------------- M28, M29
+def without_slow(keys: list[str], rows: int, feature_count: int, categorical_count: int) -> tuple[list[str], list[str]]:
+    """M29 for models that the caller names: (kept, left out).  Slow ones are left out of large,
+    wide or categorical data; if nothing else was asked for, that is an error."""
+    if not (rows > SLOW_MODEL_ROW_LIMIT or feature_count > SLOW_MODEL_FEATURE_LIMIT or categorical_count):
+        return list(keys), []
+    kept, slow = [k for k in keys if k not in SLOW_MODEL_KEYS], [k for k in keys if k in SLOW_MODEL_KEYS]
+    if slow and not kept:
+        raise ValueError(f"{', '.join(slow)}: too slow for data of this shape; choose tree or linear models")
+    return kept, slow
+
+
 def shape_summary(features: DataFrame, target: str) -> DataFrame:
     """One row: rows, feature count, categorical count, mean missing ratio, target distinct."""
     from lumen.functions.casts import is_feature_numeric

@@ -67,3 +67,32 @@ def test_category_cap(spark):
     inf = [r for r in maps if r["is_infrequent"]]
     assert len(inf) == 1 and inf[0]["count"] == 9 * 10   # nine least frequent categories, ten rows each
     assert [r["category"] for r in maps if r["is_mode"]] == ["c0"]
+
+
+def test_models_by_key_label_or_alias():
+    from lumen.operators import model_eval as ME
+    for name, kind, key in [("Ridge", "regression", "ridge"), ("隨機森林", "classification", "random_forest_classifier"), (" XGB ", "regression", "xgboost_regressor"),
+                            ("LGBM", "classification", "lightgbm_classifier"), ("svm", "classification", "svc"), ("Logistic Regression", "classification", "logistic_regression"),
+                            ("unheard of", "regression", "unheard of"), ("elastic net", "regression", "elastic_net")]:
+        assert ME.model_key(name, kind) == key
+
+
+def test_slow_models_are_left_out_or_an_error():
+    import pytest
+
+    from lumen.operators import model_eval as ME
+    assert ME.without_slow(["svr", "ridge"], 100, 3, 0) == (["svr", "ridge"], [])
+    for shape in ((1501, 3, 0), (100, 25, 0), (100, 3, 1)):
+        assert ME.without_slow(["svr", "ridge"], *shape) == (["ridge"], ["svr"])
+        with pytest.raises(ValueError):
+            ME.without_slow(["svr", "knn_regressor"], *shape)
+
+
+def test_a_run_of_the_recommended_models(spark):
+    from lumen.operators import model_eval as ME
+    from lumen.plans.modeling import run_model_analysis
+    df = spark.createDataFrame([(float(i), float(i % 7), 3.0 * i + i % 7 + (i % 5) * 0.1) for i in range(70)], "a double, b double, y double")
+    run = run_model_analysis(df, "y", mode="regression", models=["Linear Regression", "決策樹迴歸"])
+    assert {r["model_key"] for r in run.results.collect()} >= {"linear_regression", "decision_tree_regressor"}
+    want = [r["key"] for r in ME.recommend_models(ME.shape_summary(df, "y"), "regression").orderBy("ord").collect()]
+    assert want[0] == "ridge" and "knn_regressor" in want
