@@ -4,7 +4,8 @@ Public vocabularies are run over the words of every text: characters per token (
 vocabularies), the share of byte-fallback tokens and the entropy of the token
 distribution, each held against rejection bands of the text's main script, or of its
 language where a band is given for one.  Base counts (words, symbols, repeated lines and
-5-word windows) come from the same pass.
+5-word windows) come from the same pass.  ``measured_rules`` adds bands per language and
+script, and per vocabulary, taken from the quartiles of the table itself.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumen.llm.store import materialize
 from lumen.llm.texts import WordTable, bounded_batches, byte_texts, gather, held, slices, sums_by_group
 
 WINDOW = 5
@@ -62,9 +64,21 @@ BANDS: dict[str, Band] = {
     "hangul": Band((0.3, 4.0), 0.95),
     "kana": Band((0.3, 4.0), 0.90),
     "han": Band((0.3, 4.0), 0.95),
-    "": Band((0.25, 12.0), 1.0),
+    # no letters: numbers and signs come one by one or fall back to bytes
+    "": Band((1.5, 8.0), 0.5),
 }
 
+#: A measured band reaches this many interquartile ranges beyond the quartiles (the far-out
+#: fences of a box plot), with the range taken as at least ``LEAST_SPREAD``.
+FENCE = 3.0
+#: Of the logarithm of characters per token, and of the share of byte tokens.
+LEAST_SPREAD = {"chars_per_token": 0.1, "chars_per_rank_token": 0.1, "byte_share": 0.1}
+#: Texts that pass the base rules which a language and script, or a script, must have for
+#: quartiles of its own.
+LEAST_TEXTS = 50
+#: Steps of the histogram that quartiles are read from, per unit.
+STEPS = 1000
+
 
 def _meter(piece_path: str, rank_path: str, pattern: str) -> "_Meter":
     return held(("meter", piece_path, rank_path, pattern), lambda: _Meter(piece_path, rank_path, pattern))
@@ -155,7 +169,7 @@ def _entropy(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 SCHEMA = ("id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
           "base_failed boolean, kept boolean, n_tokens bigint, chars_per_token double, chars_per_rank_token double, "
-          "byte_share double, token_entropy double, script string")
+          "byte_share double, token_entropy double, script string, lang string")
 
 
 def fertility_rules(docs: DataFrame, piece_path: str, rank_path: str, pattern: str, id_col: str = "doc_id",
@@ -218,4 +232,69 @@ def _measure(meter: _Meter, texts: list, langs: list, bands: Mapping[str, Band])
               & ((n_tokens < since) | (entropy >= least * np.log2(np.maximum(n_tokens, 2)))))
     return [pa.array(x) for x in (n_words, word_chars, n_symbols, dup_lines, repeat, failed, ~failed & inside,
                                   n_tokens, per_token, per_rank, byte_share, entropy)] + [
-        pa.array([SCRIPTS[s] for s in script.tolist()], pa.string())]
+        pa.array([SCRIPTS[s] for s in script.tolist()], pa.string()), pa.array(langs, pa.string())]
+
+
+# ---------------------------------------------------------------------------- measured bands
+def _steps(measure: str) -> Column:
+    """A measure on the scale of its band (ratios by their logarithm), in whole steps."""
+    value = F.col(measure)
+    if measure != "byte_share":
+        value = F.log(F.greatest(value, F.lit(1e-6)))
+    return F.floor(value * STEPS).cast("bigint")
+
+
+def measured_bands(measures: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of the columns ``by``: ``low_`` and ``high_`` of every measure in steps.
+
+    Quartiles are those of all texts of the group that pass the base rules, read from counts
+    per step (some thousand rows a group, whatever its size); groups with fewer than
+    ``LEAST_TEXTS`` of them have no row.  Null is a group of its own."""
+    passing = measures.where(~F.col("base_failed"))
+    counts = (passing.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("measure"), _steps(m).alias("step")) for m in LEAST_SPREAD])).alias("m"))
+        .groupBy(*by, "m.measure", "m.step").agg(F.count(F.lit(1)).alias("n")))
+    group = Window.partitionBy(*by, "measure")
+    sums = counts.select(*by, "measure", "step", F.sum("n").over(group).alias("total"),
+                         F.sum("n").over(group.orderBy("step")).alias("upto"))
+    quartile = {q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("step"))) for q in (1, 3)}
+    spread = F.create_map(*[x for m, least in LEAST_SPREAD.items() for x in (F.lit(m), F.lit(least * STEPS))])
+    found = (sums.where(F.col("total") >= LEAST_TEXTS).groupBy(*by, "measure")
+             .agg(quartile[1].alias("q1"), quartile[3].alias("q3"))
+             .withColumn("reach", FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("measure")])))
+    ends = []
+    for m in LEAST_SPREAD:
+        own = F.col("measure") == m
+        ends += [F.max(F.when(own, F.col("q1") - F.col("reach"))).alias(f"low_{m}"),
+                 F.max(F.when(own, F.col("q3") + F.col("reach"))).alias(f"high_{m}")]
+    return found.groupBy(*by).agg(*ends)
+
+
+def measured_rules(docs: DataFrame, piece_path: str, rank_path: str, pattern: str, id_col: str = "doc_id",
+                   text_col: str = "text", lang_col: str = "lang", bands: Mapping[str, Band] = BANDS) -> DataFrame:
+    """``fertility_rules``, and ``kept`` also asks a text to lie in the measured band of its
+    language and main script, or of its script where the table has too few texts of both.
+
+    Characters per token are bounded from both sides under either vocabulary by its own
+    quartiles, the share of byte tokens from above.  Where neither group has ``LEAST_TEXTS``
+    texts, ``fertility_rules`` decides alone.  Texts without a language are a group like
+    any other.  Everything else is as in ``fertility_rules``; columns ``in_fixed_band`` and
+    ``in_measured_band`` tell which rule rejected a text.
+    """
+    # measured once: the written table has no texts in it
+    measures = materialize(fertility_rules(docs, piece_path, rank_path, pattern, id_col, text_col, lang_col, bands), "fertility")
+    own = measured_bands(measures, ["lang", "script"])
+    script = measured_bands(measures, ["script"])
+    ends = [c for c in script.columns if c != "script"]
+    own = own.select(F.col("lang").alias("__lang"), F.col("script").alias("__script"), *[F.col(c).alias(f"__own_{c}") for c in ends])
+    script = script.select(F.col("script").alias("__of"), *[F.col(c).alias(f"__any_{c}") for c in ends])
+    both = (measures.join(own, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("script") == F.col("__script")), "left")
+            .join(script, F.col("script") == F.col("__of"), "left"))
+    inside = F.lit(True)
+    for m in LEAST_SPREAD:
+        low, high = (F.coalesce(F.col(f"__own_{e}_{m}"), F.col(f"__any_{e}_{m}")) for e in ("low", "high"))
+        above = F.lit(True) if m == "byte_share" else F.coalesce(_steps(m) >= low, F.lit(True))
+        inside = inside & above & F.coalesce(_steps(m) <= high, F.lit(True))
+    out = both.withColumn("in_fixed_band", F.col("kept")).withColumn("in_measured_band", inside)
+    return out.withColumn("kept", F.col("kept") & F.col("in_measured_band")).select(
+        *measures.columns, "in_fixed_band", "in_measured_band")

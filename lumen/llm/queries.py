@@ -38,7 +38,7 @@ def vocabulary(name: str) -> str:
 def op1_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and tokeniser fertility of all documents, with the rules' verdict."""
     import public_tokenizers
-    return quality_rules.fertility_rules(
+    return quality_rules.measured_rules(
         table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"),
         vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

@@ -1,4 +1,5 @@
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as public
@@ -28,6 +29,10 @@ def run(docs, **more):
     return rules.fertility_rules(docs, PIECES, RANKS, public.PATTERN, **more)
 
 
+def run_measured(docs):
+    return rules.measured_rules(docs, PIECES, RANKS, public.PATTERN)
+
+
 def test_counts_match_brute_force(edge):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want, extra = [], []
@@ -53,6 +58,72 @@ def test_bands_reject_by_script_and_by_language(spark):
     assert kept[3][1] == "han"
 
 
+def junk(seed):
+    """Texts of 60 words that pass the base rules and are no language, by kind."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    wide = letters + letters.upper() + "0123456789+/"
+    return {
+        "letters": " ".join("".join(r.choice(letters) for _ in range(8)) for _ in range(60)),
+        "base64": " ".join("".join(r.choice(wide) for _ in range(40)) for _ in range(60)),
+        "hex": " ".join("".join(r.choice("0123456789abcdef") for _ in range(32)) for _ in range(60)),
+        "digits": " ".join("".join(r.choice("0123456789") for _ in range(9)) for _ in range(60)),
+        "signs": " ".join("".join(r.choice("!@#$%^&*") for _ in range(6)) for _ in range(60)),
+        "mojibake": " ".join("".join(r.choice("éèàçùâêîôû日本語") for _ in range(6)).encode().decode("latin-1") for _ in range(60)),
+    }
+
+
+ENGLISH = ("the of and to in is that for it was on are as with they at be this have from or one had by but not what all were "
+           "when we there can an your which their said if will each about how up out them then many some these would other "
+           "into has more her two like him see time could make than first been its who now people my made over did down only "
+           "way find use may water long little very after words called just where most know").split()
+
+
+def test_measured_bands_reject_junk_and_keep_prose(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(ENGLISH) for _ in range(r.randint(30, 200))), "en") for i in range(120)]
+    for k in range(4):
+        rows += [(1000 + 10 * k + i, t, ["en", "en", None, "xx"][k]) for i, t in enumerate(junk(k).values())]
+    out = run_measured(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()
+    assert all(x["kept"] for x in out if x["doc_id"] < 1000)
+    assert [x["doc_id"] for x in out if x["doc_id"] >= 1000 and x["kept"]] == []
+
+
+def test_measured_verdict_matches_brute_force(spark, edge):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(ENGLISH[:40 + i % 60]) for _ in range(60)), [None, "en", "fr"][i % 3]) for i in range(240)]
+    rows += [(500 + i, t, "en") for i, t in enumerate(junk(9).values())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").unionByName(edge.select("doc_id", "text", "lang"))
+    out = run_measured(docs).collect()
+    names = list(rules.LEAST_SPREAD)
+    def step(x, m):
+        return int(np.floor((x[m] if m == "byte_share" else np.log(max(x[m], 1e-6))) * rules.STEPS))
+
+    def bands(key):
+        groups = defaultdict(list)
+        for x in out:
+            if not x["base_failed"]:
+                groups[key(x)].append([step(x, m) for m in names])
+        ends = {}
+        for k, v in groups.items():
+            if len(v) >= rules.LEAST_TEXTS:
+                ends[k] = []
+                for m, own in zip(names, map(sorted, zip(*v))):
+                    q1, q3 = (own[-(-len(own) * q // 4) - 1] for q in (1, 3))
+                    reach = rules.FENCE * max(q3 - q1, rules.LEAST_SPREAD[m] * rules.STEPS)
+                    ends[k].append((q1 - reach if m != "byte_share" else -np.inf, q3 + reach))
+        return ends
+
+    own, script = bands(lambda x: (x["lang"], x["script"])), bands(lambda x: x["script"])
+    assert len(own) >= 3
+    for x in out:
+        ends = own.get((x["lang"], x["script"])) or script.get(x["script"])
+        want = ends is None or all(a <= step(x, m) <= b for m, (a, b) in zip(names, ends))
+        assert x["in_measured_band"] == want
+        assert x["kept"] == (x["in_fixed_band"] and want) and not (x["kept"] and x["base_failed"])
+    assert len(out) == docs.count()
+
+
 def test_words_are_forgotten_without_changing_results(edge):
     a = sorted(map(repr, run(edge).collect()))
     b = sorted(map(repr, run(edge.repartition(1).sortWithinPartitions("row")).collect()))
@@ -61,3 +132,4 @@ def test_words_are_forgotten_without_changing_results(edge):
 
 def test_empty_table(empty):
     assert run(empty).collect() == []
+    assert run_measured(empty).collect() == []
