@@ -50,7 +50,7 @@ def q_stream_rate_limit(spark, sf_dir):
     """Admitted / late flag per request, at most 3 a user and type in 10 days."""
     s = W.rate_limit_stream(W.table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id",
                             limit=RATE_QUERY_LIMIT, window_seconds=RATE_QUERY_SECONDS)
-    return W.run_to_table(s, "append", "rate_limit").drop("__batch")
+    return W.run_to_table(s, "append", "rate_limit", state_store=W.ROCKS_DB).drop("__batch")
 
 
 def _stream_ind_sql() -> str:

@@ -1,8 +1,8 @@
 """Structured Streaming forms of the rules that have a natural stream (survey W1-W4).
 
-* W1 — rate limit over a request stream: ``applyInPandasWithState`` keeps, per
+* W1 — rate limit over a request stream: ``transformWithStateInPandas`` keeps, per
   (client, route), only the admitted timestamps of the last window (at most ``limit``
-  of them), so state stays bounded however busy a client is.
+  of them), and sorts a client's rows outside memory (see ``admission``).
 * W2 — daily series: event-time ``window`` + watermark, append mode; indicators are
   computed by the batch operators over the closed days (``foreachBatch``).
 * W3 — windowed counters: count, missing count, approximate distinct users, watermarked.
@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lumen.session import checkpoint_dir, ensure_utc
+from lumen.session import checkpoint_dir, ensure_utc, ship_package
+from lumen.streaming.admission import Admissions
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -37,14 +39,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
 
 
 def run_to_table(stream: DataFrame, output_mode: str = "append", name: str = "stream",
-                 location: str | None = None, key: list[str] | None = None) -> DataFrame:
+                 location: str | None = None, key: list[str] | None = None, state_store: str | None = None) -> DataFrame:
     """Run ``stream`` until the available input is consumed; return the sink as a table.
 
     Each micro-batch overwrites its own folder, so a batch that is run again after a
     failure leaves the rows it would have left before.  A stream started again with the
     same ``location`` goes on from its checkpoint; without one a new folder is taken.
     append: all batches together; complete: the last batch; update: the last batch's rows
-    of each ``key``.
+    of each ``key``.  ``state_store``: class of the state store for this stream.
     """
     spark = stream.sparkSession
     base = location or f"{checkpoint_dir(spark).rstrip('/')}/lumen-stream/{name}-{uuid.uuid4().hex[:12]}"
@@ -53,9 +55,14 @@ def run_to_table(stream: DataFrame, output_mode: str = "append", name: str = "st
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/__batch={batch_id}")
 
-    q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, state_store or before)
+    try:
+        q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(out)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
@@ -109,47 +116,17 @@ def rate_limit_stream(stream: DataFrame, keys: list[str], ts: str, order: str, l
                       window_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
     """Admitted flag per request; state per key = admitted epoch-µs in the window.
 
-    Rows of a key inside one micro-batch are handled in (ts, order) order.  A row older
-    than the key's last handled timestamp minus the window is late: not admitted.  A key's
-    state goes when the watermark is past its last timestamp and the window.
+    Rows of a key inside one micro-batch are handled in (ts, order) order, sorted through the
+    state store, so a busy key needs no more memory than others.  A row older than the key's
+    last handled timestamp minus the window is late: not admitted.  A key's state goes by a
+    timer when the watermark is past its last timestamp and the window.  Rows with a null
+    key, timestamp or ``order`` are left out, as in the batch form.  Needs the state store of ``ROCKS_DB``
+    (``run_to_table(..., state_store=ROCKS_DB)``).
     """
-    win = window_seconds * 1_000_000
+    ship_package(stream.sparkSession)
     out_schema = T.StructType([*[stream.schema[k] for k in keys], T.StructField(order, T.LongType()),
                                T.StructField("admitted", T.BooleanType()), T.StructField("late", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("stamps", T.ArrayType(T.LongType())),
-                                 T.StructField("last", T.LongType())])
-
-    def step(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamps, last = ([], None)
-        if state.exists:
-            stamps, last = list(state.get[0] or []), state.get[1]
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values(["__us", order], kind="stable")
-        adm, late = [], []
-        for t in pdf["__us"].tolist():
-            if last is not None and t < last - win:
-                adm.append(False)
-                late.append(True)
-                continue
-            stamps = [s for s in stamps if s >= t - win]
-            ok = len(stamps) < limit
-            if ok:
-                stamps.append(t)
-            adm.append(ok)
-            late.append(False)
-            last = t if last is None else max(last, t)
-        state.update((stamps, last))
-        state.setTimeoutTimestamp(max((last + win) // 1000, state.getCurrentWatermarkMs()) + 1)
-        res = pdf[[*keys, order]].copy()
-        res["admitted"] = adm
-        res["late"] = late
-        yield res
-
     staged = _with_ts(stream, ts).withWatermark(ts, delay).withColumn("__us", F.unix_micros(F.col(ts)))
-    return staged.groupBy(*keys).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    staged = staged.withColumn(order, F.col(order).cast("bigint")).dropna(subset=[*keys, order, "__us"])
+    return staged.select(*keys, ts, order, "__us").groupBy(*keys).transformWithStateInPandas(
+        Admissions(keys, order, limit, window_seconds * 1_000_000), out_schema, "append", "eventTime")
