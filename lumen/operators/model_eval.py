@@ -28,7 +28,7 @@ CATALOG = (
     ("elastic_net", "regression", "linear", "low", True, ""),
     ("decision_tree_regressor", "regression", "tree", "medium", True, ""),
     ("random_forest", "regression", "ensemble", "medium", True, ""),
-    ("extra_trees_regressor", "regression", "ensemble", "medium", False, "forest_no_bootstrap"),
+    ("extra_trees_regressor", "regression", "ensemble", "medium", True, ""),
     ("gradient_boosting_regressor", "regression", "boosting", "high", True, ""),
     ("knn_regressor", "regression", "distance", "medium", False, ""),
     ("svr", "regression", "kernel", "high", False, ""),
@@ -37,7 +37,7 @@ CATALOG = (
     ("logistic_regression", "classification", "linear", "low", True, ""),
     ("decision_tree_classifier", "classification", "tree", "medium", True, ""),
     ("random_forest_classifier", "classification", "ensemble", "medium", True, ""),
-    ("extra_trees_classifier", "classification", "ensemble", "medium", False, "forest_no_bootstrap_classifier"),
+    ("extra_trees_classifier", "classification", "ensemble", "medium", True, ""),
     ("gradient_boosting_classifier", "classification", "boosting", "high", True, ""),
     ("knn_classifier", "classification", "distance", "medium", False, ""),
     ("svc", "classification", "kernel", "high", False, "linear_svc"),

@@ -36,4 +36,5 @@ def load_all() -> None:
         q_runlog,
         q_sources,
         q_streaming,
+        q_trees,
     )
