@@ -30,7 +30,7 @@ CATALOG = (
     ("random_forest", "regression", "ensemble", "medium", True, ""),
     ("extra_trees_regressor", "regression", "ensemble", "medium", True, ""),
     ("gradient_boosting_regressor", "regression", "boosting", "high", True, ""),
-    ("knn_regressor", "regression", "distance", "medium", False, ""),
+    ("knn_regressor", "regression", "distance", "medium", True, ""),
     ("svr", "regression", "kernel", "high", False, ""),
     ("xgboost_regressor", "regression", "boosting", "high", False, "gbt_60_d3"),
     ("lightgbm_regressor", "regression", "boosting", "high", False, "gbt_60_d4"),
@@ -39,7 +39,7 @@ CATALOG = (
     ("random_forest_classifier", "classification", "ensemble", "medium", True, ""),
     ("extra_trees_classifier", "classification", "ensemble", "medium", True, ""),
     ("gradient_boosting_classifier", "classification", "boosting", "high", True, ""),
-    ("knn_classifier", "classification", "distance", "medium", False, ""),
+    ("knn_classifier", "classification", "distance", "medium", True, ""),
     ("svc", "classification", "kernel", "high", False, "linear_svc"),
     ("xgboost_classifier", "classification", "boosting", "high", False, "gbt_60_d3_classifier"),
     ("lightgbm_classifier", "classification", "boosting", "high", False, "gbt_60_d4_classifier"),

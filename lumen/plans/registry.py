@@ -32,6 +32,7 @@ def load_all() -> None:
         q_profile,
         q_combine,
         q_model,
+        q_neighbours,
         q_rules,
         q_runlog,
         q_sources,
