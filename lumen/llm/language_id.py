@@ -13,14 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.store import materialize
 from lumen.llm.texts import WordTable, bounded_batches, byte_texts, held, slices, sums_by_group
 
-SAMPLE_PER_LANG = 1500
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+SAMPLE_PER_LANG = 4000
+SAMPLE_BYTES_PER_LANG = 32 << 20
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 FIXED = 1 << 20
@@ -37,83 +38,100 @@ def _grams(word: str, n: int) -> list[str]:
     return [edged[i:i + n] for i in range(len(edged) - n + 1)]
 
 
+def _keys(terms: list[str], kind: int) -> np.ndarray:
+    """64-bit names of words (kind 0) or of n-grams (kind: their length)."""
+    return np.fromiter((xxhash.xxh64_intdigest(t, kind) for t in terms), np.uint64, len(terms)).view(np.int64)
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies (in ``1 / FIXED`` nats) of known words and n-grams per language."""
+    """Log frequencies (in ``1 / FIXED`` nats) of known words and n-grams per language: a
+    row of ``scores`` per entry of the sorted ``keys``."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    keys: np.ndarray
+    scores: np.ndarray
     unseen: np.ndarray
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of ``scores``, -1 for an unknown key."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        order = np.argsort(keys)
+        at = np.empty(len(keys), dtype=np.int64)
+        at[order] = np.searchsorted(self.keys, keys[order])
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def knows(self, word: str) -> bool:
+        return bool(self.find(_keys([word], 0))[0] >= 0)
+
     def score_words(self, words: list[str]) -> np.ndarray:
         """One row per word, one column per language."""
-        out = np.zeros((len(words), len(self.languages)), dtype=np.int64)
-        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        hit = known >= 0
-        out[hit] = self.word_scores[known[hit]]
-        flat: list[int] = []
-        sizes: list[int] = []
-        get = self.grams.get
-        rest = np.flatnonzero(~hit)
-        for i in rest.tolist():
-            for n in ORDERS:
-                found = [g for g in map(get, _grams(words[i], n)) if g is not None]
-                if found:
-                    break
-            flat += found
-            sizes.append(len(found))
-        n = np.array(sizes, dtype=np.int64)
-        total = sums_by_group(self.gram_scores[np.array(flat, dtype=np.int64)], n)
-        out[rest] = np.where(n[:, None] > 0, total // np.maximum(n, 1)[:, None], self.unseen)
+        out = np.tile(self.unseen, (len(words), 1))
+        row = self.find(_keys(words, 0))
+        out[row >= 0] = self.scores[row[row >= 0]]
+        rest = np.flatnonzero(row < 0)
+        for order in ORDERS:
+            if not len(rest):
+                break
+            grams = [_grams(words[i], order) for i in rest.tolist()]
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            row = self.find(_keys([g for own in grams for g in own], order))
+            known = sums_by_group((row >= 0).astype(np.int64), sizes)
+            total = sums_by_group(self.scores[row[row >= 0]].astype(np.int64), known)
+            hit = known > 0
+            out[rest[hit]] = total[hit] // known[hit, None]
+            rest = rest[~hit]
         return out
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
-          sample_per_lang: int = SAMPLE_PER_LANG, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
+          sample_per_lang: int = SAMPLE_PER_LANG, sample_bytes: int = SAMPLE_BYTES_PER_LANG) -> LanguageModel:
     """Fit on a bounded sample of labelled rows.
 
-    About ``sample_per_lang`` rows of each language are taken by a hash of the id (all of
-    a rarer language); Spark counts their words and n-grams per language and keeps the
-    ``max_words`` and ``max_grams`` most frequent, so the model is bounded by its
-    parameters.  Rows with a null language or text teach nothing.
+    Of each language, rows are taken by a hash of the id: about ``sample_per_lang`` of them
+    and about ``sample_bytes`` of text, whichever is less (all of a rarer language).  Spark
+    counts their words and n-grams per language; every one of them enters the model, which
+    is bounded by the sample alone, so no language's terms push out another's.  Terms are
+    held by 64-bit hashes.  Rows with a null language or text teach nothing.
     """
     labelled = bounded_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    share = {r["lang"]: min(1.0, sample_per_lang / r["n"], sample_bytes / max(r["bytes"], 1)) for r in sizes}
+    languages = sorted(share)
     if not languages:
-        none = np.zeros((0, 0), dtype=np.int64)
-        return LanguageModel([], {}, none, {}, none, np.zeros(0, dtype=np.int64))
-    part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_per_lang / sizes[k]))])
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.int32), np.zeros(0, np.int64))
+    part = F.create_map(*[F.lit(x) for k in languages for x in (k, share[k])])
     draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(draw < F.element_at(part, F.col("lang"))).select("lang", "text")
-    counts = (sample.mapInArrow(_count, "kind int, lang string, term string, n bigint")
-              .groupBy("kind", "term").agg(F.sum("n").alias("total"), *[
-                  F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]))
-    models = []
-    for kinds, most in ((F.col("kind") == 0, max_words), (F.col("kind") > 0, max_grams)):
-        rows = counts.where(kinds).where("total > 1").orderBy(F.col("total").desc(), "kind", "term").limit(most).drop("total")
-        models.append(_log_frequencies(rows.toArrow(), len(languages)))
-    (words, word_scores, low), (grams, gram_scores, _) = models
-    return LanguageModel(languages, words, word_scores, grams, gram_scores, low)
-
-
-def _log_frequencies(rows: pa.Table, n_languages: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """(term → row, scores, score of a term never seen).  N-grams are relative to their order."""
-    n = np.stack([rows.column(f"n{i}").to_numpy() for i in range(n_languages)], axis=1).astype(np.float64)
-    kind = rows.column("kind").to_numpy()
-    scores = np.zeros_like(n)
-    low = np.zeros(n_languages)
-    for k in np.unique(kind):
-        own = kind == k
-        total = n[own].sum(axis=0) + 0.5 * (own.sum() + 1)
-        scores[own] = np.log((n[own] + 0.5) / total)
-        low = np.log(0.5 / total)
-    return ({t: i for i, t in enumerate(rows.column("term").to_pylist())}, np.round(scores * FIXED).astype(np.int64),
-            np.round(low * FIXED).astype(np.int64))
+    counts = materialize(
+        sample.mapInArrow(_count, "kind int, lang string, term bigint, n bigint")
+        .groupBy("kind", "term").agg(*[
+            F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, k in enumerate(languages)]),
+        "language-terms")
+    return _log_frequencies(counts, languages)
+
+
+def _log_frequencies(counts: DataFrame, languages: list[str]) -> LanguageModel:
+    """N-grams are relative to all n-grams of their length in the language, words to all words.
+
+    One kind of term comes to the driver at a time, as numbers.
+    """
+    names = [f"n{i}" for i in range(len(languages))]
+    keys, scores, unseen = [], [], np.zeros(len(languages))
+    for kind in (0, *sorted(ORDERS)):
+        rows = counts.where(F.col("kind") == kind).select("term", *names).toArrow()
+        n = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
+        total = n.sum(axis=0, dtype=np.int64) + 0.5 * (len(n) + 1)
+        keys.append(rows.column("term").to_numpy())
+        scores.append(np.round(np.log((n + 0.5) / total) * FIXED).astype(np.int32))
+        if kind == 0:
+            unseen = np.log(0.5 / total)
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return LanguageModel(languages, key[order], np.concatenate(scores)[order], np.round(unseen * FIXED).astype(np.int64))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +144,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(langs[a:b], texts[a:b]):
                 own = _CUT.findall(text.decode("utf-8", "replace").lower())
                 words.setdefault(lang, Counter()).update(own)
-            out: list[tuple] = []
             for lang, seen in words.items():
                 seen.pop("\n", None)
-                out += [(0, lang, w, n) for w, n in seen.items()]
-                for order in ORDERS:
-                    grams: Counter = Counter()
-                    for w, n in seen.items():
-                        for g in _grams(w, order):
-                            grams[g] += n
-                    out += [(order, lang, g, n) for g, n in grams.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.string(), pa.string(), pa.int64()))],
-                    ["kind", "lang", "term", "n"])
+                for kind in (0, *ORDERS):
+                    terms: Counter = Counter() if kind else seen
+                    if kind:
+                        for w, n in seen.items():
+                            for g in _grams(w, kind):
+                                terms[g] += n
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(terms), pa.int32()), pa.array([lang] * len(terms), pa.string()),
+                         pa.array(_keys(list(terms), kind)), pa.array(list(terms.values()), pa.int64())],
+                        ["kind", "lang", "term", "n"])
 
 
 class _Scorer:
@@ -168,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     without a letter, and all texts of a model without languages are ``und`` with score 0.
     Repeated rows are predicted each; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the parameters of train()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
