@@ -1,22 +1,9 @@
-"""Exact, distributed order statistics.
-
-Spark's ``percentile`` is exact but its final merge holds every distinct value of a
-group in one task; ``percentile_approx`` is bounded but approximate.  Here the exact
-answer is computed without any unbounded group:
-
-1. the input is a *histogram* ``(keys..., v, cnt)`` (a ``groupBy(keys, v).count()``:
-   partial aggregation collapses hot values before the shuffle);
-2. ``percentile_approx`` (bounded sketch) gives ``B`` range boundaries per key;
-   each value gets ``bucket = #boundaries <= v`` — buckets hold ~1/B of the rows,
-   hence at most that many distinct values;
-3. per-(key, bucket) totals (keys x B rows) give each bucket's rank offset;
-4. a running sum inside each (key, bucket) gives every distinct value its rank range;
-5. one aggregate picks the values at ranks floor((n-1)p) and the next one and
-   interpolates linearly — the rule of pandas ``quantile``, Spark ``percentile`` and
-   DuckDB ``quantile_cont``.
-
-``B`` follows the number of distinct values (one bucket for a small histogram), so a task
-holds about ``BUCKET_VALUES`` of them whatever the input.
+"""Gaps between sorted values, without a group held whole.
+
+A range bucket per value (approximate boundaries of a bounded sketch) cuts every group, so
+a window holds one bucket; neighbours across bucket edges come from the previous bucket's
+maximum.  The number of buckets follows the number of distinct values, so a task holds about
+``BUCKET_VALUES`` of them whatever the input.  Quantiles: :mod:`lumen.functions.ranks`.
 """
 
 from __future__ import annotations
@@ -45,27 +32,6 @@ def add_range_bucket(hist: DataFrame, keys: list[str], value_col: str, count_col
         "__bucket", F.size(F.filter("__bounds", lambda b: b <= F.col(value_col)))).drop("__bounds")
 
 
-def ranked_histogram(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                     buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Return (histogram rows with ``__bucket`` and ``__start`` — 0-based rank of the first
-    copy —, bucket table ``(keys, __bucket, __off, __bt, __n)`` of keys x B rows)."""
-    b = add_range_bucket(hist, keys, value_col, count_col, buckets)
-    totals = b.groupBy(*keys, "__bucket").agg(F.sum(count_col).alias("__bt"))
-    w_off = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__bucket", "__bt",
-        F.coalesce(F.sum("__bt").over(w_off), F.lit(0)).alias("__off"),
-        F.sum("__bt").over(Window.partitionBy(*keys)).alias("__n"),
-    )
-    w_in = Window.partitionBy(*keys, "__bucket").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        b.join(offsets.select(*keys, "__bucket", "__off"), on=[*keys, "__bucket"], how="inner")
-        .withColumn("__start", F.col("__off") + F.coalesce(F.sum(count_col).over(w_in), F.lit(0)))
-        .drop("__off")
-    )
-    return ranked, offsets
-
-
 def bucket_count(hist: DataFrame) -> int:
     """Range buckets per group such that none holds many more than ``BUCKET_VALUES`` values,
     even if one group has them all."""
@@ -76,50 +42,6 @@ def buckets_for(values: int) -> int:
     return max(1, math.ceil(values / BUCKET_VALUES))
 
 
-def exact_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                    probs: list[float], buckets: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per key: output ``(keys..., prob, value)``.
-
-    ``hist`` rows are ``(keys..., value, count)``; null values are ignored.  The number of
-    range buckets follows the histogram's size.
-    """
-    hist = hist.where(F.col(value_col).isNotNull())
-    return _bucketed_quantiles(hist, keys, value_col, count_col, probs, buckets or bucket_count(hist))
-
-
-def _pick_ranks(ranked: DataFrame, keys: list[str], value_col: str, count_col: str,
-                probs: list[float]) -> DataFrame:
-    """From rows carrying ``__start`` (rank of the value's first copy) and ``__n`` (group
-    size), one aggregate picks the values at ranks floor((n-1)p) and the next one."""
-    aggs = []
-    start, end = F.col("__start"), F.col("__start") + F.col(count_col)
-    for i, p in enumerate(probs):
-        h = (F.col("__n") - 1) * F.lit(float(p))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("__n") - 1)
-        aggs += [F.max(F.when((start <= lo) & (lo < end), F.col(value_col))).alias(f"__lo{i}"),
-                 F.max(F.when((start <= hi) & (hi < end), F.col(value_col))).alias(f"__hi{i}"),
-                 F.max(h - lo).alias(f"__f{i}")]
-    picked = ranked.groupBy(*keys).agg(*aggs)
-    rows = [F.struct(F.lit(float(p)).alias("prob"),
-                     (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias("value"))
-            for i, p in enumerate(probs)]
-    return picked.select(*keys, F.explode(F.array(*rows)).alias("__q")).select(*keys, "__q.prob", "__q.value")
-
-
-def _bucketed_quantiles(hist: DataFrame, keys: list[str], value_col: str, count_col: str,
-                        probs: list[float], buckets: int) -> DataFrame:
-    if buckets == 1:   # the only bucket's offset is 0 and its total is the group's: nothing to join
-        of_key = Window.partitionBy(*keys)
-        before = of_key.orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-        ranked = hist.select(*keys, value_col, count_col, F.sum(count_col).over(of_key).alias("__n"),
-                             F.coalesce(F.sum(count_col).over(before), F.lit(0)).alias("__start"))
-        return _pick_ranks(ranked, keys, value_col, count_col, probs)
-    ranked, offsets = ranked_histogram(hist, keys, value_col, count_col, buckets)
-    ranked = ranked.join(offsets.select(*keys, "__bucket", "__n"), on=[*keys, "__bucket"])
-    return _pick_ranks(ranked, keys, value_col, count_col, probs)
-
-
 def sorted_gaps(long: DataFrame, keys: list[str], value_col: str,
                 buckets: int | None = None) -> DataFrame:
     """Differences between consecutive sorted values per key, as a weighted histogram.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumen.functions.quantiles import exact_quantiles
+from lumen.functions.ranks import exact_quantiles
 from lumen.functions.rows import with_row
 from lumen.session import checkpoint_dir
 
@@ -177,8 +177,8 @@ def baseline_prediction(train: DataFrame, kind: str, label: str = "label") -> Da
     if kind == "classification":
         counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("c"))
         return counts.agg(F.min_by(label, F.struct(-F.col("c"), F.col(label))).cast("double").alias("prediction"))
-    hist = train.groupBy(F.lit(1).alias("__k"), F.col(label).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    return exact_quantiles(hist, ["__k"], "v", "c", [0.5]).select(F.col("value").alias("prediction"))
+    labels = train.select(F.lit(1).alias("__k"), F.col(label).alias("v"), F.lit(1).alias("c"))
+    return exact_quantiles(labels, ["__k"], "v", "c", [0.5]).select(F.col("value").alias("prediction"))
 
 
 # ---------------------------------------------------------------------------- M24, M25

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.casts import is_numeric_type, logical_type, type_family  # noqa: F401
-from lumen.functions.quantiles import buckets_for, exact_quantiles, sorted_gaps_from_hist
+from lumen.functions.quantiles import sorted_gaps_from_hist
+from lumen.functions.ranks import exact_quantiles
 from lumen.functions.rows import with_row
 from lumen.session import checkpoint_dir
 
@@ -171,8 +172,7 @@ def column_profile(df: DataFrame, hist: DataFrame | None = None, quantiles: bool
         std = {r["position"]: math.sqrt(r["ss"] / (stats[r["position"]]["non_null"] - 1)) for r in squares
                if stats[r["position"]]["non_null"] > 1}
     if means and quantiles:
-        values = sum(stats[p]["distinct"] for p, _ in means)
-        found = numeric_quantiles(hist, [p for p, _ in means], [0.25, 0.5, 0.75], buckets_for(values)).collect()
+        found = numeric_quantiles(hist, [p for p, _ in means], [0.25, 0.5, 0.75]).collect()
         quartiles = {(r["position"], r["prob"]): r["value"] for r in found}
     rows = []
     for pos, name, dt in cols:
@@ -201,10 +201,10 @@ def _texts_of_digests(df: DataFrame, top: dict[int, str | None]) -> dict[int, st
     return top | {p: row[f"t{p}"] for p in marked}
 
 
-def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float], buckets: int | None = None) -> DataFrame:
+def numeric_quantiles(hist: DataFrame, positions: list[int], probs: list[float]) -> DataFrame:
     """Exact quantiles of numeric columns from the value histogram: (position, prob, value)."""
     h = hist.where(F.col("position").isin(positions)).select("position", F.col("num").alias("v"), "cnt")
-    return exact_quantiles(h, ["position"], "v", "cnt", probs, buckets)
+    return exact_quantiles(h, ["position"], "v", "cnt", probs)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.casts import to_number, to_timestamp_any
+from lumen.functions.ranks import beside, exact_quantiles
 from lumen.functions.rows import with_row
 from lumen.operators.scan import ema
 from lumen.session import checkpoint_dir
@@ -190,14 +191,24 @@ def add_indicators(series: DataFrame, keys: list[str] | None = None, materialize
 
 # ---------------------------------------------------------------------------- F12, F13, F16
 def latest_metrics(indicators: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """F12 + F13: last valid value of each indicator, historical VaR 95/99, per key."""
-    keys = list(keys or [])
+    """F12 + F13: last valid value of each indicator, historical VaR 95/99, per key.
+
+    The columns it needs are written once; the quantiles of the returns come from bins of
+    all series together, so no series is held by a task.
+    """
+    checkpoint_dir(indicators.sparkSession)
+    keyed, keys, out_keys = _with_key(indicators, keys)
+    indicators = keyed.select(*[F.col(f"`{k}`") for k in keys], "idx", "price", "return", "volatility", "rsi", "macd",
+                              "macd_signal").checkpoint()
 
     def last_valid(c: str) -> Column:
         return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("idx")))
 
-    q = F.percentile(F.col("return"), F.array(F.lit(0.05), F.lit(0.01)))
-    out = indicators.groupBy(*keys).agg(
+    var = exact_quantiles(indicators.withColumn("__one", F.lit(1)), keys, "return", "__one", [0.05, 0.01])
+    var = var.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[
+        F.max(F.when(F.col("prob") == p, F.greatest(F.lit(0.0), -F.col("value")))).alias(name)
+        for p, name in ((0.05, "var_95"), (0.01, "var_99"))])
+    out = indicators.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
         F.count(F.lit(1)).cast("bigint").alias("row_count_used"),
         F.max_by("price", "idx").alias("latest_price"),
         last_valid("return").alias("latest_return"),
@@ -205,11 +216,15 @@ def latest_metrics(indicators: DataFrame, keys: list[str] | None = None) -> Data
         last_valid("rsi").alias("latest_rsi"),
         last_valid("macd").alias("latest_macd"),
         last_valid("macd_signal").alias("latest_macd_signal"),
-        q.alias("__q"),
     )
-    out = out.withColumn("var_95", F.greatest(F.lit(0.0), -F.col("__q")[0])) \
-             .withColumn("var_99", F.greatest(F.lit(0.0), -F.col("__q")[1])).drop("__q")
-    return out.withColumn("trend_label", trend_label())
+    out = beside(out, var, keys, "left").withColumn("trend_label", trend_label())
+    return out if out_keys else out.drop(*keys)
+
+
+def _with_key(indicators: DataFrame, keys: list[str] | None) -> tuple[DataFrame, list[str], list[str]]:
+    """A series without keys gets a constant one: (rows, keys to group by, keys to return)."""
+    out_keys = list(keys or [])
+    return (indicators, out_keys, out_keys) if out_keys else (indicators.withColumn("__series", F.lit(0)), ["__series"], [])
 
 
 def trend_label() -> Column:
@@ -232,26 +247,34 @@ def forecast(indicators: DataFrame, keys: list[str] | None = None, horizon: int
              digits: int | None = 6) -> DataFrame:
     """OLS of price on position, ``horizon`` steps ahead; step = median date gap.
 
-    Series with fewer than 6 points get no forecast rows.
+    Series with fewer than 6 points get no forecast rows.  Gaps are taken within blocks of
+    the series that begin with the last row of the block before.
     """
-    keys = list(keys or [])
-    ordered = Window.partitionBy(*keys).orderBy("idx")
-    ts = F.col("date").cast("timestamp")
-    gaps = indicators.select(*keys, "idx", "date", "price",
-                             (F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(ordered)).alias("gap_us"))
-    fit = gaps.groupBy(*keys).agg(
+    checkpoint_dir(indicators.sparkSession)
+    keyed, keys, out_keys = _with_key(indicators, keys)
+    of_keys = [F.col(f"`{k}`") for k in keys]
+    own = F.floor(F.col("idx") / WINDOW_ROWS)
+    last = F.col("idx") % WINDOW_ROWS == WINDOW_ROWS - 1
+    blocked = keyed.select(*of_keys, "idx", "date", "price").withColumn(
+        "__window", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    ordered = Window.partitionBy(*of_keys, "__window").orderBy("idx")
+    at = F.unix_micros(F.col("date").cast("timestamp"))
+    gaps = blocked.withColumn("gap_us", (at - F.lag(at).over(ordered)).cast("double")).where(
+        F.col("__window") == own).drop("__window").checkpoint()
+    median = exact_quantiles(gaps.withColumn("__one", F.lit(1)), keys, "gap_us", "__one", [0.5])
+    fit = gaps.groupBy(*of_keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope("price", "idx").alias("slope"),
         F.regr_intercept("price", "idx").alias("intercept"),
-        F.median("gap_us").alias("step_us"),
         F.max("date").alias("last_date"),
     ).where(F.col("n") >= 6)
+    fit = beside(fit, median.select(*of_keys, F.col("value").alias("step_us")), keys, "left")
     step = F.when(F.col("step_us").isNull() | (F.col("step_us") <= 0), F.lit(86400.0 * 1e6)) \
         .otherwise(F.col("step_us"))
     out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     future_us = F.unix_micros(F.col("last_date").cast("timestamp")) + F.floor(step * F.col("step")).cast("bigint")
     return out.select(
-        *keys,
+        *out_keys,
         F.col("step").cast("int").alias("step"),
         F.timestamp_micros(future_us).cast(indicators.schema["date"].dataType).alias("date"),
         _maybe_round(F.col("intercept") + F.col("slope") * (F.col("n") + F.col("step") - 1), digits)

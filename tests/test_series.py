@@ -121,3 +121,22 @@ def test_instants_stay_apart_and_blocks_join(spark, monkeypatch):
     exp = _pandas_indicators(pd.Series([p for _, p in rows]))
     for c in [c for c in S.INDICATOR_COLUMNS if c in exp]:
         np.testing.assert_allclose(got[c].to_numpy(dtype=float), exp[c].to_numpy(dtype=float), rtol=1e-8, atol=1e-9)
+
+
+def test_metrics_and_forecast_of_a_series_in_several_blocks(spark):
+    n = 3 * S.WINDOW_ROWS + 5
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("k"), F.timestamp_seconds(F.col("id") * F.col("id") * 60).alias("date"),
+        (F.lit(100.0) + F.pmod(F.hash("id"), F.lit(1000)) / 100).alias("price"))
+    ind = S.add_indicators(rows, ["k"])
+    got = {r["k"]: r for r in S.latest_metrics(ind, ["k"]).collect()}
+    step = {r["k"]: r for r in S.forecast(ind, ["k"], horizon=1).collect()}
+    assert set(got) == set(step) == {"a", None}
+    for k, own in ind.toPandas().groupby("k", dropna=False):
+        k = k if k == "a" else None
+        returns = own["return"].dropna()
+        assert got[k]["var_95"] == pytest.approx(max(0.0, -returns.quantile(0.05)), rel=1e-9)
+        assert got[k]["var_99"] == pytest.approx(max(0.0, -returns.quantile(0.01)), rel=1e-9)
+        dates = own["date"].sort_values()
+        expected = dates.iloc[-1] + dates.diff().dropna().median()
+        assert abs((step[k]["date"] - expected.to_pydatetime()).total_seconds()) < 1e-3
