@@ -137,15 +137,23 @@ def _license_sql() -> str:
     line = "trim(regexp_replace(replace(lower(x), '©', ' copyright c '), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
     for other, one in license_scan.EQUIVALENT:
         line = f"replace({line}, '{other}', '{one}')"
-    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches({line}, '{license_scan.COPYRIGHT}') THEN '' ELSE {line} END), lambda x: x <> '')"
+    # no look-ahead in DuckDB: a line of a holder's name is matched first and the body's lines taken out
+    body = f"(the|{license_scan.BODY})( |$)"
+    holders = license_scan.HOLDER.split("|^")
+    named = next(h for h in holders if f"(?!{body})" in h)
+    others = "|^".join([license_scan.COPYRIGHT, *[h.removeprefix("^") for h in holders if h != named]])
+    name, before = "^" + named.replace(f"(?!{body})", ""), "^" + named.split("(?!")[0]
+    owner = f"regexp_matches(y, '{others}') OR regexp_matches(y, '{name}') AND NOT regexp_matches(y, '{before}{body}')"
+    lines = (f"list_filter(list_transform(list_transform(string_split(text, chr(10)), lambda x: {line}), "
+             f"lambda y: CASE WHEN {owner} THEN '' ELSE y END), lambda x: x <> '')")
     digest = "CASE WHEN len(lines) > 0 THEN sha256(array_to_string(lines, ' ')) END"
 
-    def rows(texts: dict[str, str]) -> str:
-        return ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in sorted(texts.items()))
+    def rows(texts: list[tuple[str, str]]) -> str:
+        return ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in texts)
 
     return f"""
-WITH licenses(license_id, text) AS (VALUES {rows(license_scan.LICENSES)}),
-notices(notice_id, text) AS (VALUES {rows(license_scan.NOTICES)}),
+WITH licenses(license_id, text) AS (VALUES {rows(sorted(license_scan.LICENSES.items()) + license_scan.long_licenses())}),
+notices(notice_id, text) AS (VALUES {rows(sorted(license_scan.NOTICES.items()))}),
 known AS (SELECT {digest} AS digest, min(license_id) AS license_id FROM (SELECT license_id, {lines} AS lines FROM licenses) GROUP BY 1),
 named AS (SELECT array_to_string(lines, ' ') AS form, notice_id FROM (SELECT notice_id, {lines} AS lines FROM notices)),
 docs AS (SELECT doc_id, {lines} AS lines FROM documents),

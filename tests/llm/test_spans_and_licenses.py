@@ -1,7 +1,10 @@
 import re
 
+import duckdb
+
 from lumen.llm import license_scan, sentence_spans
 from lumen.llm.license_texts import LICENSES, LONG, NOTICES, long_licenses
+from lumen.llm.queries import ORACLE_SQL
 from tests.llm.conftest import prose
 
 
@@ -116,3 +119,20 @@ def test_the_callers_licences(spark):
     known = spark.createDataFrame([("b", "My own  licence."), ("a", "my own license"), ("e", "")], "license_id string, text string")
     docs = spark.createDataFrame([(1, "MY OWN LICENSE!"), (2, "")], "doc_id int, text string")
     assert {(r["doc_id"], r["license_id"]) for r in license_scan.scan(docs, known).collect()} == {(1, "a"), (2, None)}
+
+
+def test_the_scan_equals_its_sql(spark):
+    owners = ["Copyright © 2020 Jane Doe", "© Jane Doe", "(c) Copyright 2020 Jane Doe", "Copyright The X Authors", "Copyright Jane Doe 2020",
+              "Copyright [yyyy] [name of copyright owner]", "copyright holders be liable", "copyright notice and this", "Copyright the work of many",
+              "Portions copyright by the Some Project", "c copyright 2001", "copyright law is one two three four five six seven eight nine"]
+    texts = [text for _, text in long_licenses()] + [f"{line}\n{LICENSES['MIT']}" for line in owners] + [
+        *owners, None, "", " \n.", *NOTICES.values(), *LICENSES.values()]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    documents = docs.toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    columns = "doc_id, text_digest, license_id, n_notices, notice_ids"
+    expected = con.execute(f"SELECT {columns} FROM ({ORACLE_SQL['op6_license_scan']}) ORDER BY doc_id").fetchall()
+    got = [tuple(r) for r in license_scan.scan(docs).select(*columns.split(", ")).orderBy("doc_id").collect()]
+    assert got == expected
+    assert {"Apache-2.0", "GPL-3.0", "MIT"} <= {r[2] for r in got}
