@@ -119,3 +119,38 @@ def test_a_client_that_never_pauses(spark, limit, window, rate):
     assert out.columns == [*df.columns, "admitted"]
     assert {x["event_id"]: x["admitted"] for x in out.collect()} == exp
     assert G.admitted_requests(df.limit(0), ["client"], "ts", "event_id").collect() == []
+
+
+def test_a_full_window_is_skipped_not_walked():
+    class Seen(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Seen.reads += 1
+            return super().__getitem__(i)
+
+    stamps = Seen(range(100_000))
+    assert G._Admission(3, 10_000).admits(stamps) == [n for a in range(0, 100_000, 10_001) for n in (a, a + 1, a + 2)]
+    assert Seen.reads < 2_000
+    assert G._Admission(0, 10).admits([1, 2]) == []
+
+
+def test_bursts_of_equal_stamps_in_many_pieces_match_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(G, "PIECE", 4)
+    r = random.Random(4)
+    rows, n = [], 0
+    for client in ("a", "b", "c", None):
+        t = 0
+        for _ in range(400):
+            t += r.choice((0, 0, 0, 1, 1, 7, 25) if client != "c" else (0, 1, 40))
+            rows.append((client, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), n))
+            n += 1
+    df = spark.createDataFrame(rows, "client string, ts timestamp, n int")
+    got = {x["n"]: x["admitted"] for x in G.admitted_requests(df, ["client"], "ts", "n", 5, 30, bucket_seconds=30).collect()}
+    expected = {}
+    for client in ("a", "b", "c"):
+        held = []
+        for _, t, n in sorted((c, t, n) for c, t, n in rows if c == client):
+            expected[n] = sum((t - h).total_seconds() <= 30 for h in held) < 5
+            held += [t] if expected[n] else []
+    assert got == expected
