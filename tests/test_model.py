@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lumen.operators import model_eval as ME
 from lumen.operators import model_prep as MP
+from lumen.plans import modeling
 from lumen.plans.modeling import run_model_analysis
 
 HOUSING = [(700, 2, 1, 1, 300000), (850, 2, 1, 0, 320000), (900, 3, 2, 1, 360000), (1000, 3, 2, 0, 380000),
@@ -96,3 +97,26 @@ def test_a_run_of_the_recommended_models(spark):
     assert {r["model_key"] for r in run.results.collect()} >= {"linear_regression", "decision_tree_regressor"}
     want = [r["key"] for r in ME.recommend_models(ME.shape_summary(df, "y"), "regression").orderBy("ord").collect()]
     assert want[0] == "ridge" and "knn_regressor" in want
+
+
+def test_matrix_parts_grow_in_number_with_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 50), ["a", "b"][i % 2], 3.0 * (i % 50) + i % 7) for i in range(700)],
+                               "x double, kind string, y double").coalesce(1)
+    seen, fit = [], modeling.MF.fit_and_predict
+
+    def spied(prep, *args):
+        seen.append(prep.data.rdd.glom().map(len).collect())
+        return fit(prep, *args)
+
+    monkeypatch.setattr(modeling.MF, "fit_and_predict", spied)
+    run_model_analysis(df, "y", mode="regression", models=["linear_regression"])
+    monkeypatch.setattr(modeling, "PART_ROWS", 20)
+    run_model_analysis(df, "y", mode="regression", models=["linear_regression"])
+    small, large = seen
+    assert sum(small) == sum(large) == 700 and len(large) == 35 > len(small) and max(large) <= 30
+
+
+def test_trees_keep_no_node_of_every_row_and_tree():
+    for key, kind in (("random_forest", "regression"), ("random_forest_classifier", "classification"),
+                      ("decision_tree_regressor", "regression")):
+        assert not modeling.MF.estimator(key, kind, 100, 1.0).getCacheNodeIds()
