@@ -8,9 +8,11 @@ flags and targets all read it, so the raw table is scanned three times in total
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from lumen.operators import quality as Q
 from lumen.operators.quality import _one_row_join
 from lumen.session import checkpoint_dir
 
+TABLES_AT_ONCE = 4   # each has its own histogram in the shared folder; tasks are shared out by Spark
+
 
 @dataclass
 class DatasetAnalysis:
@@ -66,3 +70,19 @@ def brief_row(a: DatasetAnalysis) -> DataFrame:
     return row.select(F.lit(a.name).alias("dataset"), F.lit(a.names_text).alias("names_text"),
                       F.lit(a.numeric_count).alias("numeric_count"), "has_date", "target_count", "quality_score",
                       "issue_rows", "first_missing_column", "first_issue_code")
+
+
+def brief_rows(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """:func:`brief_row` of each table, in their order.  An analysis is a long chain of jobs of
+    which most leave cores idle, so those of ``TABLES_AT_ONCE`` tables run side by side."""
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    checkpoint_dir(spark)
+
+    def row(table: tuple[str, DataFrame]) -> DataFrame:
+        return brief_row(analyze_dataset(table[1], table[0]))
+
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        # a target per table: job groups and local properties of this thread hold for its jobs
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(row), t) for t in tables.items()]]

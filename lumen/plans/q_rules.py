@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen.functions.casts import fround, fround_sql as R
 from lumen.functions.rows import with_row
 from lumen.operators import model_eval as ME
 from lumen.operators import rules as N
-from lumen.plans.dataset import analyze_dataset, brief_row
+from lumen.plans.dataset import analyze_dataset, brief_rows
 from lumen.plans.q_model import q_best_model
 from lumen.plans.q_profile import SCHEMAS, flags_sql, profile_sql
 from lumen.plans.registry import register
@@ -77,11 +80,7 @@ FROM tk"""
 @register("dataset_brief", sql=_brief_sql())
 def q_dataset_brief(spark, sf_dir):
     """Dataset kind, suitable tasks, primary risk and data confidence for four tables."""
-    rows = None
-    for t in BRIEF_TABLES:
-        r = brief_row(analyze_dataset(table(spark, sf_dir, t), t))
-        rows = r if rows is None else rows.unionByName(r)
-    return N.dataset_brief(rows)
+    return N.dataset_brief(reduce(DataFrame.unionByName, brief_rows({t: table(spark, sf_dir, t) for t in BRIEF_TABLES})))
 
 
 @register("model_findings", sql="WITH " + profile_sql("lineitem") + flags_sql("lineitem") + f""",

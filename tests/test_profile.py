@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lumen.operators import profile as P
 from lumen.operators import quality as Q
-from lumen.plans.dataset import analyze_dataset, brief_row
+from lumen.plans.dataset import analyze_dataset, brief_row, brief_rows
 from lumen.operators import rules as N
 
 
@@ -68,3 +68,26 @@ def test_duplicate_rows_long_texts_and_floats(spark):
             ("y", float("nan"), 2), ("y", None, 2)]
     df = spark.createDataFrame(rows, "t string, v double, k int")
     assert P.duplicate_rows(df).collect()[0][0] == 3
+
+
+def test_brief_rows_run_side_by_side_and_keep_their_order(spark, monkeypatch):
+    import threading
+
+    from lumen.plans import dataset
+    tables = {f"t{i}": spark.createDataFrame([(k, float(k % (i + 2)), None if i == 1 else "x") for k in range(20)],
+                                             "k long, price double, note string") for i in range(3)}
+    want = [tuple(brief_row(analyze_dataset(df, name)).first()) for name, df in tables.items()]
+    met, analyze = threading.Barrier(3, timeout=60), dataset.analyze_dataset
+
+    def together(df, name):
+        met.wait()   # breaks if one table waits for another's analysis
+        assert spark.sparkContext.getLocalProperty("lumen.caller") == "test"
+        return analyze(df, name)
+
+    monkeypatch.setattr(dataset, "analyze_dataset", together)
+    spark.sparkContext.setLocalProperty("lumen.caller", "test")
+    try:
+        rows = brief_rows(tables)
+    finally:
+        spark.sparkContext.setLocalProperty("lumen.caller", None)
+    assert [tuple(r.first()) for r in rows] == want and [r[0] for r in want] == ["t0", "t1", "t2"]
