@@ -108,6 +108,20 @@ def test_manifest_and_model_save(spark, tmp_path):
     assert LinearRegressionModel.load(path).coefficients[0] == model.coefficients[0]
 
 
+def test_manifest_of_files_that_no_value_holds(spark, tmp_path):
+    import hashlib
+    (tmp_path / "in.bin").write_bytes(b"x" * 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")   # longest file that Spark takes as a value
+    try:
+        h = S.file_hashes(spark, str(tmp_path / "in.bin"))
+        m = G.run_manifest("run_1", "profile", h, S.batch_hash(h), {}).first()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    sha = hashlib.sha256(b"x" * 1000).hexdigest()
+    assert [tuple(f) for f in m["input_files"]] == [("in.bin", 1000, sha)]
+    assert m["combined_input_hash"] == hashlib.sha256(f"in.bin\0{sha}".encode()).hexdigest()
+
+
 def test_priority_findings(spark):
     runs = spark.createDataFrame([("r1", "ridge", 91, "prediction_baseline", None),
                                   ("r2", "tree", 60, "fix_data_quality", "bearish")],
