@@ -119,3 +119,39 @@ def test_matrix_parts_grow_in_number_with_the_rows(spark, monkeypatch):
 def test_a_single_tree_keeps_no_node_of_every_row():
     for key, kind in (("decision_tree_regressor", "regression"), ("decision_tree_classifier", "classification")):
         assert not modeling.MF.estimator(key, kind, 100, 1.0).getCacheNodeIds()
+
+
+def test_a_forest_grows_in_groups_and_is_one_model(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+
+    from lumen.operators import model_fit as MF
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(spark.range(400).selectExpr(
+        "cast(id % 20 as double) a", "cast(id % 7 as double) b", "cast(id % 3 as double) c", "cast(id % 20 * (id % 7) as double) label"))
+    sizes = []
+    once = RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, d: sizes.append(self.getNumTrees()) or once(self, d))
+    model = MF.estimator("random_forest", "regression", 400, 1.0).fit(data)
+    assert sum(sizes) == 35 and max(sizes) <= 12   # what is kept of a row goes with the trees under way
+    assert len(model.trees) == model.getNumTrees == 35 and model.numFeatures == 3 and model.getMaxDepth() == 12
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) > 30
+    row = data.first()
+    mean = sum(t.predict(row["features"]) for t in model.trees) / 35
+    assert abs(model.transform(data).first()["prediction"] - mean) < 1e-9
+    assert abs(sum(model.featureImportances) - 1) < 1e-9
+    path = str(tmp_path / "forest")
+    model.save(path)
+    assert abs(RandomForestRegressionModel.load(path).predict(row["features"]) - mean) < 1e-9
+
+
+def test_the_matrix_is_written_once_and_read_by_its_parts(spark, monkeypatch):
+    monkeypatch.setattr(modeling, "PART_ROWS", 100)
+    df = spark.range(6000).selectExpr("cast(id % 50 as double) a", "cast(id % 11 as double) b", "cast(id % 50 + id % 11 as double) y")
+    seen = []
+    once = modeling._compared
+    monkeypatch.setattr(modeling, "_compared", lambda *a: seen.append((a[8].rdd.getNumPartitions(), a[8].storageLevel)) or once(*a))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    run = run_model_analysis(df, "y", models=["ridge", "random_forest"])
+    assert run.notes == [] and {r["model_key"] for r in run.results.collect()} == {"baseline_regressor", "ridge", "random_forest"}
+    assert seen[0][0] >= 60 and not seen[0][1].useDisk   # not a second time in the cache
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
